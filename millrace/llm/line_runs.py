@@ -31,10 +31,12 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame, dealt: bool = False) -> str:
+        """``dealt``: the rows already come by bucket, as those of two joined runs do."""
         name = f"line_run_{uuid.uuid4().hex}"
         path = scratch(self.spark, "run")
-        df.repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        df = df if dealt else df.repartition(self.buckets, "key")
+        df.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
         return name
 
     def settled(self) -> list[DataFrame]:
@@ -55,13 +57,16 @@ class LineRuns:
             self._push(self._merge(old), level + 1)
 
     def _merge(self, tables: list[str]) -> str:
-        both = self.spark.table(tables[0])
+        # Keys are once in a run, so runs are merged by full outer merge joins, which their buckets need no shuffle for.
+        merged = self.spark.table(tables[0])
         for t in tables[1:]:
-            both = both.unionByName(self.spark.table(t))
-        merged = self._write(both.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("top").alias("top")))
+            other = self.spark.table(t).select("key", F.col("docs").alias("more"), F.col("top").alias("other")).hint("merge")
+            docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            merged = merged.join(other, "key", "full_outer").select("key", docs.alias("docs"), F.greatest("top", "other").alias("top"))
+        table = self._write(merged, dealt=True)
         for t in tables:
             self.spark.sql(f"DROP TABLE {t}")
-        return merged
+        return table
 
     def compact(self) -> DataFrame:
         """All runs as one."""
