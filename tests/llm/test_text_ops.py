@@ -74,7 +74,7 @@ def test_ledger(spark):
     assert known(2) == first
     texts = {r["doc_id"]: r["text"] for r in secret_ledger.redact(got).collect()}
     assert texts[0] == "[SECRET]' and [SECRET]"
-    assert all(not plain_secrets(texts[i]) or i not in (0, 8, 9) for i in texts)
+    assert all(not plain_secrets(t or "") for t in texts.values())
     spans = got.filter("doc_id = 0").select(secret_ledger.spans_text("findings")).first()[0]
     assert spans == "assign:0:20,assign:26:38"
 
