@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.places import location_match, work_mode_match
-from millrace.functions.text import Fold, fold, normalize, occurs
+from millrace.functions.text import Fold, fold, let, normalize, occurs
 from millrace.operators.synonyms import Synonyms
 
 ABSENT_PENALTY, ABSENT_PENALTY_CAP = 0.34, 1.0
@@ -73,23 +73,32 @@ def keyword_score(postings: DataFrame, profile: Profile, rule: ScoreRule | None
     columns of a score, replaced where there are some. One projection; the text is folded once per row."""
     rule = rule or ScoreRule()
     synonyms, own = Synonyms(rule.synonyms), len(profile.skills)
-    texts = postings.withColumn("__text", haystack(rule.fold))
-    seen = texts.withColumns({"__have": _mentioned(F.col("__text"), profile.skills, synonyms), "__ruled": _mentioned(F.col("__text"), profile.absent_skills, synonyms)})
-    named = seen.withColumns(
+
+    def seen(text: Column) -> Column:
+        return let(
+            F.struct(_mentioned(text, profile.skills, synonyms).alias("have"), _mentioned(text, profile.absent_skills, synonyms).alias("ruled")),
+            lambda m: let(F.struct(_names(m["have"], True).alias("matched"), _names(m["have"], False).alias("unmatched"), _names(m["ruled"], True).alias("penalized")), scored),
+        )
+
+    def scored(names: Column) -> Column:
+        coverage = F.size(names["matched"]) / F.lit(float(max(own, 1)))
+        penalty = F.least(F.lit(float(rule.absent_skill_penalty)) * F.size(names["penalized"]), F.lit(float(rule.absent_skill_penalty_cap)))
+        score = half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), coverage - penalty))) if own else F.lit(0)
+        return F.struct(names["matched"].alias("matched"), names["unmatched"].alias("unmatched"), names["penalized"].alias("penalized"), score.alias("score"), half_up(coverage).alias("points"))
+
+    # One expression, as a filter on the score would otherwise repeat the folding for each skill.
+    named = postings.withColumn("__seen", let(haystack(rule.fold), seen)).withColumns(
         {
-            "matched_skills": _names(F.col("__have"), True),
-            "unmatched_profile_skills": _names(F.col("__have"), False),
-            "penalized_skills": _names(F.col("__ruled"), True),
+            "matched_skills": F.col("__seen.matched"),
+            "unmatched_profile_skills": F.col("__seen.unmatched"),
+            "penalized_skills": F.col("__seen.penalized"),
+            "score": F.col("__seen.score"),
             "missing_requirements": F.array().cast("array<string>"),
             "location_match": location_match(F.col("location"), F.col("eligible_locations"), profile.locations, rule.fold),
             "work_mode_match": work_mode_match(F.col("work_mode"), profile.work_mode),
         }
     )
     matched, unmatched, penalized = F.size("matched_skills"), F.col("unmatched_profile_skills"), F.size("penalized_skills")
-    coverage = matched / F.lit(float(max(own, 1)))
-    penalty = F.least(F.lit(float(rule.absent_skill_penalty)) * penalized, F.lit(float(rule.absent_skill_penalty_cap)))
-    score = half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), coverage - penalty))) if own else F.lit(0)
-    scored = named.withColumn("score", score)
     if own:
         head = F.concat(F.lit("matched "), matched.cast("string"), F.lit(f"/{own} {'skill' if own == 1 else 'skills'}"))
         head = F.concat(head, F.when(matched > 0, F.concat(F.lit(" ("), F.array_join("matched_skills", ", "), F.lit(")"))).otherwise(""))
@@ -99,11 +108,11 @@ def keyword_score(postings: DataFrame, profile: Profile, rule: ScoreRule | None
             F.when(F.size(unmatched) > 0, F.concat(F.lit("not mentioned: "), F.array_join(unmatched, ", "))),
             F.when(
                 penalized > 0,
-                F.concat(F.lit("penalty -"), (half_up(coverage) - F.col("score")).cast("string"), F.lit(": posting mentions ruled-out "), _plural(penalized), F.lit(" "), F.array_join("penalized_skills", ", ")),
+                F.concat(F.lit("penalty -"), (F.col("__seen.points") - F.col("score")).cast("string"), F.lit(": posting mentions ruled-out "), _plural(penalized), F.lit(" "), F.array_join("penalized_skills", ", ")),
             ),
             F.when(F.col("location_match"), "location fits").when(~F.col("location_match"), "location does not fit"),
             F.when(F.col("work_mode_match"), "work mode fits").when(~F.col("work_mode_match"), "work mode differs"),
         )
     else:
         summary = F.lit("profile lists no skills; the keyword scorer cannot rank this posting")
-    return scored.withColumn("summary", summary).drop("__text", "__have", "__ruled")
+    return named.withColumn("summary", summary).drop("__seen")
