@@ -1,14 +1,19 @@
 """Byte-level BPE encoding by tree concatenation, and decoding.
 
-A text without long unsplit runs is encoded as it is. Any other is cut where a cut can't change the result, before
-single spaces between two visible characters, into pieces that can't be split further there.
-
-A piece that can't be cut and is long (a pre-token of thousands of letters) is encoded as a tree: its leaves are encoded
-by themselves, then neighbours are joined, level by level. To join two encoded halves, the last k tokens of the left and
-the first k of the right are decoded and encoded again; if the result still begins with the left's own token and ends
-with the right's, all adjacent pairs of the joined tokens are pairs that BPE itself leaves side by side, and a sequence
-of tokens is the encoding of its bytes exactly if all its adjacent pairs are such. Otherwise k doubles. The leaves of a
-level do not depend on each other, nor do its joins.
+A text longer than ``SPAN`` characters is halved again and again, wherever the halves happen to meet; the leaves are
+encoded by themselves and joined in pairs, level by level. To join two encoded halves, a window of text around the place
+where they meet grows until each side has a cut in it that no encoding can cross: before a single space between two
+visible characters, where the pre-token pattern always begins anew. There both sides' tokens and those of the window agree
+exactly, so the window is encoded again from cut to cut, and the tokens outside stay.
+
+A pre-token without such cuts that is longer than ``LEAF`` (thousands of letters without a space) is a tree of bytes: the
+last k tokens of the left and the first k of the right are decoded and encoded again; if the result still begins with the
+left's own token and ends with the right's, all adjacent pairs of the joined tokens are pairs that BPE itself leaves side
+by side, and a sequence of tokens is the encoding of its bytes exactly if all its adjacent pairs are such. Otherwise k
+doubles.
+
+Leaves and joins of a level do not depend on each other. Texts longer than ``SPREAD`` are dealt by leaf: their leaves are
+rows that all tasks encode, and come together by document for the joins only.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -28,7 +34,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm.rank_sync_counts import _byte_symbols
 
-LEAF, WINDOW = 1024, 8
+LEAF, WINDOW, SPAN, SPREAD = 1024, 8, 4096, 1 << 16
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = re.compile(r"\s{%d}" % LEAF)
 #: Pre-tokens of these characters are the same in every edition of Unicode.
@@ -90,13 +96,54 @@ class TreeBpe:
 
     # -- texts -------------------------------------------------------------------------------------------------------
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text. Without long pieces, special strings or rare characters it needs no cutting."""
+    def encode(self, text: str, span: int = SPAN) -> bytes:
+        """Ids of a whole text."""
+        leaves = [text[k : k + span] for k in range(0, len(text), span)]
+        return self.concatenate(leaves, [self.leaf(x) for x in leaves])
+
+    def leaf(self, text: str) -> bytes:
+        """Of a text that is encoded at once; without long pieces, special strings or rare characters it needs no cutting."""
         if max(map(len, text.split()), default=0) <= LEAF and _LATIN.match(text) and not _BLANK.search(text) and not any(s in text for s in self.special):
             return np.array(self.base.encode_ordinary(text), "<u4").tobytes()
         first, *rest = _CUT.split(text)
         return b"".join([self._ids(first), *(self._ids(f" {p}") for p in rest)])
 
+    def concatenate(self, texts: list[str], ids: list[bytes]) -> bytes:
+        """The ids of neighbouring texts' concatenation."""
+        while len(ids) > 1:
+            pairs = range(0, len(ids) - 1, 2)
+            ids = [self.meet(texts[k], ids[k], texts[k + 1], ids[k + 1]) for k in pairs] + ids[len(ids) - len(ids) % 2 :]
+            texts = [texts[k] + texts[k + 1] for k in pairs] + texts[len(texts) - len(texts) % 2 :]
+        return ids[0] if ids else b""
+
+    def meet(self, left: str, left_ids: bytes, right: str, right_ids: bytes, window: int = 64) -> bytes:
+        """The ids of ``left + right``."""
+        begin, end = 0, len(right)
+        a = b = window
+        while a < len(left):
+            if cuts := [m.start() for m in _CUT.finditer(left, max(0, len(left) - a))]:
+                begin = cuts[0]
+                break
+            a *= 2
+        while b < len(right):
+            if cuts := [m.start() for m in _CUT.finditer(right[:b])]:
+                end = cuts[-1]
+                break
+            b *= 2
+        before = self._tokens_of(left_ids, len(left[begin:].encode()), from_end=True) if begin else len(left_ids)
+        after = self._tokens_of(right_ids, len(right[:end].encode()), from_end=False) if end < len(right) else len(right_ids)
+        return left_ids[: len(left_ids) - before] + self.leaf(left[begin:] + right[:end]) + right_ids[after:]
+
+    def _tokens_of(self, ids: bytes, size: int, from_end: bool) -> int:
+        """Bytes of ``ids`` at one end that stand for exactly ``size`` bytes of text."""
+        own, k = np.frombuffer(ids, "<u4"), 0
+        while size > 0:
+            size -= len(self.table[own[-1 - k] if from_end else own[k]])
+            k += 1
+        if size:
+            raise ValueError("a cut within a token")
+        return 4 * k
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -123,13 +170,32 @@ def _encoded(path: str):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (binary, unsigned 32 bits each) instead of its text; a null text is an empty one."""
-    rows = docs.withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
-    if text_col != "text":
-        rows = rows.drop(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "text" else "ids binary" for f in rows.schema)
-    return rows.mapInArrow(_encoded(path), schema)
+def _leaves(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tree_bpe(path)
+        for b in batches:
+            yield b.append_column("ids", pa.array([bpe.leaf(t) for t in b.column("text").to_pylist()], pa.binary()))
+
+    return run
+
+
+def _joined(path: str):
+    def run(leaves: pd.DataFrame) -> pd.DataFrame:
+        own = leaves.sort_values("number")
+        return pd.DataFrame({"id": own["id"].iloc[:1], "ids": [tree_bpe(path).concatenate(own["text"].tolist(), own["ids"].tolist())]})
+
+    return run
+
+
+def encode_documents(rows: DataFrame, path: str, span: int = SPAN, spread: int = SPREAD) -> DataFrame:
+    """(id, ids) of ``rows`` (id long, text string, not null); ids are binary, unsigned 32 bits each."""
+    short = rows.filter(F.length("text") <= spread).mapInArrow(_encoded(path), "id long, ids binary")
+    # A text's leaves meet again in one task, as the row that they are of does.
+    long = rows.filter(F.length("text") > spread).withColumn("row", F.monotonically_increasing_id())
+    starts = F.sequence(F.lit(0), F.ceil(F.length("text") / F.lit(span)).cast("int") - 1)
+    leaves = long.select("row", "id", F.posexplode(F.transform(starts, lambda k: F.substring(F.col("text"), k * span + 1, F.lit(span)))).alias("number", "text"))
+    encoded = leaves.repartition("row", "number").mapInArrow(_leaves(path), "row long, id long, number int, text string, ids binary")
+    return short.unionByName(encoded.groupBy("row").applyInPandas(_joined(path), "id long, ids binary"))
 
 
 def _digests(path: str):

@@ -109,6 +109,23 @@ def test_bpe(spark):
     same(tree_bpe.round_trip(documents(spark, rows), BYTES).collect(), want)
 
 
+@pytest.mark.parametrize("span", [1, 7, 64, 4096])
+def test_texts_are_joined_exactly(span):
+    library, own = Tokenizer.from_file(BYTES), tree_bpe.TreeBpe(BYTES)
+    rng = random.Random(span)
+    texts = [t for t in odd_texts(300, span) if len(t) < 200 * span] + [" ".join(rng.choice(["ab", "é,", "x\ny", "12", "  ", "don't", "<|endoftext|>"]) for _ in range(120))]
+    for t in texts:
+        assert np.frombuffer(own.encode(t, span), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:60]
+
+
+def test_long_texts_are_dealt_by_leaf(spark):
+    own = tree_bpe.TreeBpe(BYTES)
+    rows = [(k, t) for k, t in enumerate(odd_texts(40))] + [(None, "word and " * 300), (1, "y" * 5000), (1, "y" * 5000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = tree_bpe.encode_documents(df, BYTES, span=50, spread=120).collect()
+    same([(r["id"], bytes(r["ids"])) for r in got], [(i, own.leaf(t)) for i, t in rows])
+
+
 def test_whole_vocabulary_encodes_to_itself_alike():
     library, own = Tokenizer.from_file(BYTES), tree_bpe.TreeBpe(BYTES)
     for b in own.table[:50256:7]:
