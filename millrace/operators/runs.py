@@ -19,9 +19,17 @@ def insert_if_absent(stored: DataFrame, batch: DataFrame, sequence: str) -> Data
 
 
 def limit_kept(items: DataFrame, unit: str, sequence: str, kept: Column, limit: int) -> DataFrame:
-    """Of each unit the items up to and with its ``limit``-th kept one, as reading stops there."""
-    before = F.coalesce(F.sum(kept.cast("int")).over(Window.partitionBy(unit).orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return items.withColumn("__before", before).filter(F.col("__before") < limit).drop("__before")
+    """Of each unit the items up to and with its ``limit``-th kept one, as reading stops there.
+
+    Each task sends at most ``limit`` kept items of a unit on (the rank is filtered, so it is a group limit), whatever
+    share of all items the unit has; the sequence at which it ends is then joined to the items, one row a unit.
+    """
+    place = F.row_number().over(Window.partitionBy(unit).orderBy(sequence))
+    first = items.filter(kept).select(unit, sequence).withColumn("__place", place).filter(F.col("__place") <= limit)
+    ends = first.groupBy(F.col(unit).alias("__unit")).agg(F.count(F.lit(1)).alias("__kept"), F.max(sequence).alias("__end"))
+    joined = items.join(ends, items[unit] == ends["__unit"], "left")
+    going_on = F.coalesce(F.col("__kept"), F.lit(0)) < limit
+    return joined.filter(going_on | (items[sequence] <= F.col("__end"))).select(*[items[c] for c in items.columns])
 
 
 def fetch_counters(items: DataFrame) -> DataFrame:

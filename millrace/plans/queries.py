@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +21,7 @@ from millrace.operators.scoring import Profile, ScoreRule, keyword_score
 from millrace.operators.synonyms import synonym_classes
 from millrace.plans.export import EXPORT_COLUMNS, csv_cells, json_record, markdown_bullet
 from millrace.plans.views import postings, table, with_status
+from millrace.scratch import scratch
 from millrace.sources import json_board, rss_feed
 from millrace.sources.base import finish
 from millrace.streaming.ingest import latest_by_key
@@ -633,8 +633,7 @@ def rss_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT user_id, arg_max({_STATUS_SQL}, (ts, event_id)) AS status, {_ISO.format('max(ts)')} AS changed_at FROM events GROUP BY user_id")
 def status_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last status of each key, by a stream that takes what is there."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/millrace").rstrip("/")
-    own = f"{shared}/stream-{uuid.uuid4().hex}"
+    own = scratch(spark, "stream")
     last = latest_by_key(spark, f"{sf_dir}/events.parquet", "user_id", "ts", "event_id", "event_type", f"{own}/out", f"{own}/checkpoint")
     return last.select("user_id", _status(F.col("event_type")).alias("status"), schema.iso_time(F.date_trunc("second", F.col("ts"))).alias("changed_at"))
 
