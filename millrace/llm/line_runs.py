@@ -1,14 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The documents are taken in batches of falling document id. A run is a table of (line hash, documents, largest id), hash
+The documents are taken in batches of falling document id. A run is a table of (line hash, documents, lines, largest id), hash
 bucketed and sorted by the hash. Each batch sums up its own lines, drops by a merge anti-join with the runs the hashes
 that these already know to be settled (found often enough; with falling ids their largest id cannot change any more),
 and adds what is left as a run of level 0. Whenever a level holds ``fanout`` runs they are merged into one of the next
 level, so a hash is rewritten once per level. As every run is bucketed and sorted alike, joins and merges of runs need
 no shuffle.
 
-At the end the settled hashes are joined to the lines (a hash that a third of all documents hold is a skewed join key,
-which adaptive execution splits), and the positions to drop go back to their documents.
+At the end the settled hashes are joined to the lines, those that very many lines have by broadcast, and the positions to
+drop go back to their documents.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.support import WHITE, ascii_lower, scratch, stage
+from millrace.llm.support import HOT, WHITE, ascii_lower, join_groups, scratch, stage
 
 MIN_LENGTH, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 2
 
 
 class LineRuns:
-    """The runs, by level; each holds (key, docs, top) with key once."""
+    """The runs, by level; each holds (key, docs, lines, top) with key once."""
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
@@ -43,7 +43,7 @@ class LineRuns:
         return [self.spark.table(t).filter(F.col("docs") >= self.min_docs) for level in self.levels for t in level]
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: (key, docs, top), key once; its tops are below those of all earlier batches."""
+        """``batch``: (key, docs, lines, top), key once; its tops are below those of all earlier batches."""
         for run in self.settled():
             batch = batch.join(run.select("key").hint("merge"), "key", "left_anti")
         self._push(self._write(batch), 0)
@@ -60,9 +60,9 @@ class LineRuns:
         # Keys are once in a run, so runs are merged by full outer merge joins, which their buckets need no shuffle for.
         merged = self.spark.table(tables[0])
         for t in tables[1:]:
-            other = self.spark.table(t).select("key", F.col("docs").alias("more"), F.col("top").alias("other")).hint("merge")
-            docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
-            merged = merged.join(other, "key", "full_outer").select("key", docs.alias("docs"), F.greatest("top", "other").alias("top"))
+            other = self.spark.table(t).select("key", *[F.col(c).alias(f"other_{c}") for c in ("docs", "lines", "top")]).hint("merge")
+            both = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"other_{c}", F.lit(0))).alias(c) for c in ("docs", "lines")]
+            merged = merged.join(other, "key", "full_outer").select("key", *both, F.greatest("top", "other_top").alias("top"))
         table = self._write(merged, dealt=True)
         for t in tables:
             self.spark.sql(f"DROP TABLE {t}")
@@ -111,11 +111,13 @@ def drop_repeated_lines(
     lines = stage(lines, "lines", ("batch",))
     runs = LineRuns(spark, min_docs, fanout)
     for k in range(batches):
-        held = lines.filter(F.col("batch") == k).groupBy("key").agg(F.countDistinct("id").alias("docs"), F.max("id").alias("top"))
+        held = lines.filter(F.col("batch") == k).groupBy("key").agg(F.countDistinct("id").alias("docs"), F.count(F.lit(1)).alias("lines"), F.max("id").alias("top"))
         runs.add(held)
-    frequent = runs.compact().filter(F.col("docs") >= min_docs).select("key", "top")
+    frequent = stage(runs.compact().filter(F.col("docs") >= min_docs).select("key", "lines", "top"), "frequent")
+    # Batches after the one in which a hash was settled are not in its number of lines, but no batch is far larger.
+    hits = join_groups(lines, frequent, ["key"], "lines", lines.count(), share=HOT * batches)
     drops = (
-        lines.join(frequent, "key").filter("id <> top").groupBy(F.col("id").alias("d_id"), F.col("th").alias("d_th")).agg(F.collect_set("pos").alias("d_pos"))
+        hits.filter("id <> top").groupBy(F.col("id").alias("d_id"), F.col("th").alias("d_th")).agg(F.collect_set("pos").alias("d_pos"))
     )
     # The split text is a column of its own: inside the lambda below it would be split again for each line.
     named = docs.withColumns({"__id": own["id"], "__th": own["th"]})
