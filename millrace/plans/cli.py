@@ -31,11 +31,11 @@ def score_style(score):
     return F.when(score >= 70, "green").when(score >= 40, "yellow").otherwise("dim")
 
 
-def detail(row: DataFrame) -> DataFrame:
-    """(label, value) rows of one posting; what is empty has none."""
+def detail(row: DataFrame, *keys: str) -> DataFrame:
+    """(label, value) rows of a posting's fields, after its ``keys``; what is empty has none."""
     text = {c: F.array_join(c, ", ") if c in schema.LISTS else F.date_format(c, "yyyy-MM-dd") if c in schema.TIMES else F.col(c).cast("string") for c in schema.COLUMNS}
     pairs = F.array(*[F.struct(F.lit(c).alias("label"), v.alias("value")) for c, v in text.items() if c not in ("description_raw", "raw_url")])
-    return row.select(F.explode(F.filter(pairs, lambda x: x["value"] != "")).alias("x")).select("x.*")
+    return row.select(*keys, F.explode(F.filter(pairs, lambda x: x["value"] != "")).alias("x")).select(*keys, "x.*")
 
 
 def _parser() -> argparse.ArgumentParser:

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from millrace import schema
 from millrace.functions.dates import parse_iso, parse_rfc822
-from millrace.functions.html import strip_html, strip_html_exact
+from millrace.functions.html import container_html, strip_html, strip_html_exact
 from millrace.functions.language import STOPWORDS, detect_language
 from millrace.functions.places import eligible_locations, location_match, region_eligibility, work_mode_match
-from millrace.functions.text import defuse_formula, humanize_slug, markdown_destination, markdown_text, truncate
+from millrace.functions.text import company_and_title, defuse_formula, humanize_slug, markdown_destination, markdown_text, truncate
 from millrace.functions.urls import TRACKING_NAMES, normalize_url, posting_id
 from millrace.functions.workmode import NEGATORS, infer_work_mode
 from millrace.operators.filters import Scope, by_id_prefix, by_url, order, page, title_filter
 from millrace.operators.runs import backfill_ids, error_tallies, failed, fetch_counters, first_of_key, insert_if_absent, limit_kept, within_budget
 from millrace.operators.scoring import Profile, ScoreRule, keyword_score
 from millrace.operators.synonyms import synonym_classes
+from millrace.plans.cli import detail, list_cells, score_style
 from millrace.plans.export import EXPORT_COLUMNS, csv_cells, json_record, markdown_bullet
+from millrace.plans.remote import classify, schema_problems, verdict
 from millrace.plans.views import postings, table, with_status
 from millrace.scratch import scratch
 from millrace.sources import json_board, rss_feed
@@ -638,4 +640,93 @@ def status_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("user_id", _status(F.col("event_type")).alias("status"), schema.iso_time(F.date_trunc("second", F.col("ts"))).alias("changed_at"))
 
 
+# -- views and remote services -----------------------------------------------------------------------------------------
+
+
+@_query(
+    f"""{_VIEW} SELECT substring(id, 1, 8) AS id, coalesce(CAST(score AS VARCHAR), '-') AS score, title, company, coalesce(location, '-') AS location, work_mode, status, source,
+        CASE WHEN score >= 70 THEN 'green' WHEN score >= 40 THEN 'yellow' ELSE 'dim' END AS style FROM v"""
+)
+def console_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir).select(*list_cells(), score_style(F.col("score")).alias("style"))
+
+
+@_query(
+    f"""{_VIEW} SELECT url, label, value FROM (
+        SELECT url, unnest(['url', 'score', 'location', 'fetched_at', 'matched_skills']) AS label,
+               unnest([url, CAST(score AS VARCHAR), location, strftime(fetched_at, '%Y-%m-%d'), array_to_string(matched, ', ')]) AS value FROM v) WHERE value <> ''"""
+)
+def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label and value of each posting's fields, without those that are empty."""
+    view = _view(spark, sf_dir)
+    typed = view.withColumns({c: F.lit(None).cast(schema.POSTING_SCHEMA[c].dataType) for c in schema.COLUMNS if c not in view.columns})
+    rows = detail(typed, "url")
+    return rows.filter(F.col("label").isin("url", "score", "location", "fetched_at", "matched_skills"))
+
+
+@_query("SELECT doc_id, source AS company, 'Job: ' || doc_id AS title FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 4 > 0")
+def company_title_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, text = F.col("doc_id"), F.col("doc_id").cast("string")
+    raw = F.when(k % 4 == 0, F.concat("source", F.lit(" : Job: "), text)).when(k % 4 == 1, text).when(k % 4 == 2, F.concat(F.lit(" :"), text)).otherwise(F.concat("source", F.lit(": ")))
+    company, title = company_and_title(raw)
+    return table(spark, sf_dir, "documents").select("doc_id", company.alias("company"), title.alias("title"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'https://feed.example/all' ELSE 'https://feed.example/' || source || '.rss' END AS url FROM documents")
+def feed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = F.when(F.col("doc_id") % 3 == 0, rss_feed.MAIN_FEED).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", rss_feed.feed_url(feed, "https://feed.example/all", "https://feed.example/%s.rss").alias("url"))
+
+
+@_query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 < 3 THEN CAST(doc_id % 101 AS INT) END AS score, CASE WHEN doc_id % 5 < 3 THEN 'from ' || source END AS summary, CASE WHEN doc_id % 5 < 3 THEN 'a,b' END AS matched
+       FROM documents"""
+)
+def reply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a metered scorer, some fenced, some not a verdict."""
+    k = F.col("doc_id")
+    good = F.to_json(F.struct((k % 101).alias("score"), F.concat(F.lit("from "), "source").alias("summary"), F.array(F.lit("a"), F.lit("b")).alias("matched_skills")))
+    reply = F.when(k % 5 == 0, good).when(k % 5 == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(k % 5 == 2, F.concat(F.lit(" ```"), good, F.lit("``` so")))
+    reply = reply.when(k % 5 == 3, F.lit('{"score": 101, "summary": "x"}')).otherwise("no verdict")
+    found = table(spark, sf_dir, "documents").select("doc_id", verdict(reply).alias("v"))
+    return found.select("doc_id", "v.score", "v.summary", F.array_join("v.matched_skills", ",").alias("matched"))
+
+
+@_query(f"WITH {_P} SELECT url, CASE WHEN doc_id % 3 = 0 THEN 'updated' ELSE 'created' END AS action FROM p")
+def remote_upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upsert into a remote table that has every third posting does with each."""
+    view = postings(spark, sf_dir)
+    return classify(view, view.filter("doc_id % 3 = 0").select("url", F.col("id").alias("page_id"))).select("url", "action")
+
+
+@_query("SELECT * FROM (VALUES ('URL', 'url', 'rich_text'), ('Score', 'number', NULL), ('Company', 'rich_text', NULL), ('Source', 'select', NULL)) v(property, expected, found)")
+def remote_schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_problems(spark.createDataFrame([("Name", "title"), ("URL", "rich_text"), ("Status", "select"), ("More", "x")], "property string, type string"))
+
+
+@_query(
+    f"""{_VIEW} SELECT url, '[' || array_to_string(list_transform(matched, lambda x: '"' || x || '"'), ',') || ']' AS matched_skills, {_ISO.format('fetched_at')} AS fetched_at,
+        CAST(location_match AS INT) AS location_match FROM v"""
+)
+def wire_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = _view(spark, sf_dir)
+    typed = view.withColumns({c: F.lit(None).cast(schema.POSTING_SCHEMA[c].dataType) for c in schema.COLUMNS if c not in view.columns})
+    return schema.encode(typed).select("url", "matched_skills", "fetched_at", "location_match")
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'page ' || doc_id ELSE 'summary' END AS text FROM documents")
+def detail_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of feeds with the whole description of their detail page, where that has one."""
+    k = F.col("doc_id").cast("string")
+    link = F.concat(F.lit("https://feed.example/"), k)
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select(
+        F.lit("feed").alias("unit"), F.col("doc_id").alias("sequence"), F.concat(F.lit("A: "), k).alias("title"), link.alias("link"), F.lit(None).cast("string").alias("pubDate"),
+        F.lit("<p>summary</p>").alias("description"), F.lit("").alias("region"),
+    )
+    html = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<div>menu</div><div class="x listing-container"><div>page '), k, F.lit("</div></div><div>foot</div>"))).otherwise("<p>other</p>")
+    details = docs.select(link.alias("link"), container_html(html, "listing-container").alias("detail"))
+    return rss_feed.normalize_items(raw, details).select(F.col("sequence").alias("doc_id"), F.col("description_clean").alias("text"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
