@@ -1,44 +1,17 @@
-"""What several operators share: scratch tables in the folder that driver and executors share, and constants of text."""
+"""What several operators share: constants of text, and the join of rows with their groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.scratch import scratch, shared_dir, stage
+
 #: The bytes that count as white space in the contracts: ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where that is unset (tests), a new one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs a re-read of the written table, and values that depend on how rows
-    were dealt (row numbers, sampled ranges) are fixed from then on.
-    """
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
@@ -59,3 +32,6 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
     stay = rows.join(F.broadcast(hot), on)
     move = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
     return stay.unionByName(move)
+
+
+__all__ = ["HOT", "LOWER", "UPPER", "WHITE", "ascii_lower", "join_groups", "scratch", "shared_dir", "stage"]
