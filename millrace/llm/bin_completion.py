@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.support import stage
-from millrace.llm.tree_bpe import encode_documents, tree_bpe
+from millrace.llm.tree_bpe import encode_documents
 
 CAPACITY, END_ID, SALTS = 1024, 2, 64
 #: The search is cut off after so many nodes and keeps the incumbent; the first dive is always completed.
@@ -231,7 +231,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     The first piece is the shorter one. A null or empty text is the end id alone. ``ids``: unsigned 32 bits each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = encode_documents(rows, path).mapInArrow(_cut(capacity, end_id), "id long, piece int, start long, length long, ids binary")
+    pieces = encode_documents(rows, path, _cut(capacity, end_id), "id long, piece int, start long, length long, ids binary")
     return pieces.withColumnRenamed("id", id_col)
 
 
@@ -245,4 +245,4 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     return pack(stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), capacity)
 
 
-__all__ = ["bin_completion", "cut_pieces", "pack", "pack_documents", "tree_bpe"]
+__all__ = ["bin_completion", "cut_pieces", "pack", "pack_documents"]

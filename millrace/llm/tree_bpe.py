@@ -22,10 +22,9 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -45,9 +44,7 @@ class TreeBpe:
     """Encoder and decoder of one byte-level tokenizer file; ids are bytes, little-endian unsigned 32 bits each."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -59,6 +56,14 @@ class TreeBpe:
             table[t["id"]] = t["content"].encode()
         self.table = [table.get(i, b"") for i in range(max(table) + 1)]
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """Loaded where a text has special strings or rare characters."""
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     # -- pieces ------------------------------------------------------------------------------------------------------
 
     def _ids(self, piece: str) -> bytes:
@@ -152,6 +157,10 @@ class TreeBpe:
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: From batches of (id, ids) to others.
+Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
 @functools.lru_cache(2)
 def tree_bpe(path: str) -> TreeBpe:
     return TreeBpe(path)
@@ -179,31 +188,40 @@ def _leaves(path: str):
     return run
 
 
-def _joined(path: str):
-    def run(leaves: pd.DataFrame) -> pd.DataFrame:
-        own = leaves.sort_values("number")
-        return pd.DataFrame({"id": own["id"].iloc[:1], "ids": [tree_bpe(path).concatenate(own["text"].tolist(), own["ids"].tolist())]})
+def _joined(path: str, finish: Finish):
+    def run(leaves: pa.Table) -> pa.Table:
+        own = leaves.sort_by("number")
+        ids = tree_bpe(path).concatenate(own.column("text").to_pylist(), own.column("ids").to_pylist())
+        whole = pa.RecordBatch.from_arrays([own.column("id")[:1].combine_chunks(), pa.array([ids], pa.binary())], ["id", "ids"])
+        return pa.Table.from_batches(list(finish(iter([whole]))))
 
     return run
 
 
-def encode_documents(rows: DataFrame, path: str, span: int = SPAN, spread: int = SPREAD) -> DataFrame:
-    """(id, ids) of ``rows`` (id long, text string, not null); ids are binary, unsigned 32 bits each."""
-    short = rows.filter(F.length("text") <= spread).mapInArrow(_encoded(path), "id long, ids binary")
+def encode_documents(rows: DataFrame, path: str, finish: Finish = iter, schema: str = "id long, ids binary", span: int = SPAN, spread: int = SPREAD) -> DataFrame:
+    """(id, ids) of ``rows`` (id long, text string, not null); ids are binary, unsigned 32 bits each.
+
+    ``finish`` turns the batches of (id, ids) into those of ``schema`` within the same Python worker, so that a task has
+    one worker's memory and the ids need not leave it.
+    """
+    encode = _encoded(path)
+    short = rows.filter(F.length("text") <= spread).mapInArrow(lambda batches: finish(encode(batches)), schema)
     # A text's leaves meet again in one task, as the row that they are of does.
     long = rows.filter(F.length("text") > spread).withColumn("row", F.monotonically_increasing_id())
     starts = F.sequence(F.lit(0), F.ceil(F.length("text") / F.lit(span)).cast("int") - 1)
     leaves = long.select("row", "id", F.posexplode(F.transform(starts, lambda k: F.substring(F.col("text"), k * span + 1, F.lit(span)))).alias("number", "text"))
     encoded = leaves.repartition("row", "number").mapInArrow(_leaves(path), "row long, id long, number int, text string, ids binary")
-    return short.unionByName(encoded.groupBy("row").applyInPandas(_joined(path), "id long, ids binary"))
+    return short.unionByName(encoded.groupBy("row").applyInArrow(_joined(path, finish), schema))
+
 
+def _digests(path: str) -> Finish:
+    names, types = ["id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tree_bpe(path)
         for b in batches:
             rows = [(i, len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(bpe.decode(x).encode()).hexdigest()) for i, x in zip(b.column("id").to_pylist(), b.column("ids").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     return run
 
@@ -215,5 +233,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     are encoded whole. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = encode_documents(rows, path).mapInArrow(_digests(path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = encode_documents(rows, path, _digests(path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
