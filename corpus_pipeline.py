@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences: five stages, each written as Parquet and read again as the next input.
 
-1. language ID: documents without a language (no letters, or no language that is likelier than not) go;
+1. language ID: documents without a language (no letters, or a score below MIN_SCORE) go;
 2. line dedup: lines that at least three documents share stay in the one with the largest id only;
 3. SimHash near-dedup: one document of each group stays;
 4. secret scans: secrets are replaced by [SECRET];
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from millrace.llm import bin_completion, crf_langid, line_runs, secret_ledger, simhash_vptree
 from millrace.llm.support import stage
 
-#: A document's language is accepted from this score on: it is likelier than all others together.
-MIN_SCORE = 0.5
+#: A document's language is accepted from this score on; one that is half in one language and half in another stays.
+MIN_SCORE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
