@@ -93,7 +93,8 @@ def drop_repeated_lines(
 
     Defined cases: a null or empty text is one empty line and comes out empty; rows of one id are one document for the
     count and keep or drop a key together; rows with a null id are one document whose id is below all others; a
-    document all of whose lines go has the text ''. Every other column passes through unchanged.
+    document all of whose lines go has the text ''. Every other column passes through unchanged, but n_lines and
+    n_dropped are replaced.
     """
     spark = docs.sparkSession
     low = F.lit(-(2**63)).cast("long")
@@ -126,5 +127,5 @@ def drop_repeated_lines(
     gone = F.coalesce(F.col("d_pos"), F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
     text = F.when(F.size(gone) == 0, F.coalesce(named[text_col], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
-    rest = [named[c].alias(c) if c != text_col else text.alias(c) for c in docs.columns]
+    rest = [named[c].alias(c) if c != text_col else text.alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*rest, F.size(split).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))

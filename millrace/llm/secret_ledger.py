@@ -72,7 +72,7 @@ def scan_documents(docs: DataFrame, text_col: str = "text", ledger: BlobLedger |
     """``docs`` with a column ``findings`` (sorted by start, then kind).
 
     Defined cases: a null text is an empty one, without findings; repeated rows and equal texts are scanned once and all
-    get the findings; every other column passes through unchanged.
+    get the findings; every other column passes through unchanged, but one named ``findings`` is replaced.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -82,7 +82,7 @@ def scan_documents(docs: DataFrame, text_col: str = "text", ledger: BlobLedger |
     hits = known.filter(F.size("findings") > 0).select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
     named = docs.withColumn("__of", blob)
     return named.join(hits, named["__of"] == hits["__blob"], "left").select(
-        *[named[c] for c in docs.columns], F.coalesce("__found", F.array().cast(FINDINGS)).alias("findings")
+        *[named[c] for c in docs.columns if c != "findings"], F.coalesce("__found", F.array().cast(FINDINGS)).alias("findings")
     )
 
 

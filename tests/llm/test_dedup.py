@@ -87,7 +87,7 @@ def test_line_dedup(spark, batches, fanout):
 
 def test_line_dedup_of_nothing(spark):
     assert line_runs.drop_repeated_lines(documents(spark, [])).count() == 0
-    clash = documents(spark, [(1, "a")]).withColumns({"key": F.lit(1), "pos": F.lit(2), "id": F.lit(3), "batch": F.lit(4)})
+    clash = documents(spark, [(1, "a")]).withColumns({"key": F.lit(1), "pos": F.lit(2), "id": F.lit(3), "batch": F.lit(4), "n_lines": F.lit(5)})
     assert line_runs.drop_repeated_lines(clash).columns[-2:] == ["n_lines", "n_dropped"]
 
 

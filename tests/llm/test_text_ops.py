@@ -63,7 +63,7 @@ def test_ledger(spark):
     rows = list(enumerate([*SECRETS, *SECRETS[:3], None]))
     docs = documents(spark, rows)
     ledger = secret_ledger.BlobLedger(spark)
-    got = secret_ledger.scan_documents(docs, ledger=ledger)
+    got = secret_ledger.scan_documents(docs.withColumns({"findings": F.lit(1), "blob": F.lit(2)}), ledger=ledger)
     same([(r["doc_id"], [(x["start"], x["kind"], x["end"]) for x in r["findings"]]) for r in got.collect()], [(i, plain_secrets(t or "")) for i, t in rows])
     known = lambda v: spark.read.parquet(ledger.path).filter(F.col("rule_version") == v).count()
     first = known(1)
