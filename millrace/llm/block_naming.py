@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.support import stage
+from millrace.llm.support import join_groups, stage
 
 BLOCK_BYTES = 4096
 
@@ -98,8 +98,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are null; rows that repeat id and text get equal results; an empty table gives no rows. Other columns are not read.
     """
     named = stage(name_documents(docs, id_col, text_col, block_bytes, fingerprint), "identity")
-    groups = named.groupBy("height", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stage(named.groupBy("height", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     kept: Column = F.col("id").eqNullSafe(F.col("keep_id"))
-    return named.join(groups, ["height", "name"]).select(
+    return join_groups(named, groups, ["height", "name"], "group_size", named.count()).select(
         F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
