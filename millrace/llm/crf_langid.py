@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain as flatten
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 PER_LANGUAGE, SPANS, CHAIN = 150, 8, 32
 SLOTS, LEXICON, EPOCHS, BATCH, RATE, PENALTY = 1 << 17, 200, 3, 64, 0.3, 1e-5
-KEPT = 300_000
+KEPT = 800_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
 
@@ -32,17 +34,35 @@ def letters(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(c for c in token.lower() if c.isalpha())
 
 
-def slots(word: str, lexicons: dict[str, list[int]]) -> list[int]:
-    """The places of a word's features in the weight table."""
-    raw = [f"w{word}"] if word in lexicons else []
-    raw += [f"l{k}" for k in lexicons.get(word, ())]
-    n = len(word)
-    raw += [f"p{word[:k]}" for k in range(1, min(4, n) + 1)]
-    raw += [f"s{word[n - k :]}" for k in range(1, min(4, n) + 1)]
-    marked = f"<{word}>"[:64]
-    raw += [marked[k : k + 2] for k in range(len(marked) - 1)]
-    raw += [marked[k : k + 3] for k in range(len(marked) - 2)]
-    return [zlib.crc32(r.encode("utf-8", "surrogatepass")) % SLOTS for r in raw]
+def features(words: list[str], lexicons: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all words' features in the weight table, word by word, and how many each word has.
+
+    Letter n-grams within the word's marks, affixes of up to four letters, the word if it is in a lexicon, and which.
+    """
+    chars = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = sizes[word] - (np.arange(len(chars)) - starts[word])  # characters from here to the word's end
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(at: np.ndarray, length: int, kind: int) -> None:
+        h = np.full(len(at), kind, np.uint64)
+        for k in range(length):
+            h = (h ^ chars[at + k]) * _MIX
+        found.append((word[at], (h >> np.uint64(40)).astype(np.int64) % SLOTS))
+
+    for n in (2, 3):
+        add(np.flatnonzero(left >= n), n, n)
+    for n in (1, 2, 3, 4):
+        own = np.flatnonzero(sizes - 2 >= n)
+        add(starts[own] + 1, n, 10 + n)
+        add(starts[own] + sizes[own] - 1 - n, n, 20 + n)
+    known = [(k, s) for k, w in enumerate(words) if w in lexicons for s in (zlib.crc32(w.encode()) % SLOTS, *lexicons[w])]
+    if known:
+        found.append(tuple(np.array(known, np.int64).T))
+    of, slot = (np.concatenate(x) for x in zip(*found, strict=True))
+    return slot[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
 
 def forward_backward(emission: np.ndarray, length: np.ndarray, transition: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -87,10 +107,8 @@ class LanguageField:
         return self.__dict__ | {"known": {}, "rows": []}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        own = [slots(w, self.lexicons) for w in words]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter((s for x in own for s in x), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.weights[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0) if words else np.zeros((0, len(self.languages)))
+        slot, sizes = features(words, self.lexicons)
+        return np.add.reduceat(self.weights[slot], np.cumsum(sizes) - sizes, axis=0)
 
     def _look_up(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """A table of emissions and each token's row there; -1 for a token without letters."""
@@ -107,7 +125,7 @@ class LanguageField:
         self.known.update((new[k], at + i) for i, k in enumerate(real))
         if real:
             self.rows = [np.concatenate([*self.rows, self.emissions([words[k] for k in real]).astype(np.float32)])]
-        flat = np.fromiter((self.known[t] for tokens in texts for t in tokens), np.int64)
+        flat = np.array(list(map(self.known.__getitem__, flatten.from_iterable(texts))), np.int64)
         return self.rows[0] if self.rows else np.zeros((0, len(self.languages)), np.float32), flat
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +190,8 @@ def fit(spans: dict[str, list[list[str]]], seed: int = 7) -> LanguageField:
                 words, labels = words[:cut] + tail, [k] * cut + [other] * len(tail)
             chains.append((words, labels))
     index = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in chains for w in words))}
-    own = [slots(w, lexicons) for w in index]
+    slot, many_of = features(list(index), lexicons)
+    own = np.split(slot, np.cumsum(many_of)[:-1])
     sums = [np.zeros_like(x) + 1e-8 for x in (model.weights, model.transition, model.start)]
     for _ in range(EPOCHS):
         order = rng.permutation(len(chains))
@@ -182,7 +201,7 @@ def fit(spans: dict[str, list[list[str]]], seed: int = 7) -> LanguageField:
             where = (np.repeat(np.arange(len(part)), length), np.concatenate([np.arange(n) for n in length]))
             feats = [own[index[w]] for words, _ in part for w in words]
             sizes = np.fromiter(map(len, feats), np.int64, len(feats))
-            flat = np.concatenate([np.array(f) for f in feats])
+            flat = np.concatenate(feats)
             emission = np.zeros((len(part), length.max(), many))
             emission[where] = np.add.reduceat(model.weights[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
             marginal, both = forward_backward(emission, length, model.transition, model.start, pairs=True)
@@ -246,8 +265,9 @@ def _predicted(model: LanguageField):
 
 
 def predict(docs: DataFrame, model: LanguageField, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred (``und`` for a text that is null or has no letters) and score; only the text is looked at."""
-    rows = docs.withColumn("text", F.col(text_col)) if text_col != "text" else docs
+    """``docs`` with lang_pred (``und`` for a text that is null or has no letters) and score; only the text is looked at.
+    Columns of those two names are replaced."""
+    rows = (docs.withColumn("text", F.col(text_col)) if text_col != "text" else docs).drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_predicted(model), f"{schema}, lang_pred string, score double")
 

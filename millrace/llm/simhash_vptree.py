@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from millrace.llm.support import stage
+from millrace.llm.support import join_groups, stage
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 SAMPLE, SHARD, BLOCK = 4096, 6000, 1 << 21
@@ -210,12 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows. Other columns are not read.
     """
     own = stage(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = stage(own.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = stage(own.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
     roots = components(links(nodes, sample, shard))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = stage(rooted.join(smallest, "root").select("fp", "copies", "component_id"), "classes")
+    return join_groups(own, classes, ["fp"], "copies", own.count()).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_digits(fp):
