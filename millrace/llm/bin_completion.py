@@ -9,7 +9,8 @@ provides at first. A filling is used as often as the histogram allows before the
 
 The pieces get their sequences as Spark rows: within a length, salted by document, each piece has a rank (an exclusive
 sum over the counts of the salts plus a row number within one salt), and ranges of ranks belong to slots of patterns. So
-a length that a third of all pieces have is dealt over all salts, and pieces are moved once, without their ids.
+a length that a third of all pieces have is dealt over all salts, and pieces are moved once, without their ids. A length
+has as many salts as its number of pieces asks for, so what one task ranks does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from millrace.llm.support import stage
 from millrace.llm.tree_bpe import encode_documents
 
-CAPACITY, END_ID, SALTS = 1024, 2, 64
+#: A length has SALTS salts, and more where they would have over SALT_ROWS pieces each.
+CAPACITY, END_ID, SALTS, SALT_ROWS = 1024, 2, 64, 500_000
 #: The search is cut off after so many nodes and keeps the incumbent; the first dive is always completed.
 NODES, FILLINGS = 300, 6
 
@@ -170,26 +172,29 @@ def _slots(patterns: list[Pattern]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """``pieces`` (any columns, with ``length`` from 1 to ``capacity``; written tables, as they are read twice) with
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``pieces`` (any columns, with ``length`` from 1 to ``capacity``; written tables, as they are read again) with
     sequence_id and offset. Repeated rows are pieces of their own."""
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in pieces.dtypes if t in ("bigint", "int")]), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "__salt").count()
-    # At most capacity * salts rows, whatever the number of documents.
-    table = counts.collect()
-    histogram: dict[int, int] = {}
-    before: dict[int, int] = {}
-    for r in sorted(table, key=lambda r: (r["length"], r["__salt"])):
-        before[r["length"] * salts + r["__salt"]] = histogram.get(r["length"], 0)
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["count"]
+    # At most capacity rows, whatever the number of documents.
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     keys, sequences, offsets = _slots(bin_completion(histogram, capacity))
-    own = np.array(sorted(before), np.int64)
-    starts = np.array([before[k] for k in own.tolist()], np.int64)
+    many = F.lit(salts)
+    for length, n in sorted(histogram.items()):
+        if n > salts * salt_rows:
+            many = F.when(F.col("length") == length, -(-n // salt_rows)).otherwise(many)
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in pieces.dtypes if t in ("bigint", "int")]), many).cast("int"))
+    # At most capacity * salts rows, and one for each salt_rows pieces.
+    table = salted.groupBy("length", "__salt").count().orderBy("length", "__salt").collect()
+    own = np.array([r["length"] << 32 | r["__salt"] for r in table], np.int64)
+    starts, last, sum_of = np.zeros(len(table), np.int64), None, 0
+    for k, r in enumerate(table):
+        sum_of = sum_of if r["length"] == last else 0
+        starts[k], last, sum_of = sum_of, r["length"], sum_of + r["count"]
 
     @F.pandas_udf("struct<sequence_id:long,offset:long>")
     def slot(length: pd.Series, salt: pd.Series, number: pd.Series) -> pd.DataFrame:
         size = length.to_numpy(np.int64)
-        rank = starts[np.searchsorted(own, size * salts + salt.to_numpy(np.int64))] + number.to_numpy(np.int64) - 1
+        rank = starts[np.searchsorted(own, size << 32 | salt.to_numpy(np.int64))] + number.to_numpy(np.int64) - 1
         key = size << 44 | rank
         at = np.searchsorted(keys, key, "right") - 1
         return pd.DataFrame({"sequence_id": sequences[at] + key - keys[at], "offset": offsets[at]})

@@ -225,6 +225,21 @@ def test_packing(spark):
     assert bin_completion.pack_documents(documents(spark, []), BYTES).count() == 0
 
 
+@pytest.mark.parametrize(("salts", "salt_rows"), [(1, 10_000), (1, 7), (64, 1)])
+def test_every_piece_has_a_place_whatever_the_salts(spark, salts, salt_rows):
+    rng = random.Random(salts)
+    # A third of the pieces have one length, and some rows are repeated.
+    lengths = [50 if k % 3 == 0 else rng.randint(1, 50) for k in range(600)]
+    rows = [(k, n) for k, n in enumerate(lengths)] + [(0, lengths[0])] * 3
+    pieces = spark.createDataFrame(rows, "doc_id long, length long")
+    got = bin_completion.pack(pieces, 50, salts, salt_rows).collect()
+    same([(r["doc_id"], r["length"]) for r in got], rows)
+    taken = Counter((r["sequence_id"], k) for r in got for k in range(r["offset"], r["offset"] + r["length"]))
+    assert set(taken.values()) == {1}
+    ends = Counter(r["sequence_id"] for r in got for _ in range(r["length"]))
+    assert all(max(k for s, k in taken if s == i) + 1 == n <= 50 for i, n in list(ends.items())[:40])
+
+
 # -- language ----------------------------------------------------------------------------------------------------------
 
 VOCABULARY = {"en": "the of and to in that with river stone", "fr": "le la les des une dans avec pierre rivière", "de": "der die das und mit nicht stein fluss über"}
