@@ -18,8 +18,7 @@ MIN_TOKENS, MIN_HITS, MIN_MARGIN = 12, 3, 2
 
 
 def _hits(words: Column, language: str) -> Column:
-    own = F.array(*[F.lit(w) for w in STOPWORDS[language].split()])
-    return F.size(F.filter(words, lambda w: F.array_contains(own, w)))
+    return F.size(F.filter(words, lambda w: w.isin(*STOPWORDS[language].split())))
 
 
 def detect_language(text: Column) -> Column:

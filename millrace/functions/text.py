@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -46,6 +46,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` computed once a row, also where later filters, sorts and projections use them.
+
+    They are made by a generator, which no filter on them is pushed below: pushed into a projection, a filter would
+    repeat their expressions. They are computed even where nothing uses them. Columns of those names are replaced.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))) if columns else df
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

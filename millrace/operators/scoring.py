@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.places import location_match, work_mode_match
-from millrace.functions.text import Fold, fold, let, normalize, occurs
+from millrace.functions.text import Fold, bind, fold, let, normalize, occurs
 from millrace.operators.synonyms import Synonyms
 
 ABSENT_PENALTY, ABSENT_PENALTY_CAP = 0.34, 1.0
@@ -86,8 +86,8 @@ def keyword_score(postings: DataFrame, profile: Profile, rule: ScoreRule | None
         score = half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), coverage - penalty))) if own else F.lit(0)
         return F.struct(names["matched"].alias("matched"), names["unmatched"].alias("unmatched"), names["penalized"].alias("penalized"), score.alias("score"), half_up(coverage).alias("points"))
 
-    # One expression, as a filter on the score would otherwise repeat the folding for each skill.
-    named = postings.withColumn("__seen", let(haystack(rule.fold), seen)).withColumns(
+    # One bound expression, as a filter on the score would otherwise repeat the folding for each skill.
+    named = bind(postings, __seen=let(haystack(rule.fold), seen)).withColumns(
         {
             "matched_skills": F.col("__seen.matched"),
             "unmatched_profile_skills": F.col("__seen.unmatched"),

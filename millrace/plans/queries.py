@@ -12,7 +12,7 @@ from millrace.functions.dates import parse_iso, parse_rfc822
 from millrace.functions.html import container_html, strip_html, strip_html_exact
 from millrace.functions.language import STOPWORDS, detect_language
 from millrace.functions.places import eligible_locations, location_match, region_eligibility, work_mode_match
-from millrace.functions.text import company_and_title, defuse_formula, humanize_slug, markdown_destination, markdown_text, truncate
+from millrace.functions.text import bind, company_and_title, defuse_formula, humanize_slug, markdown_destination, markdown_text, truncate
 from millrace.functions.urls import TRACKING_NAMES, normalize_url, posting_id
 from millrace.functions.workmode import NEGATORS, infer_work_mode
 from millrace.operators.filters import Scope, by_id_prefix, by_url, order, page, title_filter
@@ -117,7 +117,7 @@ def _joined(name: str):
 def ranked_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: language tag, score, scope, rank, top 100."""
     view = postings(spark, sf_dir)
-    tagged = keyword_score(view.withColumn("detected_language", detect_language(F.concat("title", F.lit("\n"), "description_clean"))), PROFILE, RULE)
+    tagged = keyword_score(bind(view, detected_language=detect_language(F.concat("title", F.lit("\n"), "description_clean"))), PROFILE, RULE)
     kept = Scope(languages=("en",), min_score=20).select(tagged).orderBy(*order("score")).limit(100)
     # The window is over the 100 rows that are left.
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order("score")))).select("rank", "url", "id", "score", "title", "detected_language")
