@@ -20,12 +20,15 @@ from itertools import chain as flatten
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_LANGUAGE, SPANS, CHAIN = 150, 8, 32
 SLOTS, LEXICON, EPOCHS, BATCH, RATE, PENALTY = 1 << 17, 200, 3, 64, 0.3, 1e-5
 KEPT = 800_000
+#: Words whose features are looked up at once; texts (and, beyond the first, their bytes) that are predicted at once.
+WORDS, TEXTS, TEXT_BYTES = 8192, 500, 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
@@ -124,7 +127,9 @@ class LanguageField:
         self.known.update((t, -1) for t in new)
         self.known.update((new[k], at + i) for i, k in enumerate(real))
         if real:
-            self.rows = [np.concatenate([*self.rows, self.emissions([words[k] for k in real]).astype(np.float32)])]
+            # In blocks, as a word has some 25 features while it is looked up.
+            blocks = [self.emissions([words[k] for k in real[i : i + WORDS]]).astype(np.float32) for i in range(0, len(real), WORDS)]
+            self.rows = [np.concatenate([*self.rows, *blocks])]
         flat = np.array(list(map(self.known.__getitem__, flatten.from_iterable(texts))), np.int64)
         return self.rows[0] if self.rows else np.zeros((0, len(self.languages)), np.float32), flat
 
@@ -251,13 +256,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(out)
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of at most TEXTS texts and TEXT_BYTES bytes, or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    begin = held = 0
+    for k, size in enumerate(sizes):
+        if k > begin and (k - begin >= TEXTS or held + size > TEXT_BYTES):
+            yield texts.slice(begin, k - begin)
+            begin, held = k, 0
+        held += size
+    if begin < len(sizes):
+        yield texts.slice(begin)
+
+
 def _predicted(model: LanguageField):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for k in range(0, b.num_rows, 500):
-                texts = b.column("text").slice(k, 500).to_pylist()
-                found += model.predict([t or "" for t in texts])
+            for part in _parts(b.column("text")):
+                found += model.predict([t or "" for t in part.to_pylist()])
             b = b.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column("score", pa.array([s for _, s in found], pa.float64()))
             yield b
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import corpus, documents, same
@@ -263,6 +264,21 @@ def test_forward_backward_is_exact():
     assert np.allclose(crf_langid.forward_backward(padded, np.array([4]), transition, start)[0, :4], got)
 
 
+def test_predictions_do_not_depend_on_how_texts_are_dealt(monkeypatch):
+    rng = random.Random(8)
+    model = crf_langid.fit({k: [texts_of(rng, k, 20).split() for _ in range(20)] for k in VOCABULARY})
+    texts = [None, "", "123", *(texts_of(rng, rng.choice(list(VOCABULARY)), rng.randint(1, 400)) for _ in range(60))]
+    want = model.predict([t or "" for t in texts])
+    for name, value in (("WORDS", 3), ("TEXTS", 7), ("TEXT_BYTES", 900)):
+        monkeypatch.setattr(crf_langid, name, value)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    parts = list(crf_langid._parts(batch.column("text")))
+    assert [t for p in parts for t in p.to_pylist()] == texts and max(map(len, parts)) <= 7
+    (got,) = crf_langid._predicted(model)(iter([batch]))
+    assert [x for x, _ in want] == got.column("lang_pred").to_pylist()
+    assert np.allclose([x for _, x in want], got.column("score").to_pylist())
+
+
 def test_language(spark):
     rng = random.Random(3)
     langs = sorted(VOCABULARY)
