@@ -3,9 +3,11 @@
 Only the number of pieces of each length matters for how few sequences are needed, and there are at most ``capacity``
 lengths; so what is solved is that histogram, however many documents there are, and its solution is a list of patterns
 (the lengths of one sequence) with how often each is used. The search is bin completion: the largest piece left opens a
-sequence, the undominated fillings of its room are enumerated in order of their waste, each is a branch, and branches
-are pruned when the waste so far leaves no chance of fewer sequences than the incumbent, which best-fit decreasing
-provides at first. A filling is used as often as the histogram allows before the search goes on.
+sequence, all fillings of its room that leave no room for another piece are enumerated in order of their waste, each is a
+branch, and branches are pruned when the waste so far leaves no chance of fewer sequences than the incumbent, which
+best-fit decreasing provides at first. A filling is used as often as the histogram allows, and by later branches of its
+node less often. Where that leaves more sequences than the sum of lengths asks for, patterns by generated columns (the
+relaxed problem) are used their whole number of times, and what is left is searched. The limits are NODES and PIVOTS.
 
 The pieces get their sequences as Spark rows: within a length, salted by document, each piece has a rank (an exclusive
 sum over the counts of the salts plus a row number within one salt), and ranges of ranks belong to slots of patterns. So
@@ -16,7 +18,9 @@ has as many salts as its number of pieces asks for, so what one task ranks does
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+import heapq
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +33,10 @@ from millrace.llm.tree_bpe import encode_documents
 
 #: A length has SALTS salts, and more where they would have over SALT_ROWS pieces each.
 CAPACITY, END_ID, SALTS, SALT_ROWS = 1024, 2, 64, 500_000
-#: The search is cut off after so many nodes and keeps the incumbent; the first dive is always completed.
-NODES, FILLINGS = 300, 6
+#: The search is cut off after so many nodes and keeps the incumbent; the first dive is always completed and has none of them.
+NODES = 300
+#: Pivots of the relaxed problem; what is reached by then is used.
+PIVOTS = 600
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -71,84 +77,202 @@ def _best_fit(counts: list[int], capacity: int) -> list[Pattern]:
     return out
 
 
-def _fillings(counts: list[int], sizes: list[int], room: int, slack: int, most: int) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated fillings of ``room`` with at most ``slack`` waste, least waste first, at most ``most``.
+Filling = tuple[tuple[int, int], ...]
 
-    ``sizes`` ascend. Larger pieces are tried first. A filling that leaves room for another piece is dominated by the
-    one that has it; of fillings with equal waste those of fewer, larger pieces come first, as splitting a piece of a
-    filling into smaller ones with the same sum gives a dominated one.
+
+def _sums(counts: list[int], sizes: list[int], room: int) -> list[int]:
+    """By k: a bit for each sum up to ``room`` that pieces of the first k of ``sizes`` can have."""
+    full, sums = (1 << (room + 1)) - 1, [1]
+    for size in sizes:
+        own, left, many = sums[-1], min(counts[size], room // size), 1
+        while left:
+            many = min(many, left)
+            own |= own << many * size & full
+            left, many = left - many, many * 2
+        sums.append(own)
+    return sums
+
+
+def _fillings(counts: list[int], sizes: list[int], room: int) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of every filling of ``room`` that leaves no room for a piece that is left, least waste first.
+
+    ``sizes`` ascend. A filling that leaves room for another piece is dominated by the one that has it, so with a waste all
+    pieces up to that length are in the filling. Each longer length is taken at every count from the most that fit down to
+    none; of fillings with equal waste those with more of the larger pieces come first. They are made as they are asked
+    for, and no step leads nowhere, as it is known which sums the lengths below can have.
     """
-    found: dict[tuple[tuple[int, int], ...], int] = {}
-    best, steps = room + 1, 0
-
-    def extend(room: int, below: int, taken: tuple[tuple[int, int], ...]) -> None:
-        nonlocal best, steps
-        steps += 1
-        at = bisect.bisect_right(sizes, min(room, below)) - 1
-        if at < 0 or room == 0:
-            if room <= slack and (len(found) < most or room < best):
-                found[taken] = room
-                best = min(best, room)
-            return
-        smallest = sizes[0]
-        for k in range(at, -1, -1):
-            if steps > 4000 or len(found) >= 4 * most or (best == 0 and len(found) >= most):
+    sizes = sizes[: bisect.bisect_right(sizes, room)]
+    small, sums = -1, [1]
+
+    def exact(k: int, rest: int, taken: Filling) -> Iterator[Filling]:
+        if not rest:
+            yield taken
+        while rest:
+            size = sizes[small + k - 1]
+            for n in range(min(counts[size], rest // size), 0, -1):
+                if sums[k - 1] >> rest - n * size & 1:
+                    yield from exact(k - 1, rest - n * size, (*taken, (size, n)))
+            if not sums[k - 1] >> rest & 1:
                 return
-            size = sizes[k]
-            times = min(counts[size], room // size)
-            extend(room - times * size, size - 1, (*taken, (size, times)))
-            if times > 1 and room - times * size:
-                extend(room - size, size - 1, (*taken, (size, 1)))
-            if room - size < smallest and size < room - slack:
-                return  # alone, and every smaller one alone, wastes too much
-
-    extend(room, room, ())
-    return sorted(found, key=lambda f: (found[f], sum(n for _, n in f)))[:most]
+            k -= 1
+
+    for waste in range(room + 1):
+        if small != (small := bisect.bisect_right(sizes, waste)):
+            sums = _sums(counts, sizes[small:], room)
+            every = tuple((s, counts[s]) for s in reversed(sizes[:small]))
+        rest = room - waste - sum(s * n for s, n in every)
+        if rest < 0:
+            return
+        if sums[-1] >> rest & 1:
+            for filling in exact(len(sums) - 1, rest, ()):
+                yield waste, filling + every
+
+
+def _branches(counts: list[int], large: int, capacity: int, slack: Callable[[], int], barred: frozenset[Filling]) -> Iterator[tuple[int, Filling, frozenset[Filling]]]:
+    """(times, filling, barred) for every filling of the sequence that ``large`` opens: as often as the counts and the
+    waste allow, and in later turns at every smaller number of times. Sequences with the same opener come in the order of
+    their fillings, so after a branch its filling and those before it are barred until the opener changes."""
+    others = counts.copy()
+    others[large] -= 1
+    fillings = _fillings(others, [s for s in range(1, large + 1) if others[s]], capacity - large)
+    seen: list[list] = []
+    more = True
+    while more or seen:
+        for at in seen:
+            at[0] = min(at[0] - 1, slack() // at[1] if at[1] else at[0])
+            if at[0] > 0:
+                yield at[0], *at[2:]
+        seen = [at for at in seen if at[0] > 1]
+        waste, filling = next(fillings, (capacity + 1, ())) if more else (0, ())
+        more = more and waste <= min(capacity, slack())
+        if more and filling not in barred:
+            barred |= {filling}
+            need = Counter({large: 1}) + Counter(dict(filling))
+            times = min(counts[s] // n for s, n in need.items())
+            seen.append([min(times, slack() // waste) if waste else times, waste, filling, barred])
+            yield seen[-1][0], *seen[-1][2:]
+
+
+def _relaxed(counts: list[int], capacity: int) -> list[Pattern]:
+    """The whole parts of a solution that may use patterns by fractions, by generated columns; never more than ``counts``."""
+    sizes = np.flatnonzero(counts)
+    fits = capacity // sizes
+    columns = [((int(s), int(n)),) for s, n in zip(sizes, fits, strict=True)]
+    inverse, x, at = np.diag(1 / fits), np.array(counts)[sizes] / fits, {int(s): k for k, s in enumerate(sizes)}
+    for _ in range(PIVOTS):
+        price = inverse.sum(0)
+        worth, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for room in range(int(sizes[0]), capacity + 1):
+            some = bisect.bisect_right(sizes, room)
+            each = worth[room - sizes[:some]] + price[:some]
+            taken[room] = each.argmax()
+            worth[room] = each[taken[room]]
+            if worth[room] <= worth[room - 1]:
+                worth[room], taken[room] = worth[room - 1], -1
+        if worth[capacity] <= 1 + 1e-9:
+            break
+        room, entering = capacity, Counter()
+        while room:
+            size = int(sizes[taken[room]]) if taken[room] >= 0 else 0
+            entering.update([size] if size else [])
+            room -= size or 1
+        step = sum(n * inverse[:, at[s]] for s, n in entering.items())
+        k = int(np.argmin(np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)))
+        by = x[k] / step[k]
+        x = np.maximum(x - by * step, 0)
+        x[k], columns[k] = by, tuple(sorted(entering.items(), reverse=True))
+        row = inverse[k] / step[k]
+        inverse -= np.outer(step, row)
+        inverse[k] = row
+    left, out = list(counts), []
+    for lengths, times in zip(columns, np.floor(x + 1e-6).astype(int).tolist(), strict=True):
+        times = min(times, *(left[s] // n for s, n in lengths))
+        if times > 0:
+            out.append((lengths, times))
+            for s, n in lengths:
+                left[s] -= n * times
+    return out
 
 
 def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
-    """Patterns ((length, times), ...) with how often each is used; they use up ``histogram`` exactly."""
+    """Patterns ((length, times), ...) with how often each is used; they use up ``histogram`` exactly. Where the search of
+    the whole leaves more than the sum of lengths asks for, that of what the relaxed problem leaves is tried."""
+    found = _search(histogram, capacity, nodes)
+    many = lambda patterns: sum(n for _, n in patterns)
+    if many(found) == -(-sum(s * n for s, n in histogram.items()) // capacity):
+        return found
+    counts = [0] * (capacity + 1)
+    for size, n in histogram.items():
+        counts[size] = n
+    whole = _relaxed(counts, capacity)
+    for lengths, times in whole:
+        for s, n in lengths:
+            counts[s] -= n * times
+    other = whole + _search({s: n for s, n in enumerate(counts) if n}, capacity, nodes)
+    return min(found, other, key=many)
+
+
+def _search(histogram: dict[int, int], capacity: int, nodes: int) -> list[Pattern]:
     counts = [0] * (capacity + 1)
     for size, n in histogram.items():
         counts[size] = n
     total = sum(s * n for s, n in enumerate(counts))
     bound = -(-total // capacity)
     incumbent = _best_fit(counts, capacity)
-    fewest, left = sum(n for _, n in incumbent), nodes
-
-    def search(counts: list[int], used: int, waste: int, path: list[Pattern], dive: bool) -> None:
-        nonlocal incumbent, fewest, left
-        while True:
-            sizes = [s for s in range(1, capacity + 1) if counts[s]]
-            if not sizes:
+    fewest, left, number = sum(n for _, n in incumbent), nodes, 0
+    # Nodes with branches still to take: (branches that were passed over on the way, latest first, the node, its branches).
+    waiting: list[tuple] = []
+
+    def slack(waste: int) -> int:
+        """With one sequence less than the incumbent's there is so much waste in all; the bound is on the sizes left."""
+        return (fewest - 1) * capacity - total - waste
+
+    def dive(passed: int, counts: list[int], used: int, waste: int, path: list[Pattern], last: int, barred: frozenset[Filling]) -> None:
+        """Down by the first branch of each node, to the end or until there is too much waste. The first dive (no branch
+        passed over) goes to the end and counts no nodes."""
+        nonlocal incumbent, fewest, left, number
+        while fewest > bound:
+            large = max((s for s in range(1, capacity + 1) if counts[s]), default=0)
+            if not large:
                 if used < fewest:
                     fewest, incumbent = used, path
                 return
-            # With one sequence less than the incumbent's there is so much waste in all; the bound is on the sizes left.
-            slack = (fewest - 1) * capacity - total - waste
-            if fewest == bound or slack < 0 or (left <= 0 and not dive):
+            if passed and (left <= 0 or slack(waste) < 0):
                 return
+            left, number = left - (passed > 0), number + 1
+            allowed = lambda waste=waste: slack(waste)
+            branches = _branches(counts, large, capacity, allowed, barred if large == last else frozenset())
+            if passed:
+                first = next(branches, None)
+                if first is None:
+                    return
+                heapq.heappush(waiting, (passed + 1, number, counts, used, waste, path, large, branches))
+            else:
+                heapq.heappush(waiting, (1, number, counts, used, waste, path, large, branches))
+                first = next(_branches(counts, large, capacity, lambda: total + len(counts) * sum(counts), frozenset()))
+            times, filling, barred = first
+            counts, used, waste, path = _use(counts, used, waste, path, large, filling, times, capacity)
+            last = large
+
+    # One dive that always takes the filling of least waste; then the branches that differ from it in few places.
+    dive(0, counts, 0, 0, [], 0, frozenset())
+    while waiting and fewest > bound and left > 0:
+        passed, order, counts, used, waste, path, large, branches = heapq.heappop(waiting)
+        if slack(waste) < 0:
+            continue
+        found = next(branches, None)
+        if found is not None:
             left -= 1
-            large = sizes[-1]
-            counts[large] -= 1
-            own = sizes if counts[large] else sizes[:-1]
-            options = _fillings(counts, own, capacity - large, capacity if dive else slack, FILLINGS) or [()]
-            counts[large] += 1
-            for option in options[1:] if left > 0 and not dive else []:
-                search(*_use(counts, used, waste, path, large, option, capacity), False)
-            counts, used, waste, path = _use(counts, used, waste, path, large, options[0], capacity)
-
-    # One dive that always takes the filling of least waste, then the search with what it found as the incumbent.
-    search(list(counts), 0, 0, [], True)
-    search(list(counts), 0, 0, [], False)
+            times, filling, barred = found
+            heapq.heappush(waiting, (passed + 1, order, counts, used, waste, path, large, branches))
+            dive(passed, *_use(counts, used, waste, path, large, filling, times, capacity), large, barred)
     return incumbent
 
 
-def _use(counts: list[int], used: int, waste: int, path: list[Pattern], large: int, option: tuple, capacity: int) -> tuple:
+def _use(counts: list[int], used: int, waste: int, path: list[Pattern], large: int, option: tuple, times: int, capacity: int) -> tuple:
     need: dict[int, int] = {large: 1}
     for size, n in option:
         need[size] = need.get(size, 0) + n
-    times = min(counts[s] // n for s, n in need.items())
     counts = counts.copy()
     for s, n in need.items():
         counts[s] -= n * times

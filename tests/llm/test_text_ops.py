@@ -200,6 +200,23 @@ def test_bin_completion():
     assert sum(n for _, n in found) <= bound + 1 <= sum(n for _, n in _best_fit(counts, 1024)) + 1
 
 
+def test_every_count_of_a_length_is_tried():
+    counts = [0] * 31
+    counts[5], counts[7], counts[4] = 3, 2, 1
+    got = list(bin_completion._fillings(counts, [4, 5, 7], 24))
+    want = []
+    for a in range(3):
+        for b in range(4):
+            for c in range(2):
+                waste = 24 - 7 * a - 5 * b - 4 * c
+                if waste >= 0 and not any(counts[s] > n and s <= waste for s, n in ((7, a), (5, b), (4, c))):
+                    want.append((waste, tuple((s, n) for s, n in ((7, a), (5, b), (4, c)) if n)))
+    assert sorted(got) == sorted(want) and [w for w, _ in got] == sorted(w for w, _ in got)
+    for n in (7, 1000):
+        found = bin_completion.bin_completion({240: 3 * n, 152: 2 * n})
+        assert used_by(found, 1024) == {240: 3 * n, 152: 2 * n} and sum(k for _, k in found) == n
+
+
 def test_packing(spark):
     library = Tokenizer.from_file(BYTES)
     rows = corpus() + [(500 + k, "word " * k) for k in range(0, 40)] + [(900, "ab " * 3000)]
