@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from millrace.components import components
 from millrace.llm.support import join_groups, stage
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -180,28 +181,6 @@ def links(nodes: DataFrame, sample: int = SAMPLE, shard: int = SHARD) -> DataFra
     return dealt.groupBy("shard").applyInPandas(_links, "a long, b long")
 
 
-# -- components --------------------------------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b), root its smallest reachable node: large-star, small-star."""
-    e = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = stage(small, "stars")
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == seen or now[0] == 0:
-            break
-        seen = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(id, fp, component_id) of each row: the smallest id that links of at most RADIUS differing bits reach.
 

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.components import components
 from millrace.functions.text import python_normalize
 from millrace.scratch import stage
 
@@ -32,18 +33,10 @@ class Synonyms:
         return self.classes.get(own, frozenset()) | {own} if own else frozenset()
 
 
-def synonym_classes(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(term, class) of a table of pairs (left, right): the class is its smallest term. Each round takes the smallest class
-    of the neighbours and then that class's own, so rounds grow with the logarithm of a chain's length; every round is
-    written into the shared folder."""
-    both = stage(pairs.select(F.col("left").alias("a"), F.col("right").alias("b")).unionByName(pairs.select(F.col("right").alias("a"), F.col("left").alias("b"))).distinct(), "pairs")
-    labels = stage(both.select(F.col("a").alias("term")).distinct().withColumn("class", F.col("term")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["term"]).groupBy(F.col("a").alias("term")).agg(F.min("class").alias("near"))
-        lower = labels.join(near, "term").select("term", F.least("class", "near").alias("class"), F.col("class").alias("old"))
-        jump = lower.select(F.col("term").alias("at"), F.col("class").alias("next"))
-        moved = stage(lower.join(jump, lower["class"] == jump["at"]).select("term", F.least("class", "next").alias("class"), "old"), "labels")
-        if moved.filter("class <> old").isEmpty():
-            break
-        labels = moved.drop("old")
-    return labels
+def synonym_classes(pairs: DataFrame) -> DataFrame:
+    """(term, class) of a table of pairs (left, right): the class is the smallest term that pairs reach. Rounds of large-star
+    and small-star go on until nothing changes; every round is written into the shared folder. A null is no term."""
+    known = stage(pairs.select("left", "right"), "pairs")
+    terms = known.select(F.col("left").alias("term")).unionByName(known.select(F.col("right").alias("term"))).dropna().distinct()
+    roots = components(known.dropna().select(F.col("left").alias("a"), F.col("right").alias("b")))
+    return terms.join(roots, terms["term"] == roots["node"], "left").select("term", F.coalesce("root", "term").alias("class"))

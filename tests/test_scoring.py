@@ -55,3 +55,12 @@ def test_synonyms(spark):
     assert score(spark, "only z1 here", ["w1"], rule=rule)["score"] == 100
     pairs = spark.createDataFrame([("w", "x"), ("y", "x"), ("y", "z"), ("a", "b")], "left string, right string")
     assert {tuple(r) for r in synonym_classes(pairs).collect()} == {("w", "w"), ("x", "w"), ("y", "w"), ("z", "w"), ("a", "a"), ("b", "a")}
+
+
+def test_synonyms_of_a_long_chain(spark):
+    # The class 0 comes from the left to the valley of 1; by 50 rounds of neighbours it has not reached its middle.
+    name = lambda k: f"t{k:04d}"
+    order = [0, *range(202, 401), *range(500, 400, -1), 1, *range(501, 600)]
+    pairs = [(name(a), name(b)) for a, b in zip(order, order[1:])] + [("x", "x"), ("y", None)]
+    got = {r["term"]: r["class"] for r in synonym_classes(spark.createDataFrame(pairs, "left string, right string")).collect()}
+    assert got == {name(k): name(0) for k in order} | {"x": "x", "y": "y"}
