@@ -6,8 +6,9 @@ lengths; so what is solved is that histogram, however many documents there are,
 sequence, all fillings of its room that leave no room for another piece are enumerated in order of their waste, each is a
 branch, and branches are pruned when the waste so far leaves no chance of fewer sequences than the incumbent, which
 best-fit decreasing provides at first. A filling is used as often as the histogram allows, and by later branches of its
-node less often. Where that leaves more sequences than the sum of lengths asks for, patterns by generated columns (the
-relaxed problem) are used their whole number of times, and what is left is searched. The limits are NODES and PIVOTS.
+node less often. Where that leaves more sequences than the sum of lengths asks for, the relaxed problem (patterns by
+fractions, generated columns) gives a better bound, its patterns are used their whole number of times, and what is left is
+searched; and dives that break ties by chance give better incumbents. The limits are NODES, PIVOTS and RESTARTS.
 
 The pieces get their sequences as Spark rows: within a length, salted by document, each piece has a rank (an exclusive
 sum over the counts of the salts plus a row number within one salt), and ranges of ranks belong to slots of patterns. So
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
+import random
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -36,7 +39,9 @@ CAPACITY, END_ID, SALTS, SALT_ROWS = 1024, 2, 64, 500_000
 #: The search is cut off after so many nodes and keeps the incumbent; the first dive is always completed and has none of them.
 NODES = 300
 #: Pivots of the relaxed problem; what is reached by then is used.
-PIVOTS = 600
+PIVOTS = 1500
+#: Dives by chance, RESTARTS and more where they have fewer than RESTART_PIECES pieces in all; the pieces at their ends that are searched.
+RESTARTS, RESTART_PIECES, TAIL = 60, 100_000, 30
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -153,29 +158,40 @@ def _branches(counts: list[int], large: int, capacity: int, slack: Callable[[],
             yield seen[-1][0], *seen[-1][2:]
 
 
-def _relaxed(counts: list[int], capacity: int) -> list[Pattern]:
-    """The whole parts of a solution that may use patterns by fractions, by generated columns; never more than ``counts``."""
+def _relaxed(counts: list[int], capacity: int, known: list[Pattern]) -> tuple[list[Pattern], float]:
+    """The whole parts of a solution that may use patterns by fractions, by generated columns, never more than ``counts``;
+    and a bound that no solution goes below.
+
+    The patterns of ``known`` enter first. The counts are raised by tiny different amounts, without which thousands of
+    pivots would not move at all.
+    """
     sizes = np.flatnonzero(counts)
     fits = capacity // sizes
     columns = [((int(s), int(n)),) for s, n in zip(sizes, fits, strict=True)]
-    inverse, x, at = np.diag(1 / fits), np.array(counts)[sizes] / fits, {int(s): k for k, s in enumerate(sizes)}
+    need = np.array(counts, float)[sizes]
+    inverse, x, at = np.diag(1 / fits), (need + np.linspace(1, 2, len(sizes)) * 1e-5) / fits, {int(s): k for k, s in enumerate(sizes)}
+    first, bound = [Counter(dict(lengths)) for lengths, _ in known], 0.0
     for _ in range(PIVOTS):
         price = inverse.sum(0)
-        worth, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(int(sizes[0]), capacity + 1):
-            some = bisect.bisect_right(sizes, room)
-            each = worth[room - sizes[:some]] + price[:some]
-            taken[room] = each.argmax()
-            worth[room] = each[taken[room]]
-            if worth[room] <= worth[room - 1]:
-                worth[room], taken[room] = worth[room - 1], -1
-        if worth[capacity] <= 1 + 1e-9:
-            break
-        room, entering = capacity, Counter()
-        while room:
-            size = int(sizes[taken[room]]) if taken[room] >= 0 else 0
-            entering.update([size] if size else [])
-            room -= size or 1
+        entering = next((c for c in iter(lambda: first.pop() if first else None, None) if sum(n * price[at[s]] for s, n in c.items()) > 1 + 1e-9), None)
+        if entering is None:
+            worth, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+            for room in range(int(sizes[0]), capacity + 1):
+                some = bisect.bisect_right(sizes, room)
+                each = worth[room - sizes[:some]] + price[:some]
+                taken[room] = each.argmax()
+                worth[room] = each[taken[room]]
+                if worth[room] <= worth[room - 1]:
+                    worth[room], taken[room] = worth[room - 1], -1
+            # Prices divided by the most that a sequence is worth are feasible in the dual problem.
+            bound = max(bound, float(price @ need) / max(1.0, worth[capacity]))
+            if worth[capacity] <= 1 + 1e-9:
+                break
+            room, entering = capacity, Counter()
+            while room:
+                size = int(sizes[taken[room]]) if taken[room] >= 0 else 0
+                entering.update([size] if size else [])
+                room -= size or 1
         step = sum(n * inverse[:, at[s]] for s, n in entering.items())
         k = int(np.argmin(np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)))
         by = x[k] / step[k]
@@ -191,25 +207,83 @@ def _relaxed(counts: list[int], capacity: int) -> list[Pattern]:
             out.append((lengths, times))
             for s, n in lengths:
                 left[s] -= n * times
-    return out
+    return out, bound
+
+
+def _fullest(counts: list[int], sizes: list[int], room: int, rng: random.Random) -> Filling:
+    """A filling of the most of ``room`` that can be filled, of sizes with many pieces left, where chance breaks near ties:
+    what is left then stays as varied as it was, so that the last sequences can be filled as well as the first."""
+    sizes = sizes[: bisect.bisect_right(sizes, room)]
+    sums = _sums(counts, sizes, room)
+    rest, k, taken = sums[-1].bit_length() - 1, len(sizes), []
+    while rest:
+        best, choice = -1.0, (0, 0)
+        for i in range(bisect.bisect_right(sizes, rest, 0, k)):
+            size, below = sizes[i], sums[i]
+            value = counts[size] * (1 + 0.5 * rng.random())
+            if value > best and (n := next((n for n in range(1, min(counts[size], rest // size) + 1) if below >> rest - n * size & 1), 0)):
+                best, choice = value, (i, n)
+        k, n = choice
+        taken.append((sizes[k], n))
+        rest -= n * sizes[k]
+    return tuple(taken)
+
+
+def _restarts(histogram: dict[int, int], capacity: int, fewest: int, bound: int, nodes: int) -> list[Pattern] | None:
+    """Dives of the search that take, for the largest piece left, one of the fullest fillings by chance, down to the last
+    TAIL pieces, which are searched. A dive ends as soon as its waste rules out fewer than ``fewest`` sequences."""
+    total, best = sum(s * n for s, n in histogram.items()), None
+    for seed in range(max(RESTARTS, RESTART_PIECES // max(1, sum(histogram.values())))):
+        rng, counts, path, used, waste = random.Random(seed), [0] * (capacity + 1), [], 0, 0
+        for size, n in histogram.items():
+            counts[size] = n
+        sizes, left = sorted(histogram), sum(histogram.values())
+        while left > TAIL and (fewest - 1) * capacity >= total + waste:
+            large = sizes[-1]
+            counts[large] -= 1
+            filling = _fullest(counts, [s for s in sizes if counts[s]], capacity - large, rng)
+            counts[large] += 1
+            need = Counter({large: 1}) + Counter(dict(filling))
+            # Of a filling that the counts allow often, half of them: as varied is what is left then.
+            times = max(1, min(counts[s] // n for s, n in need.items()) // 2)
+            counts, used, waste, path = _use(counts, used, waste, path, large, filling, times, capacity)
+            left, sizes = left - times * need.total(), [s for s in sizes if counts[s]]
+        if (fewest - 1) * capacity >= total + waste:
+            found = [*path, *_search({s: counts[s] for s in sizes}, capacity, nodes)]
+            if (many := sum(n for _, n in found)) < fewest:
+                fewest, best = many, found
+                if fewest <= bound:
+                    break
+    return best
 
 
 def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
-    """Patterns ((length, times), ...) with how often each is used; they use up ``histogram`` exactly. Where the search of
-    the whole leaves more than the sum of lengths asks for, that of what the relaxed problem leaves is tried."""
-    found = _search(histogram, capacity, nodes)
+    """Patterns ((length, times), ...) with how often each is used; they use up ``histogram`` exactly.
+
+    While there are more sequences than the bounds (the sum of lengths, then the relaxed problem) ask for, in turn: the
+    search of the whole, the search and the restarts of what the relaxed problem leaves, and the restarts of the whole.
+    """
+    bound = -(-sum(s * n for s, n in histogram.items()) // capacity)
     many = lambda patterns: sum(n for _, n in patterns)
-    if many(found) == -(-sum(s * n for s, n in histogram.items()) // capacity):
-        return found
-    counts = [0] * (capacity + 1)
-    for size, n in histogram.items():
-        counts[size] = n
-    whole = _relaxed(counts, capacity)
-    for lengths, times in whole:
-        for s, n in lengths:
-            counts[s] -= n * times
-    other = whole + _search({s: n for s, n in enumerate(counts) if n}, capacity, nodes)
-    return min(found, other, key=many)
+    best = _search(histogram, capacity, nodes)
+    if many(best) > bound:
+        counts = [0] * (capacity + 1)
+        for size, n in histogram.items():
+            counts[size] = n
+        whole, least = _relaxed(counts, capacity, best)
+        bound = max(bound, math.ceil(least - 1e-6))
+        for lengths, times in whole:
+            for s, n in lengths:
+                counts[s] -= n * times
+        rest, base = {s: n for s, n in enumerate(counts) if n}, many(whole)
+        for attempt in (
+            lambda: [*whole, *_search(rest, capacity, nodes)],
+            lambda: (found := _restarts(rest, capacity, many(best) - base, bound - base, nodes)) and [*whole, *found],
+            lambda: whole and _restarts(histogram, capacity, many(best), bound, nodes),
+        ):
+            if many(best) > bound and (found := attempt()) and many(found) < many(best):
+                best = found
+    return best
 
 
 def _search(histogram: dict[int, int], capacity: int, nodes: int) -> list[Pattern]:
