@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.joins import HOT, join_groups
 from millrace.scratch import stage
 
+#: A node with fewer edges than this is no hub, whatever its share of all edges.
+HUB = 100_000
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b), root its smallest reachable node: large-star, small-star."""
+
+def _with_least(edges: DataFrame, key: str, other: str, hub: int) -> DataFrame:
+    """``edges`` with ``m``, the least ``other`` of their ``key``; where there are hubs, their edges stay where they are."""
+    least = edges.groupBy(key).agg(F.min(other).alias("m"), F.count(F.lit(1)).alias("degree"))
+    total, most = edges.groupBy(key).count().agg(F.sum("count"), F.max("count")).first()
+    if (most or 0) >= hub and most * HOT > total:
+        return join_groups(edges, stage(least, "least"), [key], "degree", total).drop("degree")
+    return edges.join(least.drop("degree"), key)
+
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b), root its smallest reachable node: large-star, small-star.
+
+    In the end the edges of a component are a star, so its root is a hub of as many edges as the component has nodes; those
+    of hubs (``hub`` edges and a share of 1/HOT of all) are not brought together in one task.
+    """
     e = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
+    state = lambda: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    seen, now = None, state()
+    while now not in (seen, (0, None)):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        # So few edges have no hub among them, which need not be looked for.
+        least = (lambda d, k, o: d.join(d.groupBy(k).agg(F.min(o).alias("m")), k)) if 2 * now[0] < hub else (lambda d, k, o: _with_least(stage(d, "large"), k, o, hub))
+        large = least(both, "u", "v").filter("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        joined = least(large, "a", "b")
+        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
         e = stage(small, "stars")
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == seen or now[0] == 0:
-            break
-        seen = now
+        seen, now = now, state()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

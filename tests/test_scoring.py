@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.components import components
+from millrace.joins import fresh, join_groups
 from millrace.operators.scoring import Profile, ScoreRule, keyword_score
 from millrace.operators.synonyms import Synonyms, synonym_classes
 
@@ -64,3 +66,20 @@ def test_synonyms_of_a_long_chain(spark):
     pairs = [(name(a), name(b)) for a, b in zip(order, order[1:])] + [("x", "x"), ("y", None)]
     got = {r["term"]: r["class"] for r in synonym_classes(spark.createDataFrame(pairs, "left string, right string")).collect()}
     assert got == {name(k): name(0) for k in order} | {"x": "x", "y": "y"}
+
+
+@pytest.mark.parametrize("hub", [100_000, 3])
+def test_components_with_hubs(spark, hub):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 7), (200, 201), (300, 300)] + [(500, 501 + k) for k in range(30)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), hub).collect()))
+    assert got == {k: 0 for k in [*range(41), 100]} | {200: 200, 201: 200} | {k: 500 for k in range(500, 531)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_join_groups_and_names(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(120)], "g int, k int")
+    groups = rows.groupBy("g").count().filter("g <> 119")
+    for how, many in (("inner", 119), ("left", 120)):
+        got = join_groups(rows, groups, ["g"], "count", 120, how, share=10)
+        assert (got.count(), got.agg(F.sum("count")).first()[0]) == (many, 3 * 30 * 30 + 29)
+    assert fresh(["A", "b_"], "a", "b", "b") == ["a_", "b", "b__"]
