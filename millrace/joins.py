@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A group of more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT of them.
 HOT = 100
 
 
-def fresh(columns: Iterable[str], *labels: str) -> list[str]:
-    """Names like ``labels`` that none of ``columns`` has, in whatever case."""
-    taken, out = {c.lower() for c in columns}, []
+def fresh(names: Iterable[str], *labels: str) -> list[str]:
+    """Names like ``labels`` that none of ``names`` is, in whatever case."""
+    taken, out = {c.lower() for c in names}, []
     for name in labels:
         while name.lower() in taken:
             name += "_"
@@ -22,6 +22,11 @@ def fresh(columns: Iterable[str], *labels: str) -> list[str]:
     return out
 
 
+def columns(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, with dots and backticks or not."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in names]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", share: int = HOT) -> DataFrame:
     """``rows`` joined with ``groups``, a written table with one row a key, so that no key's rows meet in one task.
 
