@@ -1,10 +1,10 @@
-"""What several operators share: constants of text, and the join of rows with their groups."""
+"""What several operators share: constants of text, joins of rows with their groups, intermediate tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.joins import HOT, columns, fresh, join_groups
 from millrace.scratch import scratch, shared_dir, stage
 
 #: The bytes that count as white space in the contracts: ``[\x20\x09-\x0D]``.
@@ -16,22 +16,4 @@ def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 
 
-#: A group of more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT of them.
-HOT = 100
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int, how: str = "inner", share: int = HOT) -> DataFrame:
-    """``rows`` joined with ``groups``, a written table with one row a key, so that no key's rows meet in one task.
-
-    ``weight`` is the number of ``total`` rows that a group has (or at least HOT / ``share`` of it). Groups above
-    total / share are, by that sum, fewer than ``share``: they are broadcast and their rows stay where they are. All other
-    rows are shuffled by key. ``how``: inner or left. ``on`` are columns without nulls.
-    """
-    hot, cold = groups.filter(F.col(weight) * share > total), groups.filter(F.col(weight) * share <= total)
-    # The hot groups are at most ``share`` rows.
-    stay = rows.join(F.broadcast(hot), on)
-    move = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
-    return stay.unionByName(move)
-
-
-__all__ = ["HOT", "LOWER", "UPPER", "WHITE", "ascii_lower", "join_groups", "scratch", "shared_dir", "stage"]
+__all__ = ["HOT", "LOWER", "UPPER", "WHITE", "ascii_lower", "columns", "fresh", "join_groups", "scratch", "shared_dir", "stage"]
