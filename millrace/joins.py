@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.scratch import stage
+
 #: A group of more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT of them.
 HOT = 100
 
@@ -39,3 +41,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
     stay = rows.join(F.broadcast(hot), on)
     move = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
     return stay.unionByName(move)
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The keys, fewer than HOT, that each have more than 1/HOT of ``rows``; written, for join_around."""
+    counts = rows.groupBy(*on).count()
+    return stage(counts.filter(F.col("count") * HOT > rows.count()).select(*on), "hot")
+
+
+def join_around(rows: DataFrame, groups: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """As join_groups, for groups (one row a key) that do not know their numbers of rows; ``hot`` is what hot_keys found."""
+    if hot.isEmpty():
+        return rows.join(groups, on, how)
+    few = F.broadcast(hot)
+    stay = rows.join(few, on, "left_semi").join(F.broadcast(groups.join(few, on, "left_semi")), on, how)
+    return stay.unionByName(rows.join(few, on, "left_anti").join(groups, on, how))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.components import components
-from millrace.joins import fresh, join_groups
+from millrace.joins import fresh, hot_keys, join_around, join_groups
 from millrace.operators.scoring import Profile, ScoreRule, keyword_score
 from millrace.operators.synonyms import Synonyms, synonym_classes
 
@@ -82,4 +82,8 @@ def test_join_groups_and_names(spark):
     for how, many in (("inner", 119), ("left", 120)):
         got = join_groups(rows, groups, ["g"], "count", 120, how, share=10)
         assert (got.count(), got.agg(F.sum("count")).first()[0]) == (many, 3 * 30 * 30 + 29)
+    for few in (hot_keys(rows, ["g"]), hot_keys(rows, ["g"]).limit(0)):
+        for how, many in (("inner", 119), ("left", 120)):
+            assert join_around(rows, groups, ["g"], few, how).count() == many
+    assert hot_keys(rows, ["g"]).count() == 3
     assert fresh(["A", "b_"], "a", "b", "b") == ["a_", "b", "b__"]
