@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.support import parts
+
 WIDTH, ROWS, DELAY_MS, BINS = 64, 1024, 40, 8
+#: A canvas of more pixels is an error: a header of a few bytes could ask for gigabytes.
+MOST_PIXELS = 1 << 26
 _FULL = 4096
 
 
@@ -174,7 +178,14 @@ def _deinterlaced(height: int) -> list[int]:
 
 
 def decode_gif(raw: bytes) -> Iterator[Frame]:
-    """The frames of a GIF, one at a time."""
+    """The frames of a GIF, one at a time; GifError where it is none or breaks off, after the frames before."""
+    try:
+        yield from _frames_of(raw)
+    except (IndexError, struct.error, ValueError) as e:
+        raise e if isinstance(e, GifError) else GifError("a GIF that breaks off") from e
+
+
+def _frames_of(raw: bytes) -> Iterator[Frame]:
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", raw, 6)
@@ -200,6 +211,8 @@ def decode_gif(raw: bytes) -> Iterator[Frame]:
         return b"".join(parts)
 
     shared = palette(flags)
+    if width * height > MOST_PIXELS:
+        raise GifError("a canvas beyond MOST_PIXELS")
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, transparent = 0, 0, None
     while at < len(raw):
@@ -264,8 +277,7 @@ _STORED = "id long, n_bytes long, media binary"
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for k in range(0, b.num_rows, 200):
-            part = b.slice(k, 200)
+        for part in parts(b):
             texts = [t.encode() for t in part.column("text").to_pylist()]
             media = pa.array([encode_gif(padded(t)) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(t) for t in texts], pa.int64()), media], ["id", "n_bytes", "media"])
@@ -277,22 +289,37 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_store, _STORED)
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, raw in zip(b.column("id").to_pylist(), b.column("media").to_pylist(), strict=True):
-            for k, f in enumerate(decode_gif(raw)):
-                h, w = f.samples.shape
-                row = [i, k, f.left, f.top, w, h, f.delay_ms, f.samples.tobytes(), f.canvas[..., :3].tobytes(), histogram(f).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], _FRAME_NAMES)
+_FRAME = [
+    ("id", pa.int64()), ("frame", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("delay_ms", pa.int32()),
+    ("samples", pa.binary()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string()),
+]
 
 
-_FRAME_NAMES = ["id", "frame", "left", "top", "width", "height", "delay_ms", "samples", "rgb", "histogram"]
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one = lambda row: pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _FRAME, strict=True)], [n for n, _ in _FRAME])
+    for b in batches:
+        for at in range(b.num_rows):
+            i, raw, k = b.column("id")[at].as_py(), b.column("media")[at].as_py(), 0
+            try:
+                if raw is None:
+                    raise GifError("no media")
+                for f in decode_gif(raw):
+                    h, w = f.samples.shape
+                    yield one([i, k, f.left, f.top, w, h, f.delay_ms, f.samples.tobytes(), f.canvas[..., :3].tobytes(), histogram(f).tolist(), None])
+                    k += 1
+            except GifError as e:
+                yield one([i, k, *[None] * 8, str(e)])
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """One row per frame of ``media`` (id, media): place, time, samples, the canvas as RGB bytes, colour histogram."""
+    """One row per frame of ``media`` (id, media): place, time, samples, the canvas as RGB bytes, colour histogram.
+
+    Defined cases: a medium that is null, no GIF or broken gives the frames before the break and then a row with what is
+    wrong in ``error``, all else null but id and frame; it costs no other row. Ids may be null or repeated; media without
+    rows give none. Other columns are not read, whatever their names.
+    """
     return media.select("id", "media").mapInArrow(
-        _frames, "id long, frame int, left int, top int, width int, height int, delay_ms int, samples binary, rgb binary, histogram array<long>"
+        _frames, "id long, frame int, left int, top int, width int, height int, delay_ms int, samples binary, rgb binary, histogram array<long>, error string"
     )
 
 
@@ -315,8 +342,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's text stored as a GIF, read back frame by frame and summed up.
 
-    Defined cases: null and empty texts are one row of zeros; equal texts give equal values; ids may be null or repeated,
-    each row gives a row; other columns are not read.
+    Defined cases: null and empty texts are one row of zeros; equal texts give equal values; a text of any length is stored
+    whole, as frames of ROWS rows; ids may be null or repeated, each row gives a row; an empty table gives no rows; other
+    columns are not read, whatever their names. ``feature`` is the number of frames and, over all of them, the number of
+    samples by brightness in BINS equal bins, the padding included.
     """
     out = store_media(docs, id_col, text_col).mapInArrow(
         _features, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

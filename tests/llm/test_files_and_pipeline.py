@@ -5,7 +5,7 @@ import io
 import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -97,20 +97,72 @@ def test_frames_follow_disposal_and_transparency():
     rows = [0, 4, 2, 6, 1, 3, 5, 7]
     laced = b"GIF89a" + struct.pack("<HHBBB", 1, 8, 0xF7, 0, 0) + colours + image(0, 0, 1, 8, rows, interlace=True) + b"\x3b"
     assert next(decode_gif(laced)).samples.ravel().tolist() == list(range(8))
-    for bad in (b"PNG", head, head + b"\x2c" + struct.pack("<HHHHB", 0, 0, 9, 9, 0) + b"\x08\x00"):
-        with pytest.raises((gif_media.GifError, struct.error, IndexError)):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0)
+    for bad in (b"PNG", b"GIF89a", head, head + b"\x2c" + struct.pack("<HHHHB", 0, 0, 9, 9, 0) + b"\x08\x00", huge, head[:40], *(raw[:n] for n in range(780, len(raw) - 1))):
+        with pytest.raises(gif_media.GifError):
             list(decode_gif(bad))
 
 
+def test_broken_media_cost_no_other_row(spark):
+    good = encode_gif(padded(b"abc" * 50))
+    rows = [(1, good), (2, None), (3, good[:-30]), (None, b""), (4, good), (4, good)]
+    media = spark.createDataFrame(rows, "id long, media binary").withColumns({"frame": F.lit(1), "error": F.lit("x")})
+    got = gif_media.frames(media).collect()
+    assert sorted((r["id"] or 0, r["frame"], r["error"] is None) for r in got) == [(0, 0, False), (1, 0, True), (2, 0, False), (3, 0, False), (4, 0, True), (4, 0, True)]
+    assert gif_media.frames(media.limit(0)).count() == 0
+
+
+def read_gif(raw):
+    """The samples of each frame, read code by code and bit by bit, of a GIF with a global palette of 256 greys."""
+    at, out = 13 + 768, []
+    assert raw[10] & 0x87 == 0x87 and raw[13:at] == bytes(v for k in range(256) for v in (k, k, k))
+    while raw[at] != 0x3B:
+        if raw[at] == 0x21:
+            at += 2
+        else:
+            size = struct.unpack_from("<HH", raw, at + 5)
+            at += 11
+        body = b""
+        while raw[at]:
+            body += raw[at + 1 : at + 1 + raw[at]]
+            at += 1 + raw[at]
+        at += 1
+        if len(body) == 4 and raw[at] == 0x2C and body[0] == 4:
+            continue
+        bits, got, width, table, last, k = int.from_bytes(body, "little"), bytearray(), 9, [], b"", 0
+        while True:
+            code = bits >> k & (1 << width) - 1
+            k += width
+            if code == 257:
+                break
+            if code == 256:
+                table, width, last = [bytes([v]) for v in range(256)] + [b"", b""], 9, b""
+                continue
+            entry = table[code] if code < len(table) else last + last[:1]
+            if last and len(table) < 4096:
+                table.append(last + entry[:1])
+            got, last = got + entry, entry
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        assert len(got) == size[0] * size[1]
+        out.append(bytes(got))
+    return out
+
+
 def test_media_columns(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 32), (5, "x" * 100_000), (None, "abc"), (1, "abc")]
     docs = documents(spark, rows)
-    got = gif_media.media_features(docs.withColumn("media", F.lit(1))).collect()
+    got = gif_media.media_features(docs.withColumns({"media": F.lit(1), "ID": F.lit(2), "n_bytes": F.lit(3)})).collect()
+    assert gif_media.media_features(docs.limit(0)).count() == 0
     for (i, t), r in zip(sorted(rows, key=repr), sorted(got, key=lambda r: repr((r["doc_id"], next(t for k, t in rows if k == r["doc_id"])))), strict=True):
         own = padded((t or "").encode())
         stored = encode_gif(own)
         want = (i, len((t or "").encode()), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
         assert tuple(r)[:7] == want
+        read = read_gif(stored)
+        assert b"".join(read) == own
+        bins = Counter(8 * v // 256 for v in own)
+        assert r["feature"] == f"frames={len(read)};histogram=" + ",".join(str(bins[k]) for k in range(8))
     frames = gif_media.frames(gif_media.store_media(docs.filter("doc_id = 5"))).orderBy("frame").collect()
     assert [(f["frame"], f["height"], len(f["rgb"])) for f in frames] == [(0, 1024, 64 * 1024 * 3), (1, 539, 64 * 1024 * 3)]
     assert np.array([f["histogram"] for f in frames]).sum() == 100_032
