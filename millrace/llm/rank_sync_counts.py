@@ -7,7 +7,9 @@ sequences without a mergeable pair drop out. The symbols that are left are count
 with the symbol that it makes, and all merges of that symbol rank after the one that makes it; so no pair of a lower rank
 can come up before all occurrences are merged, and the counts are those of one-at-a-time merging.
 
-Counts of chunks are kept from batch to batch in a table that is emptied when it is full, so memory is bounded.
+Counts of chunks are kept from batch to batch in a table that is emptied when it has too many entries or characters, and
+chunks that are longer than words are not kept; texts are taken a few megabytes at a time. So memory is bounded by a
+parameter and the longest single text.
 """
 
 from __future__ import annotations
@@ -23,8 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = 1_000_000
+from millrace.llm.support import parts
+
+#: Entries and characters of the table; a chunk longer than KEPT_LENGTH is counted each time it comes.
+KEPT, KEPT_CHARACTERS, KEPT_LENGTH = 1_000_000, 16_000_000, 64
 LIMIT = 2048
+#: Characters of long chunks whose symbols are merged at once.
+ROUND_CHARACTERS = 1 << 20
 
 
 class WordBpe:
@@ -49,6 +56,7 @@ class WordBpe:
         self.inner = np.array([vocab[s] for s in self.bytes], np.int64)
         self.last = np.array([vocab[s + self.end] for s in self.bytes], np.int64)
         self.known: dict[str, int] = {}
+        self.characters = 0
 
     def pretokens(self, chunk: str) -> list[str]:
         """Of a chunk without white space or special strings."""
@@ -118,8 +126,8 @@ class WordBpe:
             rank[again] = ranked(again)
         return counts
 
-    def learn(self, chunks: list[str]) -> None:
-        """Put the counts of ``chunks`` into ``known``."""
+    def learn(self, chunks: list[str]) -> dict[str, int]:
+        """The counts of ``chunks``."""
         words, owner = [], []
         for k, chunk in enumerate(chunks):
             for w in self.pretokens(chunk):
@@ -128,7 +136,7 @@ class WordBpe:
         totals = np.zeros(len(chunks), np.int64)
         if words:
             np.add.at(totals, np.array(owner), self.count_pretokens(words))
-        self.known.update(zip(chunks, totals.tolist(), strict=True))
+        return dict(zip(chunks, totals.tolist(), strict=True))
 
     def chunks(self, text: str) -> tuple[list[str], int]:
         """The chunks between white space, and the number of special strings between them."""
@@ -143,15 +151,36 @@ class WordBpe:
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.chunks(t) for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {}
+        if len(self.known) > KEPT or self.characters > KEPT_CHARACTERS:
+            self.known, self.characters = {}, 0
         fresh: set[str] = set()
         for chunks, _ in cut:
             fresh.update(chunks)
         new = [c for c in fresh if c not in self.known]
-        for k in range(0, len(new), 50_000):
-            self.learn(new[k : k + 50_000])
-        return [sum(map(self.known.__getitem__, chunks)) + special for chunks, special in cut]
+        long = [c for c in new if len(c) > KEPT_LENGTH]
+        short = [c for c in new if len(c) <= KEPT_LENGTH]
+        for k in range(0, len(short), 50_000):
+            self.known.update(self.learn(short[k : k + 50_000]))
+        self.characters += sum(map(len, short))
+        once: dict[str, int] = {}
+        for part in _runs(long, ROUND_CHARACTERS):
+            once.update(self.learn(part))
+        if not once:
+            return [sum(map(self.known.__getitem__, chunks)) + special for chunks, special in cut]
+        return [sum(self.known[c] if c in self.known else once[c] for c in chunks) + special for chunks, special in cut]
+
+
+def _runs(chunks: list[str], characters: int) -> Iterator[list[str]]:
+    """``chunks`` in runs of about so many characters, or of one longer chunk."""
+    run, held = [], 0
+    for c in chunks:
+        if run and held + len(c) > characters:
+            yield run
+            run, held = [], 0
+        run.append(c)
+        held += len(c)
+    if run:
+        yield run
 
 
 def _slot(pair: np.ndarray, size: int) -> np.ndarray:
@@ -185,9 +214,7 @@ def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for b in batches:
-            texts, counts = b.column("text"), []
-            for k in range(0, len(texts), 500):
-                counts += bpe.count(texts.slice(k, 500).to_pylist())
+            counts = [n for part in parts(b) for n in bpe.count(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     return run
@@ -197,7 +224,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id, n_bytes, n_tokens, over_limit) of each row, with ``path`` the tokenizer file, readable on every executor.
 
     Defined cases: a null text is an empty one and has no tokens; ids may be null or repeated, each row gives a row; a
-    text of any length is counted whole. Other columns are not read.
+    text of any length is counted whole; an empty table gives no rows. Other columns are not read, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from millrace.components import components
-from millrace.llm.support import columns, fresh, join_groups, stage
+from millrace.llm.support import columns, fresh, join_groups, parts, stage
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 SAMPLE, SHARD, CELL, BLOCK = 4096, 6000, 40_000, 1 << 21
@@ -59,7 +59,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [fingerprint(t) for k in range(0, b.num_rows, 500) for t in b.column("text").slice(k, 500).to_pylist()]
+        found = [fingerprint(t) for part in parts(b) for t in part.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "th", "fp"])
 
 

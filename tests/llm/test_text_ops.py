@@ -94,6 +94,20 @@ def test_token_counts(spark):
     same(got, [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows])
 
 
+def test_the_table_of_counts_is_bounded(spark, monkeypatch):
+    library, own = Tokenizer.from_file(WORDS), rank_sync_counts.WordBpe(WORDS)
+    for name, value in (("KEPT_CHARACTERS", 400), ("KEPT_LENGTH", 12), ("ROUND_CHARACTERS", 100)):
+        monkeypatch.setattr(rank_sync_counts, name, value)
+    rng = random.Random(6)
+    for _ in range(6):
+        texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) + " xyz " + "q" * 500 for _ in range(30)]
+        assert own.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert max(map(len, own.known)) <= 12 and sum(map(len, own.known)) == own.characters
+    clash = documents(spark, [(1, "a b"), (None, None)]).withColumns({"id": F.lit(1), "n_tokens": F.lit(7), "N_BYTES": F.lit(8)})
+    same(rank_sync_counts.count_tokens(clash, WORDS).collect(), [(1, 3, 2, False), (None, 0, 0, False)])
+    assert rank_sync_counts.count_tokens(documents(spark, []), WORDS).count() == 0
+
+
 def test_bpe(spark):
     library, own = Tokenizer.from_file(BYTES), tree_bpe.TreeBpe(BYTES)
     for t in odd_texts():
