@@ -62,23 +62,56 @@ def test_secrets():
 
 
 def test_ledger(spark):
-    rows = list(enumerate([*SECRETS, *SECRETS[:3], None]))
+    rows = list(enumerate([*SECRETS, *SECRETS[:3], None])) + [(None, SECRETS[0]), (3, SECRETS[3]), (3, SECRETS[3])]
     docs = documents(spark, rows)
     ledger = secret_ledger.BlobLedger(spark)
-    got = secret_ledger.scan_documents(docs.withColumns({"findings": F.lit(1), "blob": F.lit(2)}), ledger=ledger)
-    same([(r["doc_id"], [(x["start"], x["kind"], x["end"]) for x in r["findings"]]) for r in got.collect()], [(i, plain_secrets(t or "")) for i, t in rows])
+    clash = docs.withColumns({"Findings": F.lit(1), "blob": F.lit(2), "found": F.lit(3), "own": F.lit(4), "a.b`c": F.lit(5), "__of": F.lit(77)})
+    got = secret_ledger.scan_documents(clash, ledger=ledger)
+    assert got.columns == [*docs.columns, "blob", "found", "own", "a.b`c", "__of", "findings"]
+    same([(r["doc_id"], r["__of"], [(x["start"], x["kind"], x["end"]) for x in r["findings"]]) for r in got.collect()], [(i, 77, plain_secrets(t or "")) for i, t in rows])
     known = lambda v: spark.read.parquet(ledger.path).filter(F.col("rule_version") == v).count()
-    first = known(1)
-    assert first == len(set(SECRETS))
+    own, first = secret_ledger.RULE_VERSION, len(set(SECRETS))
+    assert known(own) == first
     secret_ledger.scan_documents(docs.unionByName(documents(spark, [(99, "token=new-secret")])), ledger=ledger).count()
-    assert known(1) == first + 1
+    assert known(own) == first + 1
     secret_ledger.scan_documents(docs, ledger=ledger, version=2).count()
     assert known(2) == first
+    # Two scans at the same time have both appended all they know.
+    ledger.read().withColumn("rule_version", F.lit(own)).write.mode("append").partitionBy("rule_version").parquet(ledger.path + "-twice")
+    for _ in range(2):
+        spark.read.parquet(ledger.path + "-twice").write.mode("append").partitionBy("rule_version").parquet(ledger.path)
+    same([(r["doc_id"], len(r["findings"])) for r in secret_ledger.scan_documents(docs, ledger=ledger).collect()], [(i, len(plain_secrets(t or ""))) for i, t in rows])
     texts = {r["doc_id"]: r["text"] for r in secret_ledger.redact(got).collect()}
     assert texts[0] == "[SECRET]' and [SECRET]"
     assert all(not plain_secrets(t or "") for t in texts.values())
     spans = got.filter("doc_id = 0").select(secret_ledger.spans_text("findings")).first()[0]
     assert spans == "assign:0:20,assign:26:38"
+    assert secret_ledger.redact(secret_ledger.scan_documents(docs.limit(0))).count() == 0
+
+
+def test_a_later_version_scans_only_what_is_new(spark, monkeypatch):
+    """The batches that are scanned are those of one file a scan."""
+    texts = [f"token=secret-{k % 7}" for k in range(40)] + [f"token=secret-{k}" for k in range(5, 12)]
+    docs = documents(spark, list(enumerate(texts)))
+    assert [p.count() for p in secret_ledger.corpus_versions(docs, "doc_id", 2)] == pytest.approx([23.5] * 2, abs=1)
+    assert [p.count() for p in secret_ledger.corpus_versions(docs.limit(0), "doc_id", 2)] == [0]
+    ledger = secret_ledger.BlobLedger(spark)
+    scanned = []
+    plain = ledger.scan
+
+    def scan(versions, version):
+        plain(versions, version)
+        scanned.append(ledger.read(version).count())
+
+    monkeypatch.setattr(ledger, "scan", scan)
+    secret_ledger.scan_documents(docs, ledger=ledger)
+    assert scanned == [7, 12]
+
+
+def test_a_text_that_very_many_rows_have(spark):
+    rows = [(k, "token=hot-secret" if k % 2 else f"password=cold-{k}" if k % 3 else None) for k in range(600)]
+    got = secret_ledger.scan_documents(documents(spark, rows)).collect()
+    same([(r["doc_id"], [(x["start"], x["kind"], x["end"]) for x in r["findings"]]) for r in got], [(i, plain_secrets(t or "")) for i, t in rows])
 
 
 # -- tokens ------------------------------------------------------------------------------------------------------------
