@@ -8,7 +8,8 @@ equal, so the identity has no collisions.
 What is shuffled: the distinct blocks once (after a map-side combine, so a block that a third of all documents share is
 sent once by each task), and then only integers. Blocks are matched to their names by a 64-bit fingerprint; the
 fingerprints that two different blocks share are found first, and only those blocks are matched by their bytes.
-A document of b blocks takes part in ceil(log2(b)) levels, each with half the rows of the one before.
+A document of b blocks takes part in ceil(log2(b)) levels, each with half the rows of the one before. Names go back to
+blocks and pairs by joins that leave the rows of a very frequent block or pair where they are.
 """
 
 from __future__ import annotations
@@ -48,18 +49,21 @@ def name_documents(
         )
         .withColumn("fp", fingerprint("block"))
     )
-    named = stage(_numbered(blocks.groupBy("fp", "block").agg(F.lit(1).alias("one")), ["fp", "block"]).select("fp", "name"), "blocks")
-    shared = named.groupBy("fp").count().filter("count > 1").select("fp")
+    counted = lambda rows, *keys: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    named = stage(_numbered(counted(blocks, "fp", "block"), ["fp", "block"]).select("fp", "name", "rows"), "blocks")
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    shared = named.groupBy("fp").agg(F.count(F.lit(1)).alias("many"), F.sum("rows").alias("rows")).filter("many > 1").drop("many")
     keys = blocks.select("id", "sha", "n", "pos", "fp")
     if shared.isEmpty():
-        cur = keys.join(named, "fp")
+        cur = join_groups(keys, named, ["fp"], "rows", total)
     else:
         # Different blocks of one fingerprint: these few are named below the others, by their bytes.
         shared = stage(shared, "shared")
-        same = blocks.join(shared, "fp", "left_semi")
-        again = stage(_numbered(same.groupBy("fp", "block").agg(F.lit(1).alias("one")), ["fp", "block"]).select("fp", "block", (-1 - F.col("name")).alias("name")), "again")
-        one = keys.join(shared, "fp", "left_anti").join(named, "fp").select("id", "sha", "n", "pos", "name")
-        cur = one.unionByName(same.join(again, ["fp", "block"]).select("id", "sha", "n", "pos", "name"))
+        own = stage(named.join(shared.select("fp"), "fp", "left_anti"), "own")
+        same = join_groups(blocks, shared, ["fp"], "rows", total).drop("rows")
+        again = stage(_numbered(counted(same, "fp", "block"), ["fp", "block"]).select("fp", "block", (-1 - F.col("name")).alias("name"), "rows"), "again")
+        one = join_groups(keys, own, ["fp"], "rows", total).select("id", "sha", "n", "pos", "name")
+        cur = one.unionByName(join_groups(same, again, ["fp", "block"], "rows", total).select("id", "sha", "n", "pos", "name"))
     level0 = stage(cur.select("id", "sha", "n", "pos", "name"), "level0")
     tall = level0.filter("n > 1")
     done: list[DataFrame] = []
@@ -74,8 +78,8 @@ def name_documents(
             .drop("b0"),
             "pairs",
         )
-        names = stage(_numbered(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")), ["a", "b"]).select("a", "b", "name"), "names")
-        level = pairs.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name")
+        names = stage(_numbered(counted(pairs, "a", "b"), ["a", "b"]).select("a", "b", "name", "rows"), "names")
+        level = join_groups(pairs, names, ["a", "b"], "rows", names.agg(F.sum("rows")).first()[0] or 0).select("id", "sha", "n", "pos", "name")
         level = stage(level, "level") if most > 1 else level
         done.append(level.filter("n = 1").select("id", "sha", F.lit(height).alias("height"), "name"))
         cur = level.filter("n > 1")
@@ -95,7 +99,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_sha256.
 
     Defined cases: a null text equals an empty one; a null id counts in group_size and stays only if all ids of its group
-    are null; rows that repeat id and text get equal results; an empty table gives no rows. Other columns are not read.
+    are null; rows that repeat id and text get equal results; a text of any length is read whole; an empty table gives no
+    rows. Other columns are not read, whatever their names.
     """
     named = stage(name_documents(docs, id_col, text_col, block_bytes, fingerprint), "identity")
     groups = stage(named.groupBy("height", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")

@@ -61,6 +61,17 @@ def test_exact_dedup_of_nothing(spark):
     assert block_naming.exact_dedup(clash).first()["keep_id"] == 1
 
 
+def test_a_block_and_a_pair_that_very_many_documents_share(spark):
+    rng = random.Random(4)
+    rows = [(k, "h" * 64 + "i" * 32 + ("x" * rng.randint(0, 40) if k % 3 else "")) if k % 2 else (k, f"{k % 90} some other text of a few blocks {rng.random()}") for k in range(400)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    want = [(i, max(groups[t]), len(groups[t]), i == max(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows]
+    for fp in (F.xxhash64, lambda c: F.pmod(F.xxhash64(c), F.lit(2))):
+        same(block_naming.exact_dedup(documents(spark, rows), block_bytes=16, fingerprint=fp).collect(), want)
+
+
 def brute_lines(rows, min_length=20, min_docs=3):
     white, lower = " \t\n\x0b\f\r", str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rank = lambda i: -(2**63) if i is None else i
