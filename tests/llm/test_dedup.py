@@ -98,8 +98,21 @@ def test_line_dedup(spark, batches, fanout):
 
 def test_line_dedup_of_nothing(spark):
     assert line_runs.drop_repeated_lines(documents(spark, [])).count() == 0
-    clash = documents(spark, [(1, "a")]).withColumns({"key": F.lit(1), "pos": F.lit(2), "id": F.lit(3), "batch": F.lit(4), "n_lines": F.lit(5)})
-    assert line_runs.drop_repeated_lines(clash).columns[-2:] == ["n_lines", "n_dropped"]
+    rows = corpus(7)
+    clash = documents(spark, rows).withColumns({n: F.lit(77) for n in ("key", "pos", "id", "batch", "N_LINES", "n_dropped", "d_pos", "d_id", "D_TH", "gone_at", "split_at", "__id", "__th", "__split", "a.b`c")})
+    got = line_runs.drop_repeated_lines(clash)
+    assert got.columns == [*[c for c in clash.columns if c not in ("N_LINES", "n_dropped")], "n_lines", "n_dropped"]
+    same([(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()], brute_lines(rows))
+    assert all(r["__id"] == r["D_TH"] == r["a.b`c"] == 77 for r in got.collect())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_a_line_that_very_many_later_documents_share(spark):
+    """It is settled in the first batch, where only three documents have it."""
+    common = "this line is in a third of all documents of the corpus"
+    rows = [(k, f"some line of document number {k}" + ("\n" + common if k >= 597 or k % 3 == 0 and k < 400 else "")) for k in range(600)] + [(None, common)] * 90
+    got = line_runs.drop_repeated_lines(documents(spark, rows))
+    same(got.select("doc_id", "text", "n_lines", "n_dropped").collect(), brute_lines(rows))
 
 
 def plain_fingerprint(text):
