@@ -1,7 +1,8 @@
 """WARC archives: one gzip member per record, written by tasks into the shared folder and read back sequentially.
 
 Pages with equal payloads of at least ``MIN_REVISIT`` bytes are stored once: the one with the largest page id is a
-response record, the others are revisit records that refer to it. Each task writes archives of its own under names of
+response record, the others are revisit records that refer to it. Payloads are equal when they have one length and one
+SHA-256; the SHA-1 of the format is only written and verified. Each task writes archives of its own under names of
 its own attempt and reports them as rows; only reported archives are read, so a task that is run again or twice leaves
 at most a file that nobody reads. The reader inflates member by member with bounded buffers, takes each block by its
 Content-Length, and verifies block and payload digests.
@@ -21,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.support import scratch, stage
+from millrace.llm.support import join_groups, parts, scratch, stage
 
 MIN_REVISIT, ROLL, CHUNK, LEVEL = 1000, 128 << 20, 1 << 16, 4
 DATE = "2000-01-01T00:00:00Z"
@@ -78,13 +79,15 @@ class _Member:
         del self.buffer[: at + len(mark)]
         return out
 
-    def take(self, n: int) -> bytes:
-        while len(self.buffer) < n:
-            if not self.more():
+    def pieces(self, n: int) -> Iterator[bytes]:
+        """The next ``n`` bytes as they are inflated."""
+        while n:
+            if not self.buffer and not self.more():
                 raise WarcError("a block shorter than its Content-Length")
-        out = bytes(self.buffer[:n])
-        del self.buffer[:n]
-        return out
+            out = bytes(self.buffer[:n])
+            del self.buffer[:n]
+            n -= len(out)
+            yield out
 
     def end(self) -> bytes:
         """The member must end with two line ends; returns what was read beyond it."""
@@ -95,8 +98,13 @@ class _Member:
         return self.inflate.unused_data
 
 
-def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(header fields in lower case, HTTP header, payload) of each record of an archive; digests are verified."""
+def _told(digest) -> str:
+    return "sha1:" + base64.b32encode(digest.digest()).decode()
+
+
+def read_records(source: BinaryIO, with_payload: bool = True) -> Iterator[tuple[dict[str, str], bytes, bytes | None, int]]:
+    """(header fields in lower case, HTTP header, payload, its bytes) of each record of an archive; digests are verified.
+    Without payloads (None) a block is never held whole."""
     rest = b""
     while rest or (rest := source.read(CHUNK)):
         member = _Member(source, rest)
@@ -104,14 +112,24 @@ def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, byte
         if not version.startswith("WARC/"):
             raise WarcError("not a WARC record")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        block = member.take(int(fields["content-length"]))
+        block, own, size, http, head, kept = hashlib.sha1(), hashlib.sha1(), 0, None, bytearray(), []
+        for piece in member.pieces(int(fields["content-length"])):
+            block.update(piece)
+            if http is None:
+                head += piece
+                if (at := head.find(b"\r\n\r\n")) < 0:
+                    continue
+                http, piece = bytes(head[:at]), bytes(head[at + 4 :])
+            own.update(piece)
+            size += len(piece)
+            if with_payload:
+                kept.append(piece)
         rest = member.end()
-        if "warc-block-digest" in fields and _digest(block) != fields["warc-block-digest"]:
+        if "warc-block-digest" in fields and _told(block) != fields["warc-block-digest"]:
             raise WarcError("a block that does not have its digest")
-        http, _, payload = block.partition(b"\r\n\r\n")
-        if fields["warc-type"] == "response" and "warc-payload-digest" in fields and _digest(payload) != fields["warc-payload-digest"]:
+        if fields["warc-type"] == "response" and "warc-payload-digest" in fields and _told(own) != fields["warc-payload-digest"]:
             raise WarcError("a payload that does not have its digest")
-        yield fields, http, payload
+        yield fields, bytes(head) if http is None else http, b"".join(kept) if with_payload else None, size
 
 
 def _write(folder: str):
@@ -120,7 +138,7 @@ def _write(folder: str):
         out, path, records, size = None, "", 0, 0
         done: list[tuple[str, int, int]] = []
         for b in batches:
-            for page, url, payload, top, many in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "top", "many")), strict=True):
+            for page, url, payload, top, many in (row for part in parts(b, "payload") for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "top", "many")), strict=True)):
                 if out is None:
                     path, records, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     store.create_dir(root, recursive=True)
@@ -145,11 +163,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     archives (path, records, bytes). A null html is an empty payload, a null url a record without a target."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    large = rows.filter(F.octet_length("payload") >= MIN_REVISIT).select("sha", "page_id")
-    groups = large.groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    joined = rows.join(groups, "sha", "left").select("page_id", "url", "payload", "top", "many")
-    return stage(joined.mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
+    small = rows.filter(F.octet_length("payload") < MIN_REVISIT)
+    large = rows.filter(F.octet_length("payload") >= MIN_REVISIT).withColumn("key", F.concat(F.unhex(F.sha2("payload", 256)), F.unhex(F.lpad(F.hex(F.octet_length("payload")), 16, "0"))))
+    groups = stage(large.groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("many")), "payloads")
+    total = groups.agg(F.sum("many")).first()[0] or 0
+    again = F.col("many") > 1
+    # Small pages are no revisits and need no join; a page that very many rows equal stays where it is.
+    joined = join_groups(large, groups, ["key"], "many", total).select("page_id", "url", "payload", F.when(again, F.col("top")).alias("top"), F.when(again, F.col("many")).alias("many"))
+    alone = small.select("page_id", "url", "payload", F.lit(None).cast("long").alias("top"), F.lit(None).cast("long").alias("many"))
+    return stage(joined.unionByName(alone).mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
 
 
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -169,13 +191,13 @@ def _read(folder: str, with_payload: bool):
             for path in b.column("path").to_pylist():
                 rows, held = [], 0
                 with store.open_input_stream(path, compression=None) as source:
-                    for fields, http, payload in read_records(source):
+                    for fields, http, payload, length in read_records(source, with_payload):
                         size = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                        if fields["warc-type"] == "response" and size != len(payload):
+                        if fields["warc-type"] == "response" and size != length:
                             raise WarcError("a payload shorter than its Content-Length")
                         digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                         refers = fields.get("warc-refers-to")
-                        rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), size, digest, fields["warc-type"], refers and _page(refers), payload if with_payload else None))
+                        rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), size, digest, fields["warc-type"], refers and _page(refers), payload))
                         held += len(payload) if with_payload else 200
                         if held >= 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -196,8 +218,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Defined cases: a null html is an empty payload; rows that repeat a page_id are records of their own, and those with
-    the largest page_id of equal payloads all are responses; a null page_id is below all others; an empty table gives no
-    rows. Other columns are not read.
+    the largest page_id of equal payloads all are responses; a null page_id is below all others; of equal payloads whose
+    page_ids all are null every record is a response; a page of any length is one record; an empty table gives no rows.
+    Other columns are not read, whatever their names.
     """
     folder = scratch(pages.sparkSession, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"

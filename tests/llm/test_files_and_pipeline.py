@@ -26,15 +26,16 @@ def pages(spark, rows):
 
 def test_archives(spark):
     big, bigger = "<p>é</p>" * 200, "x" * 300_000
-    rows = [(1, big), (2, big), (3, "small"), (4, "small"), (5, None), (6, ""), (7, bigger), (8, "y" * 1000), (9, "y" * 1000), (10, big), (None, big), (11, "z" * 999), (12, "z" * 999), (10, big), (13, "a\r\n\r\nb")]
-    got = warc.archive_pages(pages(spark, rows).withColumn("top", F.lit(1))).collect()
+    rows = [(1, big), (2, big), (3, "small"), (4, "small"), (5, None), (6, ""), (7, bigger), (8, "y" * 1000), (9, "y" * 1000), (10, big), (None, big), (11, "z" * 999), (12, "z" * 999), (10, big), (13, "a\r\n\r\nb"), (None, "n" * 1500), (None, "n" * 1500)]
+    rows += [(100 + k, "a page that very many rows have " * 40) for k in range(150)]
+    got = warc.archive_pages(pages(spark, rows).withColumns({"top": F.lit(1), "KEY": F.lit(2), "payload": F.lit(3)})).collect()
     groups = defaultdict(list)
     for i, h in rows:
         groups[h or ""].append(i)
     want = []
     for i, h in rows:
         raw = (h or "").encode()
-        top = max(x for x in groups[h or ""] if x is not None)
+        top = max((x for x in groups[h or ""] if x is not None), default=None)
         again = len(raw) >= 1000 and i != top
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", top if again else None))
     same(got, want)
@@ -44,7 +45,8 @@ def test_archives(spark):
 def test_reader_checks_what_it_reads():
     records = [warc.write_record(1, "u", b"abc" * 50_000, None, False), warc.write_record(2, None, b"", None, False), warc.write_record(3, "u", b"abc" * 50_000, 1, True)]
     found = list(warc.read_records(io.BytesIO(b"".join(records))))
-    assert [(f["warc-type"], len(p)) for f, _, p in found] == [("response", 150_000), ("response", 0), ("revisit", 0)]
+    assert [(f["warc-type"], len(p), n) for f, _, p, n in found] == [("response", 150_000, 150_000), ("response", 0, 0), ("revisit", 0, 0)]
+    assert [(p, n) for _, _, p, n in warc.read_records(io.BytesIO(b"".join(records)), False)] == [(None, 150_000), (None, 0), (None, 0)]
     plain = zlib.decompress(records[0], 31)
 
     def broken(raw):
@@ -52,8 +54,9 @@ def test_reader_checks_what_it_reads():
         return z.compress(raw) + z.flush()
 
     for bad in (broken(plain.replace(b"abcabc", b"abcabd", 1)), broken(plain[:-10]), broken(plain + b"x"), records[0][:-20], broken(b"HTTP/1.1\r\n\r\n")):
-        with pytest.raises(warc.WarcError):
-            list(warc.read_records(io.BytesIO(bad)))
+        for with_payload in (True, False):
+            with pytest.raises(warc.WarcError):
+                list(warc.read_records(io.BytesIO(bad), with_payload))
 
 
 # -- GIF ---------------------------------------------------------------------------------------------------------------
