@@ -1,10 +1,11 @@
 """Byte-level BPE encoding by tree concatenation, and decoding.
 
-A text longer than ``SPAN`` characters is halved again and again, wherever the halves happen to meet; the leaves are
-encoded by themselves and joined in pairs, level by level. To join two encoded halves, a window of text around the place
-where they meet grows until each side has a cut in it that no encoding can cross: before a single space between two
-visible characters, where the pre-token pattern always begins anew. There both sides' tokens and those of the window agree
-exactly, so the window is encoded again from cut to cut, and the tokens outside stay.
+A text is halved again and again, wherever the halves happen to meet, down to leaves of ``SPAN`` characters (a third of an
+ordinary document); the leaves are encoded by themselves and joined in pairs, level by level. To join two encoded halves,
+a window of text around the place where they meet is encoded again. It grows, to the next cut that no pre-token crosses
+(before white space that follows a visible character, where the pre-token pattern always begins anew), until both sides
+agree with it exactly: a cut falls between two of a side's own tokens, and the window's outermost token is the side's own.
+A side without such a cut is encoded again as a whole. The tokens outside the window stay.
 
 A pre-token without such cuts that is longer than ``LEAF`` (thousands of letters without a space) is a tree of bytes: the
 last k tokens of the left and the first k of the right are decoded and encoded again; if the result still begins with the
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm.rank_sync_counts import _byte_symbols
+from millrace.llm.support import parts
 
-LEAF, WINDOW, SPAN, SPREAD = 1024, 8, 4096, 1 << 16
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+LEAF, WINDOW, SPAN, SPREAD = 1024, 8, 512, 1 << 16
+_CUT = re.compile(r"(?<=\S)(?=[ \n\r\t])")
 _BLANK = re.compile(r"\s{%d}" % LEAF)
 #: Pre-tokens of these characters are the same in every edition of Unicode.
 _LATIN = re.compile(r"[\x00-ɏ]*\Z")
@@ -110,8 +112,7 @@ class TreeBpe:
         """Of a text that is encoded at once; without long pieces, special strings or rare characters it needs no cutting."""
         if max(map(len, text.split()), default=0) <= LEAF and _LATIN.match(text) and not _BLANK.search(text) and not any(s in text for s in self.special):
             return np.array(self.base.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = _CUT.split(text)
-        return b"".join([self._ids(first), *(self._ids(f" {p}") for p in rest)])
+        return b"".join(map(self._ids, _CUT.split(text)))
 
     def concatenate(self, texts: list[str], ids: list[bytes]) -> bytes:
         """The ids of neighbouring texts' concatenation."""
@@ -121,33 +122,57 @@ class TreeBpe:
             texts = [texts[k] + texts[k + 1] for k in pairs] + texts[len(texts) - len(texts) % 2 :]
         return ids[0] if ids else b""
 
-    def meet(self, left: str, left_ids: bytes, right: str, right_ids: bytes, window: int = 64) -> bytes:
+    def meet(self, left: str, left_ids: bytes, right: str, right_ids: bytes, window: int = 24) -> bytes:
         """The ids of ``left + right``."""
-        begin, end = 0, len(right)
-        a = b = window
-        while a < len(left):
-            if cuts := [m.start() for m in _CUT.finditer(left, max(0, len(left) - a))]:
-                begin = cuts[0]
-                break
-            a *= 2
-        while b < len(right):
-            if cuts := [m.start() for m in _CUT.finditer(right[:b])]:
-                end = cuts[-1]
+        lefts, rights = self._cuts_before(left, left_ids, window), self._cuts_after(right, right_ids, window)
+        (begin, before), (end, after) = next(lefts), next(rights)
+        while True:
+            again = self.leaf(left[begin:] + right[:end])
+            # A side that is taken whole has nothing left to agree with.
+            agree_left = begin == 0 or again[:4] == left_ids[len(left_ids) - before :][:4]
+            agree_right = end == len(right) or again[-4:] == right_ids[:after][-4:]
+            if agree_left and agree_right:
+                return left_ids[: len(left_ids) - before] + again + right_ids[after:]
+            if not agree_left:
+                begin, before = next(lefts)
+            if not agree_right:
+                end, after = next(rights)
+
+    def _cuts_before(self, left: str, ids: bytes, window: int) -> Iterator[tuple[int, int]]:
+        """(place of the cut, bytes of ``ids`` after it), each farther from the end than the one before; last the whole."""
+        edge = len(left)
+        while edge > 0:
+            low = max(0, len(left) - window)
+            # A cut needs the character before and after it, so the window's first place has none.
+            for at in reversed([m.start() for m in _CUT.finditer(left, low)]):
+                if 0 < at < edge and (many := self._tokens_of(ids, len(left[at:].encode()), from_end=True)) is not None:
+                    yield at, many
+                    edge = at
+            edge, window = min(edge, low), window * 2
+        yield 0, len(ids)
+
+    def _cuts_after(self, right: str, ids: bytes, window: int) -> Iterator[tuple[int, int]]:
+        edge = 0
+        while edge < len(right):
+            high = min(len(right), window)
+            # A place whose next character may be beyond the window is looked at with the next one.
+            for at in [m.start() for m in _CUT.finditer(right, edge, high)]:
+                if at > edge and (many := self._tokens_of(ids, len(right[:at].encode()), from_end=False)) is not None:
+                    yield at, many
+                    edge = at
+            if high == len(right):
                 break
-            b *= 2
-        before = self._tokens_of(left_ids, len(left[begin:].encode()), from_end=True) if begin else len(left_ids)
-        after = self._tokens_of(right_ids, len(right[:end].encode()), from_end=False) if end < len(right) else len(right_ids)
-        return left_ids[: len(left_ids) - before] + self.leaf(left[begin:] + right[:end]) + right_ids[after:]
-
-    def _tokens_of(self, ids: bytes, size: int, from_end: bool) -> int:
-        """Bytes of ``ids`` at one end that stand for exactly ``size`` bytes of text."""
-        own, k = np.frombuffer(ids, "<u4"), 0
-        while size > 0:
-            size -= len(self.table[own[-1 - k] if from_end else own[k]])
+            edge, window = max(edge, high - 2), window * 2
+        yield len(right), len(ids)
+
+    def _tokens_of(self, ids: bytes, size: int, from_end: bool) -> int | None:
+        """Bytes of ``ids`` at one end that stand for exactly ``size`` bytes of text; None if a token crosses there."""
+        k, n = 0, len(ids) // 4
+        while size > 0 and k < n:
+            at = 4 * (n - 1 - k if from_end else k)
+            size -= len(self.table[int.from_bytes(ids[at : at + 4], "little")])
             k += 1
-        if size:
-            raise ValueError("a cut within a token")
-        return 4 * k
+        return None if size else 4 * k
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -170,8 +195,7 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tree_bpe(path)
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for part in parts(b):
                 ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, pa.field("ids", pa.binary()), pa.array(ids, pa.binary()))
@@ -183,7 +207,8 @@ def _leaves(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tree_bpe(path)
         for b in batches:
-            yield b.append_column("ids", pa.array([bpe.leaf(t) for t in b.column("text").to_pylist()], pa.binary()))
+            for part in parts(b):
+                yield part.append_column("ids", pa.array([bpe.leaf(t) for t in part.column("text").to_pylist()], pa.binary()))
 
     return run
 
@@ -229,8 +254,8 @@ def _digests(path: str) -> Finish:
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row.
 
-    Defined cases: a null text is an empty one with no ids; ids may be null or repeated, each row gives a row; long texts
-    are encoded whole. Other columns are not read.
+    Defined cases: a null text is an empty one with no ids; ids may be null or repeated, each row gives a row; a text of any
+    length is encoded whole; an empty table gives no rows. Other columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = encode_documents(rows, path, _digests(path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

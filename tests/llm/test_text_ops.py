@@ -158,6 +158,27 @@ def test_bpe(spark):
     same(tree_bpe.round_trip(documents(spark, rows), BYTES).collect(), want)
 
 
+def test_windows_grow_until_both_sides_agree(monkeypatch):
+    library, own = Tokenizer.from_file(BYTES), tree_bpe.TreeBpe(BYTES)
+    rng = random.Random(2)
+    tried = []
+    plain = own.leaf
+    monkeypatch.setattr(own, "leaf", lambda t: (tried.append(len(t)), plain(t))[1])
+    for _ in range(40):
+        text = " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 90))) for _ in range(20))
+        for split in (1, 17, len(text) // 2):
+            a, b = text[:split], text[split:]
+            ids = own.meet(a, plain(a), b, plain(b), window=2)
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(tried) > 100 and min(tried) < 60
+
+
+def test_bpe_of_odd_tables(spark):
+    clash = documents(spark, [(1, "a b"), (None, None)]).withColumns({"id": F.lit(1), "ids": F.lit(2), "N_TOKENS": F.lit(7), "row": F.lit(8), "number": F.lit(9)})
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in tree_bpe.round_trip(clash, BYTES).collect()) == [(0, 0), (1, 2)]
+    assert tree_bpe.round_trip(documents(spark, []), BYTES).count() == 0
+
+
 @pytest.mark.parametrize("span", [1, 7, 64, 4096])
 def test_texts_are_joined_exactly(span):
     library, own = Tokenizer.from_file(BYTES), tree_bpe.TreeBpe(BYTES)
