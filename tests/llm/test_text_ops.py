@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from test_dedup import corpus, documents, same
 from tokenizers import Tokenizer
 
-from millrace.llm import bin_completion, crf_langid, rank_sync_counts, secret_ledger, tree_bpe
+from millrace.llm import bin_completion, crf_langid, rank_sync_counts, secret_ledger, support, tree_bpe
 from millrace.llm.bin_completion import _best_fit
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -359,33 +359,75 @@ def texts_of(rng, lang, n):
     return " ".join(rng.choice(VOCABULARY[lang].split()) for _ in range(n))
 
 
-def test_forward_backward_is_exact():
+@pytest.mark.parametrize(("block", "blocks"), [(3, 2), (2, 100), (32, 4096)])
+def test_forward_backward_is_exact_over_whole_texts(monkeypatch, block, blocks):
+    monkeypatch.setattr(crf_langid, "BLOCK", block)
+    monkeypatch.setattr(crf_langid, "BLOCKS", blocks)
     rng = np.random.default_rng(0)
-    emission, transition, start = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    want = np.zeros((4, 3))
-    for path in np.ndindex(3, 3, 3, 3):
-        score = start[path[0]] + sum(emission[0, t, s] for t, s in enumerate(path)) + sum(transition[a, b] for a, b in zip(path, path[1:], strict=False))
-        for t, s in enumerate(path):
-            want[t, s] += np.exp(score)
-    got = crf_langid.forward_backward(emission, np.array([4]), transition, start)[0]
-    assert np.allclose(got, want / want.sum(1, keepdims=True))
-    padded = np.concatenate([emission, rng.normal(size=(1, 2, 3))], 1)
-    assert np.allclose(crf_langid.forward_backward(padded, np.array([4]), transition, start)[0, :4], got)
-
-
-def test_predictions_do_not_depend_on_how_texts_are_dealt(monkeypatch):
+    many, lengths = 3, [1, 7, 4, 2, 8]
+    scores, transition, start = 2 * rng.normal(size=(sum(lengths), many)), rng.normal(size=(many, many)), rng.normal(size=many)
+    want, pairs, at = np.zeros_like(scores), np.zeros((many, many)), 0
+    for n in lengths:
+        total, own, both = 0.0, np.zeros((n, many)), np.zeros((many, many))
+        for path in np.ndindex(*[many] * n):
+            weight = np.exp(start[path[0]] + sum(scores[at + t, s] for t, s in enumerate(path)) + sum(transition[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total += weight
+            for t, s in enumerate(path):
+                own[t, s] += weight
+            for a, b in zip(path, path[1:], strict=False):
+                both[a, b] += weight
+        want[at : at + n] = own / total
+        pairs += both / total
+        at += n
+    got, found = crf_langid.forward_backward(lambda x: scores[x], crf_langid.Chains(np.repeat(np.arange(len(lengths)), lengths)), transition, start, pairs=True)
+    assert np.allclose(got, want) and np.allclose(found, pairs)
+    assert crf_langid.forward_backward(lambda x: scores[x], crf_langid.Chains(np.zeros(0, int)), transition, start).shape == (0, many)
+
+
+def plain_prediction(model, text):
+    """Of one text: the mean of its words' marginals, by one pass word by word."""
+    words = [w for w in (crf_langid.letters(t) for t in text.split()) if w]
+    if not words:
+        return "und", 0.0
+    psi = np.exp(np.stack([model.emissions([w])[0] for w in words]))
+    move, n = np.exp(model.transition), len(words)
+    alpha, beta = [np.exp(model.start) * psi[0]], [np.ones(len(move))]
+    for t in range(1, n):
+        a = (alpha[-1] / alpha[-1].sum() @ move) * psi[t]
+        alpha.append(a)
+    for t in range(n - 1, 0, -1):
+        b = move @ (psi[t] * beta[-1])
+        beta.append(b / b.sum())
+    each = np.array(alpha) * np.array(beta[::-1])
+    mean = (each / each.sum(1, keepdims=True)).mean(0)
+    return model.languages[mean.argmax()], mean.max()
+
+
+def test_predictions_are_those_of_whole_texts_however_they_are_dealt(monkeypatch):
     rng = random.Random(8)
     model = crf_langid.fit({k: [texts_of(rng, k, 20).split() for _ in range(20)] for k in VOCABULARY})
-    texts = [None, "", "123", *(texts_of(rng, rng.choice(list(VOCABULARY)), rng.randint(1, 400)) for _ in range(60))]
-    want = model.predict([t or "" for t in texts])
-    for name, value in (("WORDS", 3), ("TEXTS", 7), ("TEXT_BYTES", 900)):
+    texts = [None, "", "123", *(texts_of(rng, rng.choice(list(VOCABULARY)), rng.randint(1, 400)) for _ in range(60)), " ".join(texts_of(rng, k, 9) for k in [*VOCABULARY] * 30), "x" * 5000]
+    want = [plain_prediction(model, t or "") for t in texts]
+    for name, value in (("WORDS", 3), ("CHARACTERS", 20), ("BLOCKS", 5), ("KEPT_CHARACTERS", 100)):
         monkeypatch.setattr(crf_langid, name, value)
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    parts = list(crf_langid._parts(batch.column("text")))
-    assert [t for p in parts for t in p.to_pylist()] == texts and max(map(len, parts)) <= 7
-    (got,) = crf_langid._predicted(model)(iter([batch]))
-    assert [x for x, _ in want] == got.column("lang_pred").to_pylist()
-    assert np.allclose([x for _, x in want], got.column("score").to_pylist())
+    cut = list(support.parts(batch, "text", 7, 900))
+    assert [t for p in cut for t in p.column("text").to_pylist()] == texts and max(p.num_rows for p in cut) <= 7
+    got = [x for p in crf_langid._predicted(model, 0)(iter(cut)) for x in zip(p.column("lang_pred").to_pylist(), p.column("score").to_pylist(), strict=True)]
+    assert [x for x, _ in want] == [x for x, _ in got]
+    assert np.allclose([x for _, x in want], [x for _, x in got], atol=1e-4)
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(crf_langid, "PER_LANGUAGE", 5)
+    monkeypatch.setattr(crf_langid, "LANGUAGES", 2)
+    seen = {}
+    monkeypatch.setattr(crf_langid, "fit", lambda texts: seen.update(texts))
+    rows = [(1 if k < 300 else k, "word " * (k + 1), "en" if k % 3 else "fr") for k in range(900)] + [(901, "x", f"dirty {k}") for k in range(9)]
+    crf_langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    # About ten rows of a label are drawn, of which id 1 has a third or none.
+    assert set(seen) == {"en", "fr"} and all(1 <= len(v) <= 5 for v in seen.values())
+    assert all(len(t) in {k + 1 for k in range(900)} for v in seen.values() for t in v)
 
 
 def test_language(spark):
@@ -393,7 +435,7 @@ def test_language(spark):
     langs = sorted(VOCABULARY)
     rows = [(k, texts_of(rng, langs[k % 3], rng.randint(5, 80)), langs[k % 3]) for k in range(240)]
     rows += [(1000, None, "en"), (1001, "123 ...", "fr"), (1002, "", None), (None, texts_of(rng, "de", 20), "de"), (1003, texts_of(rng, "en", 3000), None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit(0.1), "lang_pred": F.lit("x")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit(0.1), "LANG_PRED": F.lit("x"), "a`b.c": F.lit(1), "id": F.lit(2)})
     got = {r["doc_id"]: r for r in crf_langid.identify(docs).collect()}
     assert len(got) == len(rows)
     held = [(r[2], got[r[0]]["lang_pred"]) for r in rows[:240] if zlib.crc32(str(r[0]).encode()) % 5 == 0]
@@ -408,3 +450,7 @@ def test_language(spark):
     blank = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in crf_langid.identify(blank).collect()} == {"und"}
     assert crf_langid.identify(docs.limit(0)).count() == 0
+    other = crf_langid.predict(docs.withColumnRenamed("text", "body").withColumn("text", F.lit("kept")), mixed, "body")
+    assert other.columns == ["doc_id", "body", "lang", "a`b.c", "id", "text", "lang_pred", "score"]
+    assert [tuple(r)[3:6] for r in other.limit(3).collect()] == [(1, 2, "kept")] * 3
+    assert {r["doc_id"]: r["lang_pred"] for r in other.collect()} == {k: r["lang_pred"] for k, r in got.items()}
