@@ -12,7 +12,7 @@ searched; and dives that break ties by chance give better incumbents. The limits
 
 The pieces get their sequences as Spark rows: within a length, salted by document, each piece has a rank (an exclusive
 sum over the counts of the salts plus a row number within one salt), and ranges of ranks belong to slots of patterns. So
-a length that a third of all pieces have is dealt over all salts, and pieces are moved once, without their ids. A length
+a length that a third of all pieces have is dealt over all salts, repeated rows or not, and pieces are moved once. A length
 has as many salts as its number of pieces asks for, so what one task ranks does not grow with the corpus.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.support import stage
+from millrace.llm.support import columns, fresh, stage
 from millrace.llm.tree_bpe import encode_documents
 
 #: A length has SALTS salts, and more where they would have over SALT_ROWS pieces each.
@@ -371,8 +371,14 @@ def _slots(patterns: list[Pattern]) -> tuple[np.ndarray, ...]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """``pieces`` (any columns, with ``length`` from 1 to ``capacity``; written tables, as they are read again) with
-    sequence_id and offset. Repeated rows are pieces of their own."""
+    """``pieces`` (any columns, with ``length`` from 1 to ``capacity``) with sequence_id and offset.
+
+    Each row is a piece of its own, also where rows are repeated: it gets a number when ``pieces`` are written, which decides
+    its salt. Columns of those two names (in whatever case) are replaced, all others pass through unchanged.
+    """
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    number, salt_at, rank_at, slot_at = fresh(pieces.columns, "number", "salt", "rank", "slot")
+    pieces = stage(pieces.select(*columns(names), F.monotonically_increasing_id().alias(number)), "pieces")
     # At most capacity rows, whatever the number of documents.
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     keys, sequences, offsets = _slots(bin_completion(histogram, capacity))
@@ -380,10 +386,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, salt_r
     for length, n in sorted(histogram.items()):
         if n > salts * salt_rows:
             many = F.when(F.col("length") == length, -(-n // salt_rows)).otherwise(many)
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in pieces.dtypes if t in ("bigint", "int")]), many).cast("int"))
+    salted = pieces.withColumn(salt_at, F.pmod(F.xxhash64(number), many).cast("int"))
     # At most capacity * salts rows, and one for each salt_rows pieces.
-    table = salted.groupBy("length", "__salt").count().orderBy("length", "__salt").collect()
-    own = np.array([r["length"] << 32 | r["__salt"] for r in table], np.int64)
+    table = salted.groupBy("length", F.col(salt_at).alias("salt")).count().orderBy("length", "salt").collect()
+    own = np.array([r["length"] << 32 | r["salt"] for r in table], np.int64)
     starts, last, sum_of = np.zeros(len(table), np.int64), None, 0
     for k, r in enumerate(table):
         sum_of = sum_of if r["length"] == last else 0
@@ -398,10 +404,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, salt_r
         return pd.DataFrame({"sequence_id": sequences[at] + key - keys[at], "offset": offsets[at]})
 
     # The order within a salt is any; equal pieces are interchangeable.
-    window = Window.partitionBy("length", "__salt").orderBy(*[c for c, t in pieces.dtypes if t in ("bigint", "int")])
-    ranked = salted.withColumn("__number", F.row_number().over(window))
-    out = ranked.withColumn("__slot", slot("length", "__salt", "__number"))
-    return out.select(*pieces.columns, "__slot.sequence_id", "__slot.offset")
+    window = Window.partitionBy("length", salt_at).orderBy(number)
+    ranked = salted.withColumn(rank_at, F.row_number().over(window))
+    out = ranked.withColumn(slot_at, slot("length", salt_at, rank_at))
+    return out.select(*columns(names), f"{slot_at}.sequence_id", f"{slot_at}.offset")
 
 
 def _cut(capacity: int, end_id: int):
@@ -441,11 +447,12 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs``, in few sequences.
 
-    Defined cases: ids may be null or repeated, each row is packed as a document of its own; an empty table gives no
-    rows. Other columns are not read. For the ids themselves join with cut_pieces, or pack its written table.
+    Defined cases: a null or empty text is the end id alone; a text of any length is packed whole, in pieces; ids may be
+    null or repeated, each row is packed as a document of its own; an empty table gives no rows. Other columns are not
+    read, whatever their names. For the ids themselves, pack the table of cut_pieces.
     """
     pieces = cut_pieces(docs, path, capacity, end_id, id_col, text_col)
-    return pack(stage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), capacity)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
 
 
 __all__ = ["bin_completion", "cut_pieces", "pack", "pack_documents"]

@@ -8,13 +8,15 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_dedup import brute_lines, brute_roots, documents, plain_fingerprint, same
 from test_text_ops import VOCABULARY, plain_secrets, texts_of
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import gif_media, warc
+from millrace.llm import bin_completion, gif_media, warc
 from millrace.llm.gif_media import decode_gif, encode_gif, histogram, lzw_decode, lzw_encode, padded
 
 # -- WARC --------------------------------------------------------------------------------------------------------------
@@ -204,6 +206,41 @@ def test_pipeline(spark, tmp_path):
             assert [i for i, _ in kept] == [i for i, _ in before]
             assert [plain_secrets(t) for _, t in kept] == [[]] * len(kept)
             assert [t for i, t in kept if i != 20] == [t for i, t in before if i != 20]
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in kept}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = []
+    for i, t in kept:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for k, at in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[at : first if k == 0 else at + 1024]
+            pieces.append((i, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    same([tuple(r)[:5] for r in packed], pieces)
+    taken = Counter((r["sequence_id"], k) for r in packed for k in range(r["offset"], r["offset"] + r["length"]))
+    ends = Counter(s for s, _ in taken)
+    assert set(taken.values()) == {1} and all((s, n - 1) in taken and n <= 1024 for s, n in ends.items())
+    assert len(ends) == sum(n for _, n in bin_completion.bin_completion(Counter(p[3] for p in pieces))) <= -(-sum(p[3] for p in pieces) // 1024) + 1
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and long texts, repeated rows, an empty table, columns that are named like the stages' own."""
+    rng = random.Random(4)
+    langs = sorted(VOCABULARY)
+    rows = [(k, texts_of(rng, langs[k % 3], rng.randint(20, 60)), langs[k % 3], None if k % 4 else "s", None if k % 5 else 7) for k in range(40)]
+    rows += [rows[3]] * 3 + [(None, rows[5][1], None, None, None)] * 2 + [(50, None, "en", "s", 0), (51, "", None, None, None), (52, texts_of(rng, "en", 30_000) + " token=abcdef123456", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = {c: F.lit(k) for k, c in enumerate(("score", "LANG_PRED", "n_lines", "N_dropped", "findings", "fp", "id", "th", "root", "blob", "found", "a.b", "score_aside"))}
+    docs = docs.withColumns(extra)
+    many = []
+    for name, apply in corpus_pipeline.STAGES[:4]:
+        assert apply(spark, docs.limit(0), "").count() == 0, name
+        docs = corpus_pipeline.stage(apply(spark, docs, ""), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra], name
+        found = docs.collect()
+        assert {tuple(r)[5:] for r in found} == {tuple(range(len(extra)))}, name
+        many.append(len(found))
+    assert many == [46, 46, 41, 41]
+    assert next(r["text"] for r in found if r["doc_id"] == 52).endswith(" [SECRET]")
+    assert corpus_pipeline.packing(spark, docs, "").select("doc_id").distinct().count() == 41
+    assert corpus_pipeline.packing(spark, docs.limit(0), "").count() == 0

@@ -333,6 +333,10 @@ def test_packing(spark):
     bound = -(-sum(p[3] for p in pieces) // 128)
     assert len(by) <= bound + 1
     assert bin_completion.pack_documents(documents(spark, []), BYTES).count() == 0
+    cut = bin_completion.cut_pieces(documents(spark, rows[:9]), BYTES).withColumns({"Offset": F.lit(1), "salt": F.lit(2), "number": F.lit(3), "a.b": F.lit(4)})
+    packed = bin_completion.pack(cut)
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids", "salt", "number", "a.b", "sequence_id", "offset"]
+    assert {tuple(r)[5:8] for r in packed.collect()} == {(2, 3, 4)}
 
 
 @pytest.mark.parametrize(("salts", "salt_rows"), [(1, 10_000), (1, 7), (64, 1)])
@@ -340,7 +344,7 @@ def test_every_piece_has_a_place_whatever_the_salts(spark, salts, salt_rows):
     rng = random.Random(salts)
     # A third of the pieces have one length, and some rows are repeated.
     lengths = [50 if k % 3 == 0 else rng.randint(1, 50) for k in range(600)]
-    rows = [(k, n) for k, n in enumerate(lengths)] + [(0, lengths[0])] * 3
+    rows = [(k, n) for k, n in enumerate(lengths)] + [(None, lengths[0])] * 60
     pieces = spark.createDataFrame(rows, "doc_id long, length long")
     got = bin_completion.pack(pieces, 50, salts, salt_rows).collect()
     same([(r["doc_id"], r["length"]) for r in got], rows)
