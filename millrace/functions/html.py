@@ -1,12 +1,12 @@
-"""Plain text of HTML.
+"""Plain text of HTML, by native expressions: tokens by one pattern, block tags as line breaks, entities by a table.
 
-``strip_html`` is native: tokens by one pattern, block tags as line breaks, the usual entities. ``strip_html_exact`` is an
-Arrow UDF over a full parser, for malformed markup and every entity.
+``strip_html_exact`` is an Arrow UDF over a full parser, for markup so broken that only a parser's own recovery tells what
+it means; nothing here uses it unless told to.
 """
 
 from __future__ import annotations
 
-import html as entities
+import html.entities
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,20 +14,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from millrace.functions.text import strip
+from millrace.functions.text import let, strip
 
 # Tags that break a line, at both their ends.
 BLOCK_TAGS = ("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr")
-#: The entities that the native form knows, the ampersand last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 _TOKEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<![^>]*>|</?[a-z][^>]*>|[^<]+|<"
-_BREAK = r"[\n\r\x0b\f\x1c-\x1e\x85  ]"
+_BREAK = r"[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+#: An entity, a run without ampersands, or an ampersand that begins none.
+_ENTITY = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{1,31};|&(?:SHORT)|[^&]+|&"
+#: Entities that need no semicolon, the longest first, as the shortest of two that fit is not meant.
+_SHORT = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+#: What numbers stand for that are no characters of their own: the standard's table for 128 to 159, from the code page itself.
+_WINDOWS = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)}
+
+
+def _numbered(token: Column) -> Column:
+    """The character of a numeric entity."""
+    digits = F.regexp_replace(F.regexp_extract(token, "([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
+    hexadecimal = token.rlike("^&#[xX]")
+    number = F.when(F.length(digits) > 8, F.lit(str(0x110000))).when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+    # From UTF-32, as a number beyond the basic plane is two units of UTF-16.
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    windows = F.create_map(*[F.lit(x) for kv in _WINDOWS.items() for x in kv])
+    bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    # Controls and characters that are none vanish, but for the white space among them.
+    none = (number.between(1, 31) & ~number.isin(9, 10, 12, 13)) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number == 11) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    return F.when(bad, "\ufffd").when(number.between(128, 159), F.try_element_at(windows, number.cast("int"))).when(none, "").otherwise(plain)
 
 
 def unescape(text: Column) -> Column:
-    for k, v in ENTITIES.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
-    return text
+    """With the character or characters of each entity in its place."""
+    pattern = _ENTITY.replace("SHORT", "|".join(_SHORT))
+
+    def one(t: Column) -> Column:
+        names = F.create_map(*[F.lit(x) for k, v in html.entities.html5.items() for x in ("&" + k, v)])
+        return F.when(~F.startswith(t, F.lit("&")), t).when(F.startswith(t, F.lit("&#")) & (F.length(t) > 2), _numbered(t)).otherwise(F.coalesce(F.try_element_at(names, t), _headed(t)))
+
+    def _headed(t: Column) -> Column:
+        """A name that is none may begin with one that needs no semicolon."""
+        own = F.regexp_extract(t, "^&(?:" + "|".join(_SHORT) + ")", 0)
+        names = F.create_map(*[F.lit(x) for k in _SHORT for x in ("&" + k, html.entities.html5[k])])
+        return F.when(own != "", F.concat(F.try_element_at(names, own), F.substring(t, F.length(own) + 1, F.length(t)))).otherwise(t)
+
+    parts = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), one), "")
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), parts(t)).otherwise(t))
 
 
 def _lines(text: Column) -> Column:
@@ -37,6 +67,7 @@ def _lines(text: Column) -> Column:
 
 def strip_html(raw: Column) -> Column:
     block = rf"(?is)^</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/>].*)?$"
+    # What is in a script or a style has no entities; a mark of its own keeps it out of the one pass that resolves them.
     parts = F.transform(
         F.regexp_extract_all(raw, F.lit(_TOKEN), F.lit(0)),
         lambda t: F.when(F.startswith(t, F.lit("<!")), "")
@@ -74,47 +105,23 @@ def strip_html_exact(raw: pd.Series) -> pd.Series:
     return raw.map(python_strip_html, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def unescape_exact(text: pd.Series) -> pd.Series:
-    return text.map(entities.unescape, na_action="ignore")
-
-
-class _Container(HTMLParser):
-    """Collects what is inside of the divs of a class, whatever is nested there."""
-
-    def __init__(self, name: str) -> None:
-        super().__init__(convert_charrefs=True)
-        self.name, self.open, self.parts = name, 0, []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.open:
-            self.open += tag == "div"
-            self.parts.append(self.get_starttag_text())
-        elif tag == "div" and self.name in (dict(attrs).get("class") or "").split():
-            self.open = 1
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if self.open:
-            self.parts.append(self.get_starttag_text())
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.open:
-            self.open -= tag == "div"
-            if self.open:
-                self.parts.append(f"</{tag}>")
-
-    def handle_data(self, data: str) -> None:
-        if self.open:
-            self.parts.append(data)
+_DIV = r"(?is)<!--.*?-->|<div\b[^>]*>|</div\s*>|(?:(?!<div\b|</div\s*>|<!--).)+"
 
 
 def container_html(raw: Column, name: str) -> Column:
-    """The markup within the divs of class ``name``; null if there is none."""
-
-    def inner(page: str) -> str | None:
-        parser = _Container(name)
-        parser.feed(page)
-        parser.close()
-        return "".join(parser.parts) or None
-
-    return F.pandas_udf(lambda s: s.map(inner, na_action="ignore"), StringType())(raw)
+    """The markup within the first div of class ``name`` and within later ones; null if there is none.
+
+    Tokens are div tags and what is between them; a running depth tells which are inside of a div of that class.
+    """
+    opens = rf"(?is)^<div\b[^>]*\bclass\s*=\s*(?:\"[^\"]*(?<![^\s\"]){name}(?![^\s\"])[^\"]*\"|'[^']*(?<![^\s']){name}(?![^\s'])[^']*'|{name}(?=[\s>]))"
+    state = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("found"))
+
+    def step(s: Column, t: Column) -> Column:
+        inside, div, end = s["depth"] > 0, t.rlike(r"(?i)^<div\b"), t.rlike(r"(?i)^</div\s*>")
+        begins = ~inside & t.rlike(opens)
+        depth = s["depth"] + F.when(begins | (inside & div), 1).when(inside & end, -1).otherwise(0)
+        keep = inside & ~(end & (s["depth"] == 1)) & ~F.startswith(t, F.lit("<!--"))
+        return F.struct(depth.alias("depth"), F.when(keep, F.concat(s["kept"], F.array(t))).otherwise(s["kept"]).alias("kept"), (s["found"] | begins).alias("found"))
+
+    found = F.aggregate(F.regexp_extract_all(raw, F.lit(_DIV), F.lit(0)), state, step)
+    return let(found, lambda s: F.nullif(F.array_join(s["kept"], ""), F.lit("")))

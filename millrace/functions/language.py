@@ -17,16 +17,19 @@ STOPWORDS = {
 MIN_TOKENS, MIN_HITS, MIN_MARGIN = 12, 3, 2
 
 
+_ANY = sorted({w for words in STOPWORDS.values() for w in words.split()})
+
+
 def _hits(words: Column, language: str) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*STOPWORDS[language].split())))
 
 
 def detect_language(text: Column) -> Column:
     """The language with most function words; null for a short text or one without a clear lead."""
-    return let(F.transform(F.regexp_extract_all(text, F.lit("(?iu)[a-zà-ÿ]+"), F.lit(0)), F.lower), _clear_lead)
+    return let(F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿſ]+"), F.lit(0)), lambda words: F.when(F.size(words) >= MIN_TOKENS, let(F.filter(words, lambda w: w.isin(*_ANY)), _clear_lead)))
 
 
-def _clear_lead(words: Column) -> Column:
-    ranked = F.sort_array(F.array(*[F.struct(_hits(words, k).alias("hits"), F.lit(k).alias("language")) for k in STOPWORDS]), asc=False)
-    lead = lambda r: (r[0]["hits"] >= MIN_HITS) & (r[0]["hits"] - r[1]["hits"] >= MIN_MARGIN)
-    return let(ranked, lambda r: F.when((F.size(words) >= MIN_TOKENS) & lead(r), r[0]["language"]))
+def _clear_lead(known: Column) -> Column:
+    """``known``: the words that are function words of some language."""
+    ranked = F.sort_array(F.array(*[F.struct(_hits(known, k).alias("hits"), F.lit(k).alias("language")) for k in STOPWORDS]), asc=False)
+    return let(ranked, lambda r: F.when((r[0]["hits"] >= MIN_HITS) & (r[0]["hits"] - r[1]["hits"] >= MIN_MARGIN), r[0]["language"]))

@@ -1,7 +1,8 @@
 """Folding, normalising and matching of text.
 
-``fold`` is a native expression that is exact for the Latin-1 and Latin Extended-A letters; ``fold_exact`` is an Arrow UDF
-for any Unicode text. All functions that fold take the fold to use.
+``fold`` and ``casefold`` are native expressions whose tables are made from the rule itself, character by character; ASCII
+texts, which are most, are only lower-cased. ``fold_exact`` is an Arrow UDF of the rule, which also takes Hangul apart. All
+functions that fold take the fold to use.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from itertools import chain as flatten
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,22 +25,52 @@ def python_fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
 
 
-def _single_letter_folds() -> tuple[str, str]:
-    """Lower-case letters up to U+017F whose fold is one other character, from the rule itself."""
-    pairs = [(chr(c), python_fold(chr(c))) for c in range(0xAA, 0x180) if chr(c).lower() == chr(c)]
-    return tuple(map("".join, zip(*[(a, b) for a, b in pairs if len(b) == 1 and a != b], strict=True)))
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
 
 
-_FROM, _TO = _single_letter_folds()
+#: Where characters are that a rule may change: not the unified ideographs, and not the syllables of Hangul.
+_LETTERS = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x10000), range(0x10000, 0x12000), range(0x16000, 0x17000), range(0x1BC00, 0x20000), range(0x2F800, 0x2FA20))
 
 
-def fold(text: Column) -> Column:
-    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _FROM, _TO)
+#: Characters that become several and are common, and what stands for the others while it is not known whether there are any.
+OFTEN, MARK = "ß…", "\ue000"
 
 
-@F.pandas_udf(StringType())
-def fold_exact(text: pd.Series) -> pd.Series:
-    return text.map(python_fold, na_action="ignore")
+def _native(rule: Callable[[str], str]) -> Fold:
+    """The expression of a rule that maps each character by itself, on lower-case text."""
+    one, gone, several = {}, [], {}
+    for c in map(chr, flatten(*_LETTERS)):
+        if c.lower() != c or (to := rule(c)) == c:
+            continue
+        if len(to) == 1:
+            one[c] = to
+        elif to:
+            several[c] = to
+        else:
+            gone.append(c)
+    often = [(c, several.pop(c)) for c in OFTEN if c in several]
+    source, target = "".join([*one, *several, *gone]), "".join(one.values()) + MARK * len(several)
+
+    def slowly(text: Column) -> Column:
+        """By character; the table is searched for those only that are no ASCII."""
+        table = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+        parts = F.transform(F.split(text, ""), lambda c: F.when(F.octet_length(c) > 1, F.coalesce(F.try_element_at(table, c), c)).otherwise(c))
+        return F.translate(F.array_join(parts, ""), "".join([*one, *gone]), "".join(one.values()))
+
+    def mapped(text: Column) -> Column:
+        return let(F.translate(text, source, target), lambda t: F.when(F.contains(t, F.lit(MARK)), slowly(text)).otherwise(t))
+
+    def apply(text: Column) -> Column:
+        low = F.lower(text)
+        for c, to in often:
+            low = F.replace(low, F.lit(c), F.lit(to))
+        # Most texts are ASCII once their Latin letters are; only the others need the large table.
+        latin = [c for c in one if c < "\u0180"]
+        rest = lambda t: F.when(_is_ascii(t), t).otherwise(mapped(t))
+        return F.when(_is_ascii(text), F.lower(text)).otherwise(let(F.translate(low, "".join(latin), "".join(map(one.get, latin))), rest))
+
+    return lambda text: let(text, apply)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,6 +78,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Of the rule of python_fold, and of str.casefold.
+fold, casefold = _native(python_fold), _native(str.casefold)
+
+
+@F.pandas_udf(StringType())
+def fold_exact(text: pd.Series) -> pd.Series:
+    return text.map(python_fold, na_action="ignore")
+
+
 def bind(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with ``columns`` computed once a row, also where later filters, sorts and projections use them.
 
@@ -70,9 +111,13 @@ def collapse(text: Column) -> Column:
 KEPT = "+#."
 
 
+#: A token of normalised text: letters and digits with what is kept among them, and one of those before them.
+_TOKEN = rf"[{KEPT}]?[0-9a-z][0-9a-z{KEPT}]*"
+
+
 def normalize(text: Column, fold: Fold = fold) -> Column:
-    flat = F.regexp_replace(fold(text), rf"(?U)[^0-9a-z\s{KEPT}]", " ")
-    return collapse(F.regexp_replace(flat, rf"(?<![0-9a-z{KEPT}])[{KEPT}]+(?![0-9a-z])", " "))
+    """The tokens of the folded text between single spaces; signs are kept where they are pressed against a token."""
+    return F.array_join(F.regexp_extract_all(fold(text), F.lit(_TOKEN), F.lit(0)), " ")
 
 
 def python_normalize(text: str) -> str:

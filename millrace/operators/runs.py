@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.joins import fresh
+
 
 def first_of_key(df: DataFrame, key: str, sequence: str) -> DataFrame:
     """Of rows with one key the first in sequence: an aggregate with a map-side combine, so a key of many rows is no hot task."""
@@ -55,25 +57,36 @@ def failed(yielded: Column, errors: Column) -> Column:
     return (yielded == 0) & (errors > 0)
 
 
-def within_budget(df: DataFrame, order: list[Column], cost: Column, budget: int, unit: str | None = None) -> DataFrame:
-    """``df`` with spent_before and, of each row, whether it still is in budget (``scored``), the first that isn't
-    (``stopped``), or untouched (``pending``). The running cost is by ``unit``; without one it is over all rows, which
-    then should be a bounded number, as a metered run's are."""
-    window = Window.partitionBy(unit) if unit else Window.partitionBy(F.lit(0))
-    running = window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(cost).over(running), F.lit(0))
-    out = df.withColumn("spent_before", spent).withColumn("__in", F.col("spent_before") + cost <= budget)
+def within_budget(df: DataFrame, order: list[Column], cost: Column, budget: int, key: str, unit: str | None = None) -> DataFrame:
+    """``df`` with, of each row, whether it still is in budget (``scored``), the first that isn't (``stopped``), or untouched
+    (``pending``), and what had been spent before it (null where it is untouched). Each unit, or all without one, has the
+    budget; every row costs at least 1; ``key`` is unique.
+
+    So no row after the first ``budget + 1`` of a unit is ever tried, and only these are ranked: the rank is filtered, so
+    each task sends no more of a unit on, whatever share of all rows the unit has.
+    """
+    names = dict(zip(("cost", "place", "spent", "fits", "known"), fresh([*df.columns, "outcome", "spent_before"], "cost", "place", "spent", "fits", "known"), strict=True))
+    priced = df.withColumn(names["cost"], F.greatest(cost, F.lit(1)))
+    if unit is None:
+        first = priced.orderBy(*order).limit(budget + 1)
+        window = Window.partitionBy(F.lit(0)).orderBy(*order)  # budget + 1 rows
+    else:
+        window = Window.partitionBy(unit).orderBy(*order)
+        first = priced.withColumn(names["place"], F.row_number().over(window)).filter(F.col(names["place"]) <= budget + 1)
+    until = window.rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(names["cost"]).over(until), F.lit(0))
+    tried = first.withColumn(names["spent"], spent).withColumn(names["fits"], F.col(names["spent"]) + F.col(names["cost"]) <= budget)
     # Once a row does not fit, none after it is tried.
-    ok = F.coalesce(F.min(F.col("__in").cast("int")).over(window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1)) == 1
-    out = out.withColumn("__ok", ok)
-    before = F.coalesce(F.min(F.col("__ok").cast("int")).over(running), F.lit(1)) == 1
-    state = F.when(F.col("__ok"), "scored").when(before, "stopped").otherwise("pending")
-    return out.withColumn("outcome", state).drop("__in", "__ok")
+    clear = F.coalesce(F.min(F.col(names["fits"]).cast("int")).over(until), F.lit(1)) == 1
+    tried = tried.withColumn(names["place"], clear).filter(names["place"])
+    state = tried.select(F.col(key).alias(names["known"]), F.when(F.col(names["fits"]), "scored").otherwise("stopped").alias("outcome"), F.col(names["spent"]).alias("spent_before"))
+    rest = [c for c in df.columns if c not in ("outcome", "spent_before")]
+    return df.select(*rest).join(state, F.col(key) == F.col(names["known"]), "left").select(*rest, F.coalesce("outcome", F.lit("pending")).alias("outcome"), "spent_before")
 
 
 def backfill_ids(postings: DataFrame, new_id: Column) -> DataFrame:
     """Fill null ids: an id already held is never given again, of several rows with one new id the smallest url gets it."""
-    held = postings.filter(F.col("id").isNotNull()).select(F.col("id").alias("new_id"))
+    held = postings.filter(F.col("id").isNotNull()).select(F.col("id").alias("new_id")).distinct()
     missing = postings.filter(F.col("id").isNull()).select("url", new_id.alias("new_id")).filter(F.col("new_id").isNotNull())
     free = missing.join(held, "new_id", "left_anti").groupBy("new_id").agg(F.min("url").alias("url"))
     return postings.join(free, "url", "left").withColumn("id", F.coalesce("id", "new_id")).drop("new_id").select(*postings.columns)

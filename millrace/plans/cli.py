@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schema
-from millrace.operators.filters import Scope, applied_at, resolve, resolve_languages, top
+from millrace.operators.filters import Scope, applied_at, resolve_languages, top
 from millrace.plans.config import EXAMPLE, ConfigError, load_config
-from millrace.plans.run import Run, RunError, RunReport
+from millrace.plans.run import PHASES, Report, Run, RunError
 from millrace.plans.store import StoreError
 
 LIST_COLUMNS = ("id", "score", "title", "company", "location", "work_mode", "status", "source")
@@ -69,7 +69,7 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--limit", type=int, default=50)
             s.add_argument("--json", action="store_true")
         if name == "run":
-            for phase in ("fetch", "score", "export"):
+            for phase in PHASES:
                 s.add_argument(f"--skip-{phase}", action="store_true")
     sub.add_parser("show").add_argument("ref")
     status = sub.add_parser("status")
@@ -87,8 +87,8 @@ def _scope(args: argparse.Namespace, configured: Sequence[str]) -> Scope:
 
 
 def _found(run: Run, ref: str):
-    rows = resolve(run.store.rows(), ref)
-    many = rows.limit(2).collect()
+    rows = run.store.resolve(ref)
+    many = rows.collect()
     if not many:
         broken = run.store.unreadable_rows
         raise RunError(f"nothing stored is {ref}" + (f" (but {broken} rows can't be read)" if broken else ""))
@@ -102,16 +102,15 @@ def _unreadable(count: int) -> None:
         print(f"{count} stored postings could not be read", file=sys.stderr)
 
 
-def _print(report: RunReport) -> int:
-    for f in report.fetch:
-        print(f"{f.source}: yielded {f.yielded}, kept {f.kept}, filtered {f.filtered_out}, new {f.stored}, duplicates {f.duplicates}, errors {len(f.errors)}" + " FAILED" * f.failed)
-        for e in f.errors:
-            print(f"  {e}", file=sys.stderr)
-    if report.score:
-        print(f"scored {report.score.scored}, failed {report.score.failed}" + (", stopped: no budget left" if report.score.stopped_early else ""))
-    for x in report.export:
-        print(f"{x.fmt}: {x.error or x.detail or f'would export {x.would_export}'}", file=sys.stderr if x.error else sys.stdout)
-    _unreadable(max([report.score.unreadable if report.score else 0, *(x.unreadable for x in report.export)]))
+def _print(report: Report) -> int:
+    bad = report.failed()
+    for phase in PHASES:
+        for name, n, said in report.of(phase):
+            shown = ", ".join(f"{c.replace('_', ' ')} {v}" for c, v in n.items() if c != "unreadable")
+            print(f"{phase} {name}: {shown or 'nothing'}" + " FAILED" * ((phase, name) in bad))
+            for text in said:
+                print(f"  {name}: {text}", file=sys.stderr)
+    _unreadable(max([n.get("unreadable", 0) for n in report.counters.values()], default=0))
     return 0 if report.ok else 1
 
 
@@ -142,12 +141,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
 
 def _command(run: Run, args: argparse.Namespace, scope: Scope | None) -> int:
     if args.command == "fetch":
-        return _print(RunReport(fetch=run.fetch(args.source, args.limit)))
+        return _print(run.fetch(args.source, args.limit))
     if args.command == "score":
-        if not run.store.count(Scope(scored=None if args.rescore else False)):
+        pending = run.store.count(Scope(scored=None if args.rescore else False))
+        if not pending:
             print("nothing to score")
             return 0
-        _print(RunReport(score=run.score(args.limit, args.rescore)))
+        print(f"{pending if args.limit is None else min(pending, args.limit)} to score")
+        _print(run.score(args.limit, args.rescore))
         return 0
     if args.command == "list":
         rows = top(run.store.list(scope), args.sort, args.limit)
@@ -174,8 +175,8 @@ def _command(run: Run, args: argparse.Namespace, scope: Scope | None) -> int:
         print(f"{row['id']} is {args.status}")
         return 0
     if args.command == "export":
-        return _print(RunReport(export=run.export([args.format], scope, args.output)))
-    return _print(run.run(not args.skip_fetch, not args.skip_score, not args.skip_export, scope))
+        return _print(run.export([args.format], scope, args.output))
+    return _print(run.run([p for p in PHASES if getattr(args, f"skip_{p}")], scope))
 
 
 if __name__ == "__main__":

@@ -12,21 +12,22 @@ from millrace.functions.dates import parse_iso, parse_rfc822
 from millrace.functions.html import container_html, strip_html, strip_html_exact
 from millrace.functions.language import STOPWORDS, detect_language
 from millrace.functions.places import eligible_locations, location_match, region_eligibility, work_mode_match
-from millrace.functions.text import bind, company_and_title, defuse_formula, humanize_slug, markdown_destination, markdown_text, truncate
+from millrace.functions.text import bind, company_and_title, defuse_formula, humanize_slug, markdown_destination, markdown_text, normalize, truncate
 from millrace.functions.urls import TRACKING_NAMES, normalize_url, posting_id
 from millrace.functions.workmode import NEGATORS, infer_work_mode
-from millrace.operators.filters import Scope, by_id_prefix, by_url, order, page, title_filter
+from millrace.operators.filters import Scope, by_id_prefix, by_url, order, page, title_filter, with_places
 from millrace.operators.runs import backfill_ids, error_tallies, failed, fetch_counters, first_of_key, insert_if_absent, limit_kept, within_budget
 from millrace.operators.scoring import Profile, ScoreRule, keyword_score
 from millrace.operators.synonyms import synonym_classes
 from millrace.plans.cli import detail, list_cells, score_style
 from millrace.plans.export import EXPORT_COLUMNS, csv_cells, json_record, markdown_bullet
-from millrace.plans.remote import classify, schema_problems, verdict
+from millrace.plans.remote import REMOTE_TYPES, classify, properties, schema_problems, verdict
+from millrace.plans.store import PostingStore
 from millrace.plans.views import postings, table, with_status
 from millrace.scratch import scratch
 from millrace.sources import json_board, rss_feed
 from millrace.sources.base import finish
-from millrace.streaming.ingest import latest_by_key
+from millrace.streaming.ingest import ingest, latest_by_key, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,14 +138,15 @@ def keyword_score_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_columns(keyword_score(postings(spark, sf_dir), PROFILE, RULE))
 
 
-@_query(
-    f"""WITH {_P}, {_PLAIN} SELECT url, concat_ws('; ',
+_SUMMARY = """concat_ws('; ',
             'matched ' || len(matched) || '/4 skills' || CASE WHEN len(matched) > 0 THEN ' (' || array_to_string(matched, ', ') || ')' ELSE '' END,
             CASE WHEN len(unmatched) > 0 THEN 'not mentioned: ' || array_to_string(unmatched, ', ') END,
-            CASE WHEN len(penalized) > 0 THEN 'penalty -' || (points - score) || ': posting mentions ruled-out skill ' || array_to_string(penalized, ', ') END,
+            CASE WHEN len(penalized) > 0 THEN 'penalty -' || (points - full_score) || ': posting mentions ruled-out skill ' || array_to_string(penalized, ', ') END,
             CASE WHEN location_match THEN 'location fits' WHEN NOT location_match THEN 'location does not fit' END,
-            CASE WHEN work_mode_match THEN 'work mode fits' WHEN NOT work_mode_match THEN 'work mode differs' END) AS summary FROM s"""
-)
+            CASE WHEN work_mode_match THEN 'work mode fits' WHEN NOT work_mode_match THEN 'work mode differs' END)"""
+
+
+@_query(f"WITH {_P}, {_PLAIN} SELECT url, {_SUMMARY.replace('full_score', 'score')} AS summary FROM s")
 def keyword_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_score(postings(spark, sf_dir), PROFILE, RULE).select("url", "summary")
 
@@ -162,16 +164,11 @@ def synonym_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_columns(keyword_score(postings(spark, sf_dir), PROFILE, SYNONYMS))
 
 
-@_query(
-    """WITH RECURSIVE e AS (
-           SELECT 'c' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7
-           UNION SELECT 's' || l_suppkey, 'c' || l_partkey FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7),
-       r AS (SELECT a AS term, a AS reached FROM e UNION SELECT r.term, e.b FROM r JOIN e ON r.reached = e.a)
-       SELECT term, min(reached) AS class FROM r GROUP BY term"""
-)
+@_query()
 def synonym_classes_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitive classes of a table of pairs: parts and suppliers of some order lines."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_linenumber = 7")
+    """Transitive classes of a table of pairs: the parts and suppliers of all order lines. SQL would need a recursion over
+    all pairs of the terms that reach each other, so there is none; the tests have a brute-force version."""
+    lines = table(spark, sf_dir, "lineitem")
     return synonym_classes(lines.select(F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("left"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("right")))
 
 
@@ -219,7 +216,7 @@ def mode_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     """WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Remote - ' || source || ' (' WHEN 1 THEN 'Paris' END AS location,
-                 CASE doc_id % 4 WHEN 0 THEN 'Must be based in ' || source || ' Land. Only candidates in France' WHEN 1 THEN 'open to candidates in Spain, Italy.' WHEN 2 THEN '' ELSE substring(text, 1, 50) END AS d FROM documents)
+                 CASE doc_id % 4 WHEN 0 THEN 'Must be based in ' || source || ' Land. ' || text || ' Only candidates in France' WHEN 1 THEN text || ' open to candidates in Spain, Italy.' ELSE text END AS d FROM documents)
        SELECT doc_id, array_to_string(list_filter(list_concat(
                   [CASE WHEN location LIKE 'Remote%' THEN trim(substring(location, 10), ' -()') END],
                   list_transform(regexp_extract_all(d, '(?i)only candidates (?:based |located )?in ([A-Za-z ,]+)', 1), lambda x: trim(x)),
@@ -231,8 +228,8 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     location = F.when(k % 3 == 0, F.concat(F.lit("Remote - "), "source", F.lit(" ("))).when(k % 3 == 1, "Paris")
     text = (
-        F.when(k % 4 == 0, F.concat(F.lit("Must be based in "), "source", F.lit(" Land. Only candidates in France")))
-        .when(k % 4 == 1, "open to candidates in Spain, Italy.").when(k % 4 == 2, "").otherwise(F.substring("text", 1, 50))
+        F.when(k % 4 == 0, F.concat(F.lit("Must be based in "), "source", F.lit(" Land. "), "text", F.lit(" Only candidates in France")))
+        .when(k % 4 == 1, F.concat("text", F.lit(" open to candidates in Spain, Italy."))).otherwise(F.col("text"))
     )
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(eligible_locations(location, text), "|").alias("eligible"))
 
@@ -246,9 +243,27 @@ def region_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(region_eligibility(region), "|").alias("eligible"))
 
 
-@_query(f"WITH {_P} SELECT doc_id, title FROM p WHERE NOT contains(lower(title), 'tion') AND (contains(lower(title), 'er') OR contains(lower(title), 'la'))")
+@_query(
+    f"""WITH {_P}, t AS (SELECT doc_id, title || CASE doc_id % 4 WHEN 0 THEN ' Straße' WHEN 1 THEN ' STRASSE' WHEN 2 THEN ' ﬂuß' ELSE '' END AS title FROM p),
+        f AS (SELECT *, replace(replace(lower(title), 'ß', 'ss'), 'ﬂ', 'fl') AS low FROM t)
+        SELECT doc_id, title FROM f WHERE NOT contains(low, 'tion') AND (contains(low, 'strasse') OR contains(low, 'fluss') OR contains(low, 'la'))"""
+)
 def title_keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(spark, sf_dir).filter(title_filter(F.col("title"), ("ER", "la"), ("Tion",))).select("doc_id", "title")
+    k = F.col("doc_id") % 4
+    title = F.concat("title", F.when(k == 0, " Straße").when(k == 1, " STRASSE").when(k == 2, " ﬂuß").otherwise(""))
+    return postings(spark, sf_dir).select("doc_id", title.alias("title")).filter(title_filter(F.col("title"), ("strasse", "FLUß", "la"), ("Tion",)))
+
+
+@_query(
+    f"""WITH {_P}, o AS (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 're' || chr(769) || 'sume' || chr(769) || ' ' WHEN 1 THEN 'ＲＥＳＵＭＥ ' WHEN 2 THEN '𝐫𝐞𝐬𝐮𝐦𝐞 C++, ' WHEN 3 THEN 'ﬁeld ..net ' ELSE '' END || title) AS low FROM p),
+        n AS (SELECT doc_id, strip_accents(replace(replace(replace(translate(low, 'ｒｅｓｕｍ𝐫𝐞𝐬𝐮𝐦', 'resumresum'), chr(769), ''), 'ﬁ', 'fi'), 'ß', 'ss')) AS f FROM o)
+        SELECT doc_id, array_to_string(regexp_extract_all(f, '[+#.]?[0-9a-z][0-9a-z+#.]*'), ' ') AS normal FROM n"""
+)
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles after combining accents, full-width and mathematical letters, ligatures and signs."""
+    k = F.col("doc_id") % 5
+    odd = F.when(k == 0, "re\u0301sume\u0301 ").when(k == 1, "ＲＥＳＵＭＥ ").when(k == 2, "𝐫𝐞𝐬𝐮𝐦𝐞 C++, ").when(k == 3, "ﬁeld ..net ").otherwise("")
+    return postings(spark, sf_dir).select("doc_id", normalize(F.concat(odd, F.col("title"))).alias("normal"))
 
 
 @_query("SELECT doc_id, CASE WHEN length(text) > 400 THEN regexp_replace(substring(text, 1, 399), '\\s+$', '') || '…' ELSE text END AS short FROM documents")
@@ -256,19 +271,25 @@ def truncate_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", truncate(F.col("text"), 400).alias("short"))
 
 
-def _strings(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "k int, raw string")
-
-
-def _values(rows: list[tuple]) -> str:
-    quote = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return "VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+@_query(
+    """WITH s AS (SELECT o_orderkey, replace(lower(o_orderpriority), ' ', '_') || '--' || o_orderstatus || '_' || o_custkey AS slug FROM orders)
+       SELECT o_orderkey, array_to_string(list_transform(list_filter(string_split(replace(slug, '_', '-'), '-'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS name FROM s""",
+    "humanize_slug",
+)
+def humanized_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slug = F.concat(F.replace(F.lower("o_orderpriority"), F.lit(" "), F.lit("_")), F.lit("--"), "o_orderstatus", F.lit("_"), F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", humanize_slug(slug).alias("name"))
 
 
-_add("humanize_slug", lambda s, d: _strings(s, ["some-company", "a_b--C", "ACME", ""]).select("k", humanize_slug(F.col("raw")).alias("name")),
-     f"SELECT * FROM ({_values([(0, 'Some Company'), (1, 'A B C'), (2, 'Acme'), (3, '')])}) v(k, name)")
-_add("formula_defuse", lambda s, d: _strings(s, ["=1+1", "+a", "-b", "@c", "d=e", ""]).select("k", defuse_formula(F.col("raw")).alias("cell")),
-     f"SELECT * FROM ({_values([(0, chr(39) + '=1+1'), (1, chr(39) + '+a'), (2, chr(39) + '-b'), (3, chr(39) + '@c'), (4, 'd=e'), (5, '')])}) v(k, cell)")
+@_query(
+    """WITH c AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' WHEN 4 THEN ' =' ELSE '' END || text AS cell FROM documents)
+       SELECT doc_id, CASE WHEN cell[1] IN ('=', '+', '-', '@') THEN chr(39) || cell ELSE cell END AS cell FROM c""",
+    "formula_defuse",
+)
+def defused_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 6
+    before = F.when(k == 0, "=").when(k == 1, "+").when(k == 2, "-").when(k == 3, "@").when(k == 4, " =").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", defuse_formula(F.concat(before, F.col("text"))).alias("cell"))
 
 
 @_query(r"SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(text || ' [x] \y', '\s+', ' ', 'g')), '([\\\[\]])', '\\\1', 'g'), 'zzzz', '') AS label FROM documents")
@@ -276,13 +297,22 @@ def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", markdown_text(F.concat("text", F.lit(" [x] \\y"))).alias("label"))
 
 
-_TIMES = ["2026-07-15T10:00:00", "2026-07-15T10:00:00-04:00", "last tuesday", "2026", "20260715", "2026-07-15", "2026-07-15T10:00:00.123456Z", "", "Wed, 15 Jul 2026 10:00:00 GMT", "15 Jul 2026 10:00:00 -0400", "Wed, 15 Jul 2026 10:00 EST", "nonsense"]
-_PARSED = ["2026-07-15T10:00:00+00:00", "2026-07-15T14:00:00+00:00", None, None, "2026-07-15T00:00:00+00:00", "2026-07-15T00:00:00+00:00", "2026-07-15T10:00:00.123456+00:00", None, "2026-07-15T10:00:00+00:00", "2026-07-15T14:00:00+00:00", "2026-07-15T15:00:00+00:00", None]
-_add(
-    "parse_timestamps",
-    lambda s, d: _strings(s, _TIMES).select("k", schema.iso_time(F.coalesce(parse_iso(F.col("raw")), parse_rfc822(F.col("raw")))).alias("parsed_at")),
-    f"SELECT * FROM ({_values(list(enumerate(_PARSED)))}) v(k, parsed_at)",
+@_query(
+    """WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS ts, o_orderkey % 9 AS form FROM orders)
+       SELECT o_orderkey, CASE form WHEN 8 THEN NULL ELSE strftime(CASE form WHEN 1 THEN ts + INTERVAL 4 HOUR WHEN 3 THEN date_trunc('day', ts) WHEN 5 THEN ts + INTERVAL 4 HOUR
+                  WHEN 6 THEN date_trunc('minute', ts) + INTERVAL 5 HOUR ELSE ts END, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS parsed_at FROM t"""
 )
+def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of orders as boards and feeds write them, in eight forms, and one that is none."""
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") % 86400).cast("decimal(18,6)"))
+    written = lambda form, zone="": F.concat(F.date_format(at, form), F.lit(zone))
+    forms = [
+        written("yyyy-MM-dd'T'HH:mm:ss"), written("yyyy-MM-dd'T'HH:mm:ss", "-04:00"), written("yyyyMMdd'T'HHmmss"), written("yyyy-MM-dd"), written("EEE, dd MMM yyyy HH:mm:ss", " GMT"),
+        written("d MMM yyyy HH:mm:ss", " -0400"), written("EEE, d MMM yyyy HH:mm", " EST"), written("d MMM yyyy HH:mm:ss"), written("'sometime in' MMMM"),
+    ]
+    raw = F.get(F.array(*forms), (F.col("o_orderkey") % len(forms)).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", schema.iso_time(F.coalesce(parse_iso(raw), parse_rfc822(raw))).alias("parsed_at"))
+
 
 # -- pages -------------------------------------------------------------------------------------------------------------
 
@@ -364,11 +394,20 @@ def backfilled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN doc_id % 3 = 0 THEN array_to_string(matched, ',') END AS matched_skills FROM s"""
 )
 def apply_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score every third posting anew; the others keep what they have, a score or none."""
+    """A store of all postings, every third of which is scored anew; the others keep what they have, a score or none."""
     view = postings(spark, sf_dir)
-    new = keyword_score(view.filter("doc_id % 3 = 0"), PROFILE, RULE).select("url", F.struct("score", _joined("matched_skills")).alias("new"))
-    old = F.struct(F.when(F.col("doc_id") % 3 == 1, 7).alias("score"), F.lit(None).cast("string").alias("matched_skills"))
-    return view.withColumn("old", old).join(new, "url", "left").withColumn("now", F.coalesce("new", "old")).select("url", "now.score", "now.matched_skills")
+    store = PostingStore(spark, scratch(spark, "store"))
+    # A title of its own, as a blank one can't be read back.
+    store.save(_typed(view.withColumns({"status": F.lit("new"), "score": F.when(F.col("doc_id") % 3 == 1, 7), "title": F.concat(F.lit("t "), "title")})))
+    store.update_scores(keyword_score(view.filter("doc_id % 3 = 0"), PROFILE, RULE))
+    new = F.regexp_extract("url", r"(\d+)$", 1).cast("long") % 3 == 0
+    return store.rows().select("url", "score", F.when(new, F.array_join("matched_skills", ",")).alias("matched_skills"))
+
+
+def _typed(view: DataFrame) -> DataFrame:
+    """With all columns of a posting, null or empty where ``view`` has none."""
+    lists = {c: F.array().cast("array<string>") for c in schema.LISTS}
+    return view.withColumns({c: lists.get(c, F.lit(None).cast(schema.POSTING_SCHEMA[c].dataType)) for c in schema.COLUMNS if c not in view.columns})
 
 
 _STATUS = {"view": "new", "click": "shortlisted", "signup": "applied", "purchase": "interviewing", "error": "rejected"}
@@ -390,8 +429,37 @@ def apply_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), schema.iso_time(first).alias("applied_at"))
 
 
+@_query(
+    f"""WITH {_P}, s AS (SELECT url, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'applied' END AS new FROM p JOIN labels USING (doc_id))
+        SELECT p.url, coalesce(new, 'new') AS status, CASE WHEN new = 'applied' THEN {_ISO.format('fetched_at')} END AS applied_at FROM p LEFT JOIN s USING (url)"""
+)
+def stored_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all postings, and what a table of changes makes of their status and date."""
+    view = postings(spark, sf_dir)
+    store = PostingStore(spark, scratch(spark, "store"))
+    store.save(_typed(view.withColumns({"status": F.lit("new"), "title": F.concat(F.lit("t "), "title")})))
+    changed = view.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id").withColumn("status", F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "applied"))
+    store.update(changed.filter("status IS NOT NULL").withColumn("applied_at", F.when(F.col("status") == "applied", F.col("fetched_at"))), ["status", "applied_at"])
+    return store.rows().select("url", "status", schema.iso_time(F.col("applied_at")).alias("applied_at"))
+
+
+@_query(
+    f"""WITH {_P}, b AS (SELECT url, doc_id % 3 AS round FROM p UNION ALL SELECT url, 2 FROM p WHERE doc_id % 3 = 0)
+        SELECT url, CAST(min(round) AS INT) AS round FROM b GROUP BY url"""
+)
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings that come in three rounds of files, the last with rows that the first had; each is inserted once."""
+    top, view = scratch(spark, "ingest"), postings(spark, sf_dir).select("url", "id", "doc_id")
+    for k in range(3):
+        rows = view.filter(F.col("doc_id") % 3 == k)
+        (rows if k < 2 else rows.unionByName(view.filter("doc_id % 3 = 0"))).withColumn("round", F.lit(k)).write.mode("append").parquet(f"{top}/in")
+        stream = spark.readStream.schema("url string, id string, doc_id long, round int").parquet(f"{top}/in")
+        ingest(stream, f"{top}/out", f"{top}/checkpoint", "doc_id").awaitTermination()
+    return stored(spark, f"{top}/out", stream.schema).select("url", "round")
+
+
 _VIEW = f"""WITH {_P}, {_PLAIN}, {_language("title || chr(10) || text").replace("FROM p)", "FROM s)")},
-    v AS (SELECT l.* EXCLUDE (score), CASE WHEN doc_id % 4 > 0 THEN score END AS score, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'shortlisted' WHEN quality = 0 THEN 'closed' ELSE 'new' END AS status
+    v AS (SELECT l.* EXCLUDE (score), score AS full_score, CASE WHEN doc_id % 4 > 0 THEN score END AS score, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'shortlisted' WHEN quality = 0 THEN 'closed' ELSE 'new' END AS status
           FROM l LEFT JOIN labels USING (doc_id))"""
 
 
@@ -446,9 +514,9 @@ def page_offset_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _by, _sql in (("score", f"score DESC NULLS LAST, {_FOLD_TITLE}, fetched_at DESC, id"), ("date", "fetched_at DESC, id"), ("company", f"lower(company), {_FOLD_TITLE}, fetched_at DESC, id")):
     _add(
         f"sort_by_{_by}",
-        # The rows are compared without their order, so the first 200 carry their place.
-        lambda s, d, by=_by: _view(s, d).orderBy(*order(by)).limit(200).withColumn("place", F.row_number().over(Window.orderBy(*order(by)))).select("place", "url", "score"),
-        f"{_VIEW} SELECT CAST(row_number() OVER (ORDER BY {_sql}) AS INT) AS place, url, score FROM v QUALIFY place <= 200",
+        # The rows are compared without their order, so each carries its place.
+        lambda s, d, by=_by: with_places(_view(s, d).select("url", "score", "title", "company", "fetched_at", "id"), order(by)).select("place", "url", "score"),
+        f"{_VIEW} SELECT CAST(row_number() OVER (ORDER BY {_sql}) AS BIGINT) AS place, url, score FROM v",
     )
 
 
@@ -520,9 +588,9 @@ def _corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     wire = schema.encode(typed)
     wire = wire.withColumn("doc_id", F.regexp_extract("url", r"(\d+)$", 1).cast("long"))
     bad = {
-        "url": F.when(k % 50 == 1, "relative/url"), "work_mode": F.when(k % 50 == 2, "teleportation"), "status": F.when(k % 50 == 3, "ghosted"),
-        "fetched_at": F.when(k % 50 == 4, "not a date"), "published_at": F.when(k % 50 == 5, "the third of never"),
-        "matched_skills": F.when(k % 50 == 6, "{not json"), "title": F.when(k % 50 == 7, ""), "score": F.when(k % 50 == 8, 101),
+        "url": F.when(k % 50 == 1, "no-scheme"), "work_mode": F.when(k % 50 == 2, "submarine"), "status": F.when(k % 50 == 3, "on the moon"),
+        "fetched_at": F.when(k % 50 == 4, "half past nine"), "published_at": F.when(k % 50 == 5, "30 February"),
+        "matched_skills": F.when(k % 50 == 6, "[1, "), "title": F.when(k % 50 == 7, ""), "score": F.when(k % 50 == 8, 101),
     }
     return wire.withColumns({c: F.coalesce(b, F.col(c)) for c, b in bad.items()})
 
@@ -548,7 +616,7 @@ def decode_skip_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve requests a source, one or two a posting: the first that doesn't fit stops its source."""
     view = postings(spark, sf_dir).withColumn("cost", 1 + F.col("doc_id") % 2)
-    return within_budget(view, [F.desc("fetched_at"), F.asc("id")], F.col("cost"), 12, "source").select("doc_id", "outcome")
+    return within_budget(view, [F.desc("fetched_at"), F.asc("id")], F.col("cost"), 12, "doc_id", "source").select("doc_id", "outcome")
 
 
 # -- exports -----------------------------------------------------------------------------------------------------------
@@ -592,27 +660,39 @@ def markdown_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exported(spark, sf_dir).select(markdown_bullet().alias("line"))
 
 
-_add("markdown_destination", lambda s, d: _strings(s, ["https://a/b", "https://a/b(c)", "https://a/<b>"]).select("k", markdown_destination(F.col("raw")).alias("url")),
-     f"SELECT * FROM ({_values([(0, 'https://a/b'), (1, '<https://a/b(c)>'), (2, '<https://a/%3Cb%3E>')])}) v(k, url)")
+@_query(
+    """WITH u AS (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '(b)' WHEN 1 THEN '/<c>' WHEN 2 THEN ' d' ELSE '' END AS url FROM pages)
+       SELECT page_id, CASE WHEN regexp_matches(url, '[()<> ]') THEN '<' || replace(replace(url, '<', '%3C'), '>', '%3E') || '>' ELSE url END AS url FROM u""",
+    "markdown_destination",
+)
+def destinations_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    url = F.concat("url", F.when(k == 0, "(b)").when(k == 1, "/<c>").when(k == 2, " d").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", markdown_destination(url).alias("url"))
+
 
 # -- sources -----------------------------------------------------------------------------------------------------------
 
 
 @_query(
-    f"""WITH {_P} SELECT 'https://corpus.example.org/board/' || doc_id AS url, source AS unit, title, location, {_ISO.format('fetched_at')} AS published_at
+    f"""WITH {_P} SELECT 'https://corpus.example.org/board/' || doc_id AS url, source || '-' || doc_id // 20 AS unit, title, location, {_ISO.format('fetched_at')} AS published_at,
+        array_to_string(list_filter(list_transform(string_split('R&D' || chr(10) || text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS description_clean
         FROM p WHERE regexp_matches(title, '\\S')"""
 )
 def json_board_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as boards of jobs by source, read as the JSON source does. A board is one answer of a site, so small."""
+    """Documents as boards of up to twenty jobs, whose content is the text as escaped markup, read as the JSON source does."""
     view = postings(spark, sf_dir).filter(F.col("title").rlike(r"\S"))
+    escape = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    content = escape(F.concat(F.lit("<p>R&amp;D</p>"), F.replace(escape(F.col("description_raw")), F.lit("\n"), F.lit("<br/>"))))
     job = F.struct(
         F.concat(F.lit("https://corpus.example.org/board/"), F.col("doc_id").cast("string")).alias("absolute_url"), "title", schema.iso_time(F.col("fetched_at")).alias("updated_at"),
-        F.struct(F.col("location").alias("name")).alias("location"), F.lit("&lt;p&gt;R&amp;amp;D&lt;/p&gt;").alias("content"),
+        F.struct(F.col("location").alias("name")).alias("location"), content.alias("content"),
     )
-    # One board a document: units that a third of all rows have would not be boards.
-    boards = view.select(F.col("source").alias("unit"), F.to_json(F.struct(F.array(job).alias("jobs"))).alias("body"))
+    # A board is one answer of a site, so at most twenty jobs.
+    unit = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string"))
+    boards = view.groupBy(unit.alias("unit")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(job)).alias("jobs"))).alias("body"))
     found = finish(json_board.normalize_jobs(json_board.jobs(boards.withColumn("board", F.from_json("body", json_board.BOARD)))), "json_board")
-    return found.filter("error_kind IS NULL AND description_clean = 'R&D'").select("url", "unit", F.trim("title").alias("title"), "location", schema.iso_time(F.col("published_at")).alias("published_at"))
+    return found.filter("error_kind IS NULL").select("url", "unit", F.trim("title").alias("title"), "location", schema.iso_time(F.col("published_at")).alias("published_at"), "description_clean")
 
 
 @_query(
@@ -651,17 +731,20 @@ def console_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir).select(*list_cells(), score_style(F.col("score")).alias("style"))
 
 
+_DETAIL = {
+    "url": "url", "id": "id", "title": "title", "company": "company", "source": "source", "description_clean": "text", "location": "location", "work_mode": "work_mode",
+    "fetched_at": "strftime(fetched_at, '%Y-%m-%d')", "detected_language": "detected_language", "score": "CAST(score AS VARCHAR)", "matched_skills": "array_to_string(matched, ', ')",
+    "unmatched_profile_skills": "array_to_string(unmatched, ', ')", "penalized_skills": "array_to_string(penalized, ', ')", "location_match": "CAST(location_match AS VARCHAR)",
+    "work_mode_match": "CAST(work_mode_match AS VARCHAR)", "status": "status", "summary": _SUMMARY,
+}
+
+
 @_query(
-    f"""{_VIEW} SELECT url, label, value FROM (
-        SELECT url, unnest(['url', 'score', 'location', 'fetched_at', 'matched_skills']) AS label,
-               unnest([url, CAST(score AS VARCHAR), location, strftime(fetched_at, '%Y-%m-%d'), array_to_string(matched, ', ')]) AS value FROM v) WHERE value <> ''"""
+    f"""{_VIEW} SELECT url, label, value FROM (SELECT url, unnest([{', '.join(f"'{k}'" for k in _DETAIL)}]) AS label, unnest([{', '.join(_DETAIL.values())}]) AS value FROM v) WHERE value <> ''"""
 )
 def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label and value of each posting's fields, without those that are empty."""
-    view = _view(spark, sf_dir)
-    typed = view.withColumns({c: F.lit(None).cast(schema.POSTING_SCHEMA[c].dataType) for c in schema.COLUMNS if c not in view.columns})
-    rows = detail(typed, "url")
-    return rows.filter(F.col("label").isin("url", "score", "location", "fetched_at", "matched_skills"))
+    return detail(_typed(_view(spark, sf_dir)), "url")
 
 
 @_query("SELECT doc_id, source AS company, 'Job: ' || doc_id AS title FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 4 > 0")
@@ -699,9 +782,32 @@ def remote_upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(view, view.filter("doc_id % 3 = 0").select("url", F.col("id").alias("page_id"))).select("url", "action")
 
 
-@_query("SELECT * FROM (VALUES ('URL', 'url', 'rich_text'), ('Score', 'number', NULL), ('Company', 'rich_text', NULL), ('Source', 'select', NULL)) v(property, expected, found)")
+_KINDS = list(REMOTE_TYPES.items())
+
+
+@_query(
+    f"""WITH e AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{p}', '{t}')" for k, (p, t) in enumerate(_KINDS))}) v(k, property, expected)),
+        a AS (SELECT c_custkey, property, expected, CASE WHEN (c_custkey + k) % 5 = 0 THEN 'checkbox' ELSE expected END AS found, (c_custkey + k) % 4 = 0 AS missing FROM customer, e)
+        SELECT c_custkey, property, expected, CASE WHEN NOT missing THEN found END AS found FROM a WHERE missing OR found <> expected"""
+)
 def remote_schema_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_problems(spark.createDataFrame([("Name", "title"), ("URL", "rich_text"), ("Status", "select"), ("More", "x")], "property string, type string"))
+    """Each customer's remote table lacks some properties, has some of another type, and one more than it needs."""
+    k = F.col("c_custkey")
+    own = [F.struct(F.lit(p).alias("property"), F.when((k + n) % 5 == 0, "checkbox").otherwise(t).alias("type"), ((k + n) % 4 == 0).alias("missing")) for n, (p, t) in enumerate(_KINDS)]
+    more = F.struct(F.lit("More").alias("property"), F.lit("checkbox").alias("type"), F.lit(False).alias("missing"))
+    actual = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*own, more)).alias("x")).select("c_custkey", "x.*").filter(~F.col("missing"))
+    return schema_problems(actual.select("c_custkey", "property", "type"), "c_custkey")
+
+
+@_query(f"{_VIEW} SELECT url, title, 'rejected' = status AS rejected, company, score, source FROM v")
+def remote_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload of a remote table, read back by the types of its properties."""
+    own = _view(spark, sf_dir).select(properties({"Name": "Job"}).alias("r"))
+    get = lambda path: F.get_json_object("r", path)
+    return own.select(
+        get("$.URL.url").alias("url"), get("$.Job.title[0].text.content").alias("title"), (get("$.Status.select.name") == "rejected").alias("rejected"), get("$.Company.rich_text[0].text.content").alias("company"),
+        get("$.Score.number").cast("int").alias("score"), get("$.Source.select.name").alias("source"),
+    )
 
 
 @_query(

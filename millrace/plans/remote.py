@@ -1,7 +1,8 @@
 """What talks to paid or foreign services: a metered scorer and an upsert of rows into a remote table.
 
-Both take their transport as an argument, so they are tested with fakes. They work on bounded numbers of rows, as their
-budgets and rates say, and go through them on the driver one by one; everything that can be columns is.
+Both take their transport as an argument, so they are tested with fakes. The metered scorer takes no more rows than its
+budget has requests, on the driver one by one. The upsert is done by tasks, each with its share of the rate, and what they
+did is a written table.
 """
 
 from __future__ import annotations
@@ -9,22 +10,24 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import truncate
-from millrace.operators.scoring import Profile, content
+from millrace.operators.filters import page
+from millrace.functions.places import location_match, work_mode_match
+from millrace.operators.scoring import Profile, Scorer, ScorerConfigError, content, register_scorer
+from millrace.plans.export import Exporter, ExportError, ExportResult, register_exporter
+from millrace.schema import POSTING_SCHEMA, SCORE_COLUMNS
+from millrace.scratch import stage
 from millrace.sources.base import RETRYABLE
 
 
-class ScorerConfigError(ValueError):
-    """What only a change of configuration mends."""
-
-
 class ScoringError(RuntimeError):
     """One posting could not be scored."""
 
@@ -119,6 +122,32 @@ class MeteredScorer:
         return scores, failures, None
 
 
+@register_scorer("metered")
+class MeteredBackend(Scorer):
+    """The metered scorer as a backend; ``ask`` is the transport, and of the postings the first in stored order are asked
+    about. The two fits are never the service's."""
+
+    def __init__(self, options: dict[str, Any]):
+        options = dict(options)
+        if (ask := options.pop("ask", None)) is None:
+            raise ScorerConfigError("the metered scorer has no transport or key")
+        if unknown := sorted(set(options) - {f.name for f in fields(MeteredScorer)} | set(options) & {"used"}):
+            raise ScorerConfigError(f"scoring: unknown key {', '.join(unknown)}")
+        self.scorer, self.stopped_early = MeteredScorer(ask, **options), False
+
+    def score(self, postings: DataFrame, profile: Profile) -> DataFrame:
+        found, failures, stopped = self.scorer.run(page(postings, self.scorer.max_requests_per_run + 1), profile)
+        self.stopped_early = stopped is not None
+        names = [c for c in SCORE_COLUMNS if not c.endswith("_match")]
+        kinds = ", ".join(f"{c} {POSTING_SCHEMA[c].dataType.simpleString()}" for c in names)
+        rows = [(f["url"], *[f[c] for c in names], None) for f in found] + [(url, *[None] * len(names), why) for url, why in failures]
+        # At most as many rows as there are requests.
+        answers = postings.sparkSession.createDataFrame(rows, f"url string, {kinds}, failure string")
+        rest = [c for c in postings.columns if c not in (*SCORE_COLUMNS, "failure")]
+        fits = {"location_match": location_match(F.col("location"), F.col("eligible_locations"), profile.locations), "work_mode_match": work_mode_match(F.col("work_mode"), profile.work_mode)}
+        return postings.select(*rest).join(F.broadcast(answers), "url").withColumns(fits)
+
+
 # -- remote table ------------------------------------------------------------------------------------------------------
 
 # The properties that a remote table must have, and their types.
@@ -134,10 +163,14 @@ class RemoteError(RuntimeError):
 Call = Callable[[str, str, dict[str, Any] | None], tuple[int, dict[str, Any]]]
 
 
-def schema_problems(actual: DataFrame) -> DataFrame:
-    """(property, expected, found) of what a table (property, type) lacks or has of another type."""
-    expected = actual.sparkSession.createDataFrame(list(REMOTE_TYPES.items()), "property string, expected string")
-    return expected.join(actual, "property", "left").filter(~F.col("type").eqNullSafe(F.col("expected"))).select("property", "expected", F.col("type").alias("found"))
+def schema_problems(actual: DataFrame, table: str | None = None) -> DataFrame:
+    """(property, expected, found) of what a remote table (property, type) lacks or has of another type; with ``table``, a
+    column of ``actual``, of each of its tables."""
+    by = [table] if table else []
+    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.lit(t).alias("expected")) for p, t in REMOTE_TYPES.items()]))
+    tables = actual.select(*by).distinct() if by else actual.sparkSession.range(1)
+    expected = tables.select(*by, wanted.alias("x")).select(*by, "x.*")
+    return expected.join(actual, [*by, "property"], "left").filter(~F.col("type").eqNullSafe(F.col("expected"))).select(*by, "property", "expected", F.col("type").alias("found"))
 
 
 def classify(postings: DataFrame, remote: DataFrame) -> DataFrame:
@@ -146,8 +179,11 @@ def classify(postings: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def properties(names: dict[str, str] | None = None) -> Column:
-    """The payload of a posting, as JSON; ``names`` renames properties."""
-    return F.to_json(F.struct(*[F.col(c).alias((names or {}).get(p, p)) for p, c in _OWN.items()]))
+    """The payload of a posting, as JSON, each property in the form of its type; ``names`` renames properties."""
+    text = lambda c: F.array(F.struct(F.struct(c.alias("content")).alias("text")))
+    form = {"title": text, "rich_text": text, "select": lambda c: F.struct(c.alias("name")), "url": lambda c: c, "number": lambda c: c}
+    typed = [F.struct(form[REMOTE_TYPES[p]](F.col(c)).alias(REMOTE_TYPES[p])).alias((names or {}).get(p, p)) for p, c in _OWN.items()]
+    return F.to_json(F.struct(*typed), {"ignoreNullFields": "false"})
 
 
 @dataclass
@@ -181,9 +217,10 @@ class RemoteTable:
         if bad:
             raise RemoteError("the remote table does not fit: " + "; ".join(bad))
 
-    def upsert(self, rows: Iterable[tuple[str, str]]) -> tuple[int, int]:
-        """(url, properties) rows in stored order; returns how many were created and updated."""
-        self.check()
+    def upsert(self, rows: Iterable[tuple[str, str]], checked: bool = False) -> tuple[int, int, str | None]:
+        """(url, properties) rows in their order; how many were created and updated, and what stopped it."""
+        if not checked:
+            self.check()
         created = updated = 0
         for url, own in rows:
             try:
@@ -195,10 +232,41 @@ class RemoteTable:
                     self._request("POST", "pages", {"table": self.table, "properties": json.loads(own)})
                     created += 1
             except RemoteError as e:
-                raise RemoteError(f"stopped after {created} created and {updated} updated, at {url}: {e}") from e
-        return created, updated
+                return created, updated, f"at {url}: {e}"
+        return created, updated, None
+
+
+def export_remote(postings: DataFrame, table: RemoteTable, tasks: int = 1) -> tuple[int, int]:
+    """Upsert by ``tasks`` tasks, dealt by url, each at its share of the pace; (created, updated) of all. A task stops at its
+    first failure, and all failures are told together. A task that is run again updates what it had created."""
+    table.check()
+    share = replace(table, requests_per_second=table.requests_per_second / tasks)
 
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        created, updated, said = share.upsert((r for b in batches for r in zip(b["url"], b["own"], strict=True)), checked=True)
+        yield pd.DataFrame({"created": [created], "updated": [updated], "error": [said]})
 
-def export_remote(postings: DataFrame, table: RemoteTable) -> tuple[int, int]:
-    """Rows come to the driver one partition at a time, at the pace that the service takes them."""
-    return table.upsert((r["url"], r["own"]) for r in postings.select("url", properties(table.names).alias("own")).toLocalIterator())
+    rows = postings.select("url", properties(table.names).alias("own")).repartition(tasks, "url")
+    done = stage(rows.mapInPandas(send, "created long, updated long, error string"), "upserts")
+    total = done.agg(F.sum("created"), F.sum("updated"), F.array_sort(F.collect_set("error"))).first()
+    created, updated, errors = total[0] or 0, total[1] or 0, total[2]
+    if errors:
+        raise RemoteError(f"stopped after {created} created and {updated} updated: {'; '.join(errors)}")
+    return created, updated
+
+
+@register_exporter("remote")
+class Remote(Exporter):
+    """``transport`` is a Call that tasks can use; tokens are its own matter and no options."""
+
+    options, needed = ("transport", "table", "requests_per_second", "names", "tasks"), ("table",)
+
+    def export(self, postings: DataFrame) -> ExportResult:
+        own = {k: v for k, v in self.block.items() if k in ("requests_per_second", "names")}
+        if self.block.get("transport") is None:
+            raise ExportError("the remote table has no transport or token")
+        try:
+            created, updated = export_remote(postings, RemoteTable(self.block["transport"], self.block["table"], **own), self.block.get("tasks", 1))
+        except RemoteError as e:
+            raise ExportError(str(e)) from e
+        return ExportResult(created + updated, f"{created} created, {updated} updated")

@@ -1,119 +1,199 @@
-"""The store: one table of postings in wire form, in numbered snapshots.
+"""The store: postings in wire form, as batches of Parquet files that are only ever added.
 
-A change writes a new snapshot and then moves the pointer to it, so a reader sees one snapshot or the next and a change
-that fails leaves nothing. Inserts never touch a row that is there; updates are joins by key. Paths are Hadoop paths.
+A change writes its rows to a folder of its own below ``_writing``, where no reader looks, and then renames that folder to
+the next batch, which a file system does as one step and refuses if another writer has taken the number. So a change that
+dies at any point leaves nothing that a reader sees or a later change meets. Inserts add rows whose url and id are new,
+updates add new versions of the rows they change, and of each url the row of the latest batch counts. ``compact`` writes
+the latest rows as one batch that stands for all before it.
+
+Each batch is sorted by id, so the statistics of its files lead a look-up by id, or by url (from which the id follows), to
+few row groups. Paths are Hadoop paths.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from abc import ABC, abstractmethod
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import schema
 from millrace.functions.urls import normalize_url, posting_id
-from millrace.operators.filters import Scope, by_id_prefix, by_url, page
+from millrace.operators.filters import Scope, by_id_prefix, by_url, matching, page
 from millrace.operators.runs import backfill_ids, insert_if_absent
 
 VERSION = 4
 
 
 class StoreError(RuntimeError):
-    """A store that can't be opened or used."""
+    """A store that can't be used as it is."""
+
+
+class StoreUnreachable(StoreError):
+    """A store whose place can't be read or written."""
+
+
+class Store(ABC):
+    """What a run needs of a store. ``unreadable_rows`` tells how many rows the last read left out."""
+
+    unreadable_rows = 0
+
+    @abstractmethod
+    def save(self, postings: DataFrame, sequence: str | None = None) -> int: ...
+
+    @abstractmethod
+    def update_scores(self, scored: DataFrame) -> int: ...
+
+    @abstractmethod
+    def update_status(self, url: str, status: str, applied_at: Column | None = None) -> bool: ...
+
+    @abstractmethod
+    def list(self, scope: Scope | None = None, limit: int | None = None, offset: int = 0) -> DataFrame: ...
 
+    @abstractmethod
+    def count(self, scope: Scope | None = None) -> int: ...
 
-class PostingStore:
-    """``unreadable_rows`` tells how many rows the last read left out."""
+    @abstractmethod
+    def get(self, url: str) -> DataFrame: ...
 
+    @abstractmethod
+    def find(self, prefix: str) -> DataFrame: ...
+
+    @abstractmethod
+    def resolve(self, ref: str) -> DataFrame: ...
+
+
+_BATCH = re.compile(r"batch=(\d{8})-(all|more)$")
+
+
+class PostingStore(Store):
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.unreadable_rows = spark, path.rstrip("/"), 0
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        self._at = lambda *parts: hadoop("/".join([self.path, *parts]))
-        self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._at("current")):
-            self._commit(spark.createDataFrame([], schema.WIRE_SCHEMA))
+        try:
+            self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            self._fs.mkdirs(self._at())
+        except Py4JJavaError as e:
+            raise StoreUnreachable(f"the store {path} can't be reached: {e.java_exception.getMessage()}") from e
         self.migrate()
 
-    # -- snapshots -----------------------------------------------------------------------------------------------------
+    # -- batches -------------------------------------------------------------------------------------------------------
 
-    def _pointer(self) -> tuple[int, int]:
-        """(snapshot, schema version)."""
-        stream = self._fs.open(self._at("current"))
-        try:
-            raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+    def _at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def _versions(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at())]
+        if strange := [n for n in names if n != "_writing" and not re.fullmatch(r"format=\d+", n)]:
+            raise StoreError(f"{self.path} is not a store of postings: it has {strange[0]}")
+        return sorted(int(n.removeprefix("format=")) for n in names if n != "_writing")
+
+    def _batches(self, version: int = VERSION) -> list[str]:
+        """The folders that count, oldest first: from the last one that stands for all before it."""
+        if not self._fs.exists(self._at(f"format={version}")):
+            return []
+        names = sorted(n for s in self._fs.listStatus(self._at(f"format={version}")) if _BATCH.match(n := s.getPath().getName()))
+        whole = max((k for k, n in enumerate(names) if n.endswith("-all")), default=0)
+        return names[whole:]
+
+    def _add(self, wire: DataFrame, whole: bool = False, version: int = VERSION) -> None:
+        """Write ``wire`` as the next batch."""
+        names, draft = self._batches(version), f"_writing/{uuid.uuid4().hex}"
+        number = int(_BATCH.match(names[-1])[1]) + 1 if names else 0
+        wire.sortWithinPartitions("id" if "id" in wire.columns else "url").write.parquet(f"{self.path}/{draft}")
+        self._publish(draft, f"format={version}/batch={number:08d}-{'all' if whole else 'more'}", number, version)
+
+    def _publish(self, draft: str, name: str, number: int, version: int) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs.mkdirs(self._at(f"format={version}"))
+        if any(int(_BATCH.match(n)[1]) >= number for n in self._batches(version)):
+            raise StoreError(f"another change of {self.path} came first; read it again")
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            snapshot, version = map(int, raw.split())
-        except ValueError as e:
-            raise StoreError(f"{self.path} is not a store of postings") from e
-        return snapshot, version
-
-    def _commit(self, wire: DataFrame, version: int = VERSION) -> None:
-        number = self._pointer()[0] + 1 if self._fs.exists(self._at("current")) else 0
-        wire.write.parquet(f"{self.path}/v={number}")
-        with_pointer = self._at("next")
-        out = self._fs.create(with_pointer, True)
-        out.write(bytearray(f"{number} {version}".encode()))
-        out.close()
-        self._fs.delete(self._at("current"), False)
-        if not self._fs.rename(with_pointer, self._at("current")):
-            raise StoreError(f"could not move the pointer of {self.path}")
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at().toUri(), conf).rename(self._at(draft), self._at(name), none)
+        except Py4JJavaError as e:
+            raise StoreError(f"could not add to {self.path}: {e.java_exception.getMessage()}") from e
+
+    def _rows(self, version: int = VERSION) -> DataFrame:
+        """Every version of every row, with its ``batch``."""
+        names = self._batches(version)
+        if not names:
+            return self.spark.createDataFrame([], schema.WIRE_SCHEMA).withColumn("batch", F.lit("").cast("string"))
+        top = f"{self.path}/format={version}"
+        return self.spark.read.option("basePath", top).parquet(*[f"{top}/{n}" for n in names])
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        """Of each url the row of the latest batch: an aggregate with a map-side combine."""
+        if len(self._batches()) < 2:
+            return rows.drop("batch")
+        names = [c for c in rows.columns if c != "batch"]
+        return rows.groupBy(F.col("url").alias("key")).agg(F.max_by(F.struct(*names), "batch").alias("row")).select("row.*")
 
     def wire(self) -> DataFrame:
-        found = self.spark.read.parquet(f"{self.path}/v={self._pointer()[0]}")
-        return found
+        return self._latest(self._rows())
+
+    def compact(self) -> None:
+        """One batch for all; the ones before it stay until they are cleared away, for those who read them."""
+        self._add(self.wire(), whole=True)
 
     def rows(self) -> DataFrame:
         """All readable postings, typed; the rest is counted."""
-        wire = self.wire()
+        return self._readable(self.wire())
+
+    def _readable(self, wire: DataFrame) -> DataFrame:
         self.unreadable_rows = schema.unreadable(wire).first()[0]
         return schema.decode(wire)
 
     # -- versions ------------------------------------------------------------------------------------------------------
 
     def migrate(self) -> int:
-        """Bring an older table to this version, a version at a time in one plan and one commit."""
-        _, version = self._pointer()
-        if version > VERSION:
+        """Bring the newest older table to this version in one plan and one batch."""
+        found = self._versions()
+        if found and found[-1] > VERSION:
             raise StoreError(f"{self.path} was written by a later version")
-        if version == VERSION:
-            return version
-        df = self.wire()
-        if version < 3:
-            if "missing_skills" in df.columns:
-                df = df.withColumnRenamed("missing_skills", "unmatched_profile_skills")
-            df = df.withColumns({c: F.lit("[]") for c in schema.LATER_LISTS} | {c: F.lit(None).cast("int") for c in schema.FLAGS})
-        if version < 4:
-            df = df.withColumns({"id": F.lit(None).cast("string"), "detected_language": F.lit(None).cast("string")})
-            df = backfill_ids(df, posting_id(normalize_url(F.col("url"))))
-        self._commit(df.select(*schema.COLUMNS))
+        if found and found[-1] < VERSION:
+            version = found[-1]
+            df = self._rows(version)
+            names = [c for c in df.columns if c != "batch"]
+            df = df.groupBy(F.col("url").alias("key")).agg(F.max_by(F.struct(*names), "batch").alias("row")).select("row.*")
+            if version < 3:
+                if "missing_skills" in df.columns:
+                    df = df.withColumnRenamed("missing_skills", "unmatched_profile_skills")
+                df = df.withColumns({c: F.lit("[]") for c in schema.LATER_LISTS} | {c: F.lit(None).cast("int") for c in schema.FLAGS})
+            if version < 4:
+                df = df.withColumns({"id": F.lit(None).cast("string"), "detected_language": F.lit(None).cast("string")})
+                df = backfill_ids(df, posting_id(normalize_url(F.col("url"))))
+            self._add(df.select(*schema.COLUMNS), whole=True)
         return VERSION
 
     # -- changes -------------------------------------------------------------------------------------------------------
 
     def save(self, postings: DataFrame, sequence: str | None = None) -> int:
-        """Insert what is new by url and by id; of rows with one key in the batch the first. Returns how many."""
-        batch = postings if sequence else postings.withColumn("__sequence", F.monotonically_increasing_id())
-        sequence = sequence or "__sequence"
-        stored = self.wire()
-        fresh = insert_if_absent(stored, batch, sequence)
-        wire = schema.encode(fresh.select(*schema.COLUMNS))
-        before = stored.count()
-        self._commit(stored.select(*schema.COLUMNS).unionByName(wire))
-        return self.wire().count() - before
-
-    def update(self, changes: DataFrame, columns: list[str]) -> int:
-        """Overwrite ``columns`` of the stored rows by url from ``changes`` (typed, one row a url); returns how many rows."""
-        empty = self.spark.createDataFrame([], schema.POSTING_SCHEMA)
-        full = changes.select("url", *columns).withColumns({c: F.lit(None).cast(empty.schema[c].dataType) for c in schema.COLUMNS if c not in (*columns, "url")})
-        wire = schema.encode(full.withColumn("url", normalize_url(F.col("url")))).select(F.col("url").alias("__url"), F.struct(*columns).alias("__new"))
-        stored = self.wire()
-        joined = stored.join(wire, stored["url"] == wire["__url"], "left")
-        hit = F.col("__url").isNotNull()
-        hits = joined.filter(hit).count()
-        if hits:
-            self._commit(joined.select(*[F.when(hit, F.col(f"__new.{c}")).otherwise(stored[c]).alias(c) if c in columns else stored[c] for c in schema.COLUMNS]))
-        return hits
+        """Insert what is new by url and by id; of rows with one key in the batch the first in ``sequence``, or without one
+        the first by fetched_at and raw_url. Returns how many."""
+        batch = postings if sequence else postings.withColumn("sequence", F.struct("fetched_at", "raw_url", F.xxhash64("title", "description_raw")))
+        fresh = insert_if_absent(self._rows(), batch, sequence or "sequence")
+        return self._add_counted(schema.encode(fresh.select(*schema.COLUMNS)))
+
+    def _add_counted(self, wire: DataFrame) -> int:
+        before = self._batches()
+        self._add(wire)
+        new = [n for n in self._batches() if n not in before][-1]
+        many = self.spark.read.parquet(f"{self.path}/format={VERSION}/{new}").count()
+        if not many:  # nothing to keep
+            self._fs.delete(self._at(f"format={VERSION}", new), True)
+        return many
+
+    def update(self, changes: DataFrame, columns: list[str], rows: DataFrame | None = None) -> int:
+        """New versions of the stored rows with ``columns`` by url from ``changes`` (typed, one row a url); returns how many.
+        Only these are written; ``rows`` may be a part of the stored ones that has them all."""
+        full = changes.select("url", *columns).withColumns({c: F.lit(None).cast(schema.POSTING_SCHEMA[c].dataType) for c in schema.COLUMNS if c not in (*columns, "url")})
+        new = schema.encode(full.withColumn("url", normalize_url(F.col("url")))).select("url", F.struct(*columns).alias("new"))
+        stored = self.wire() if rows is None else rows
+        return self._add_counted(stored.join(new, "url").select(*[F.col(f"new.{c}" if c in columns else c).alias(c) for c in schema.COLUMNS]))
 
     def update_scores(self, scored: DataFrame) -> int:
         return self.update(scored, schema.SCORE_COLUMNS)
@@ -123,26 +203,63 @@ class PostingStore:
             raise ValueError(f"unknown status {status!r}")
         at = F.lit(None).cast("timestamp") if applied_at is None else applied_at
         one = self.spark.range(1).select(F.lit(url).alias("url"), F.lit(status).alias("status"), at.cast("timestamp").alias("applied_at"))
-        return self.update(one, ["status", "applied_at"]) > 0
+        return self.update(one, ["status", "applied_at"], self._latest(by_url(self._rows(), url))) > 0
 
     # -- reads ---------------------------------------------------------------------------------------------------------
 
     def list(self, scope: Scope | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         """A page of the scope in stored order. Unreadable rows take places of a page, and are then left out."""
-        wire = self.wire()
         # Times in wire form sort as text only within one format, so the page is cut on the parsed time.
-        own = wire.withColumn("__raw", F.col("fetched_at")).withColumn("fetched_at", F.try_to_timestamp("fetched_at"))
+        own = self.wire().withColumn("raw_time", F.col("fetched_at")).withColumn("fetched_at", F.try_to_timestamp("fetched_at"))
         cut = page((scope or Scope()).select(own), limit, offset)
-        cut = cut.withColumn("fetched_at", F.col("__raw")).drop("__raw")
-        self.unreadable_rows = schema.unreadable(cut).first()[0]
-        return schema.decode(cut)
+        return self._readable(cut.withColumn("fetched_at", F.col("raw_time")).drop("raw_time"))
 
     def count(self, scope: Scope | None = None) -> int:
         """Unreadable rows count."""
         return (scope or Scope()).select(self.wire()).count()
 
     def get(self, url: str) -> DataFrame:
-        return by_url(self.rows(), url)
+        """A key never changes, so the versions of other rows need not be read."""
+        return self._readable(self._latest(by_url(self._rows(), url)))
 
     def find(self, prefix: str) -> DataFrame:
-        return by_id_prefix(self.rows(), prefix)
+        return self._readable(self._latest(by_id_prefix(self._rows(), prefix)))
+
+    def resolve(self, ref: str) -> DataFrame:
+        """What a URL or the first digits of an id refer to; two rows mean that it is ambiguous."""
+        return self._readable(self._latest(matching(self._rows(), ref)).limit(2))
+
+
+# -- backends ----------------------------------------------------------------------------------------------------------
+
+_BACKENDS: dict[str, Callable[[SparkSession, dict], Store]] = {}
+
+
+def register_store(name: str) -> Callable:
+    def add(make: Callable[[SparkSession, dict], Store]) -> Callable[[SparkSession, dict], Store]:
+        if name in _BACKENDS:
+            raise ValueError(f"there already is a store {name!r}")
+        _BACKENDS[name] = make
+        return make
+
+    return add
+
+
+def store_names() -> list[str]:
+    return sorted(_BACKENDS)
+
+
+def open_store(spark: SparkSession, block: dict) -> Store:
+    """The store of a configuration's storage block. StoreUnreachable: its place is not there; StoreError: what is there is
+    no store, or there is no such backend."""
+    name = block.get("backend", "parquet")
+    if name not in _BACKENDS:
+        raise StoreError(f"unknown storage backend {name!r}; known: {', '.join(store_names())}")
+    return _BACKENDS[name](spark, {k: v for k, v in block.items() if k != "backend"})
+
+
+@register_store("parquet")
+def _parquet(spark: SparkSession, options: dict) -> Store:
+    if unknown := sorted(set(options) - {"path"}):
+        raise StoreError(f"unknown storage option: {', '.join(unknown)}")
+    return PostingStore(spark, options.get("path", "./postings"))

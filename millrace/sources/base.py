@@ -131,7 +131,10 @@ class Source(ABC):
 
 
 def finish(items: DataFrame, source: str) -> DataFrame:
-    """Key, checks, language and defaults of normalised items (``raw_url`` and the fields that the source has)."""
+    """Key, checks, language and defaults of normalised items (``raw_url``, or ``url`` where that is not given, and the fields
+    that the source has)."""
+    given = [F.col(c) for c in ("raw_url", "url") if c in items.columns]
+    items = items.withColumn("raw_url", F.coalesce(*given))
     have = set(items.columns)
     with_defaults = items.withColumns({n: F.lit(None).cast(schema.POSTING_SCHEMA[n].dataType) for n in schema.COLUMNS if n not in have})
     url = normalize_url(F.col("raw_url"))
@@ -145,6 +148,17 @@ def finish(items: DataFrame, source: str) -> DataFrame:
     return done.select("unit", "sequence", *schema.COLUMNS, "error_kind", "error_message")
 
 
+#: Units that a source names in its errors; of more only the number is told.
+NAMED = 20
+
+
+def broken_units(units: DataFrame, said: str) -> list[str]:
+    """An error for each of the first NAMED of ``units`` (unit), and one for all others together."""
+    many = units.count()
+    named = [f"{r['unit']}: {said}" for r in units.orderBy("unit").limit(NAMED).collect()] if many else []
+    return named + ([f"{many - NAMED} more units: {said}"] if many > NAMED else [])
+
+
 def errors_of(checks: list[tuple[Column, str, str | Column]]) -> tuple[Column, Column]:
     """error_kind and error_message of the first check that holds."""
     kind = message = None

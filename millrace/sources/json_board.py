@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import parse_iso
-from millrace.functions.html import strip_html_exact, unescape_exact
+from millrace.functions.html import strip_html, unescape
 from millrace.functions.places import eligible_locations
 from millrace.functions.text import humanize_slug, strip
 from millrace.functions.workmode import infer_work_mode
-from millrace.sources.base import Source, SourceConfigError, errors_of, register_source
+from millrace.sources.base import Source, SourceConfigError, broken_units, errors_of, register_source
 
 BOARD = "struct<jobs:array<struct<absolute_url:string,title:string,updated_at:string,location:struct<name:string>,content:string>>>"
 
@@ -41,9 +41,8 @@ class JsonBoard(Source):
 
     def raw(self, spark: SparkSession) -> DataFrame:
         boards = self.bodies(spark).withColumn("board", F.from_json("body", BOARD))
-        # A board that is no such object is an error of that unit; there is one row per board.
-        broken = boards.filter(F.col("board.jobs").isNull()).select("unit").collect()
-        self.errors += [f"{r['unit']}: the answer is not an object with a list of jobs" for r in broken]
+        # A board that is no such object is an error of that unit.
+        self.errors += broken_units(boards.filter(F.col("board.jobs").isNull()).select("unit"), "the answer is not an object with a list of jobs")
         return jobs(boards, self.block.get("max_postings_per_company"))
 
     def normalize(self, raw: DataFrame) -> DataFrame:
@@ -63,10 +62,10 @@ def normalize_jobs(raw: DataFrame) -> DataFrame:
     items = raw.select(
         "unit", "sequence", kind.alias("error_kind"), message.alias("error_message"),
         F.col("job.absolute_url").alias("raw_url"), strip(F.col("job.title")).alias("title"), humanize_slug(F.col("unit")).alias("company"),
-        unescape_exact(F.coalesce("job.content", F.lit(""))).alias("description_raw"), F.when(place != "", place).alias("location"),
+        unescape(F.coalesce("job.content", F.lit(""))).alias("description_raw"), F.when(place != "", place).alias("location"),
         parse_iso(F.col("job.updated_at")).alias("published_at"), F.current_timestamp().alias("fetched_at"),
     )
-    items = items.withColumn("description_clean", strip_html_exact("description_raw"))
+    items = items.withColumn("description_clean", strip_html(F.col("description_raw")))
     return items.withColumns(
         {"work_mode": infer_work_mode(F.col("location"), F.col("description_clean")), "eligible_locations": eligible_locations(F.col("location"), F.col("description_clean"))}
     )

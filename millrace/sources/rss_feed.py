@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import parse_rfc822
-from millrace.functions.html import container_html, strip_html_exact
+from millrace.functions.html import container_html, strip_html
 from millrace.functions.places import region_eligibility
 from millrace.functions.text import company_and_title, strip
-from millrace.sources.base import Source, SourceConfigError, errors_of, register_source
+from millrace.sources.base import Source, SourceConfigError, broken_units, errors_of, register_source
 
 MAIN_FEED = "remote-jobs"
 FIELDS = ("title", "link", "pubDate", "description", "region")
@@ -46,8 +46,7 @@ class RssFeed(Source):
 
     def raw(self, spark: SparkSession) -> DataFrame:
         feeds = self.bodies(spark).withColumn("feed", F.from_xml("body", FEED))
-        broken = feeds.filter(F.col("feed.channel").isNull()).select("unit").collect()
-        self.errors += [f"{r['unit']}: not a feed" for r in broken]
+        self.errors += broken_units(feeds.filter(F.col("feed.channel").isNull()).select("unit"), "not a feed")
         return items(feeds, self.block.get("max_postings_per_feed"))
 
     def normalize(self, raw: DataFrame) -> DataFrame:
@@ -79,4 +78,4 @@ def normalize_items(raw: DataFrame, details: DataFrame | None = None) -> DataFra
         F.lit("remote").alias("work_mode"), parse_rfc822(F.col("pubDate")).alias("published_at"), F.current_timestamp().alias("fetched_at"),
         region_eligibility(F.col("region")).alias("eligible_locations"),
     )
-    return out.withColumn("description_clean", strip_html_exact("description_raw"))
+    return out.withColumn("description_clean", strip_html(F.col("description_raw")))

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.operators.runs import insert_if_absent
 
 
-def ingest(stream: DataFrame, stored: Callable[[], DataFrame], append: Callable[[DataFrame], None], checkpoint: str, sequence: str = "sequence") -> StreamingQuery:
-    """Insert each micro-batch's new postings; a batch that is run again inserts nothing twice, as its keys are there."""
+def stored(spark: SparkSession, path: str, kind: StructType) -> DataFrame:
+    """What ``ingest`` has inserted below ``path`` so far."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(path)
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, sequence: str = "sequence") -> StreamingQuery:
+    """Insert each micro-batch's new postings (by url and by id) below ``path``, in a folder named by the batch.
+
+    A batch that is run again after a failure overwrites its own folder, and is held against earlier ones only: so it
+    inserts what it would have inserted, nothing twice and nothing less.
+    """
+    spark, kind = stream.sparkSession, stream.schema
 
     def add(batch: DataFrame, number: int) -> None:
-        append(insert_if_absent(stored(), batch, sequence))
+        held = stored(spark, path, StructType([*kind.fields, StructField("batch", LongType())])).filter(F.col("batch") < number)
+        insert_if_absent(held, batch, sequence).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,12 +1,15 @@
 """Scores, summaries and synonyms with exact values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.components import components
 from millrace.joins import fresh, hot_keys, join_around, join_groups
-from millrace.operators.scoring import Profile, ScoreRule, keyword_score
+from millrace.operators.scoring import KeywordScorer, Profile, ScoreRule, ScorerConfigError, keyword_score, make_scorer, register_scorer, scorer_names
 from millrace.operators.synonyms import Synonyms, synonym_classes
+from millrace.plans.queries import QUERIES
 
 
 def score(spark, text, skills, absent=(), rule=None, title="t", raw="", **profile):
@@ -17,12 +20,13 @@ def score(spark, text, skills, absent=(), rule=None, title="t", raw="", **profil
 @pytest.mark.parametrize(
     ("skills", "absent", "text", "want", "note"),
     [
-        (["python", "django"], [], "python and django", 100, "matched 2/2 skills (python, django)"),
-        (["python", "django", "docker", "aws"], [], "python, django and docker", 75, "not mentioned: aws"),
-        ([f"skill{k}" for k in range(8)], [], "skill0 only", 13, "matched 1/8 skills"),
-        (["python", "django"], ["php"], "python, django, and a bit of php", 66, "penalty -34"),
-        (["python", "a1", "b1", "c1"], ["php"], "python and php", 0, "penalty -25"),
-        ([], [], "anything", 0, "no skills"),
+        (["rust", "go"], [], "go, then rust", 100, "matched 2/2 skills (rust, go)"),
+        (["rust", "go", "c++"], [], "c++ or rust", 67, "not mentioned: go"),
+        ([f"s{k}" for k in range(40)], [], "s3 of them", 3, "matched 1/40 skills (s3)"),
+        (["rust", "go"], ["perl"], "rust with perl", 16, "penalty -34: posting mentions ruled-out skill perl"),
+        (["rust", "q1", "q2", "q3", "q4"], ["perl"], "rust with perl", 0, "penalty -20"),
+        ([], ["perl"], "perl", 0, "no skills"),
+        (["re\u0301seau", "Ｒ"], [], "Réseau et r", 100, "matched 2/2"),
     ],
 )
 def test_scores(spark, skills, absent, text, want, note):
@@ -33,32 +37,57 @@ def test_scores(spark, skills, absent, text, want, note):
 
 
 def test_penalty_settings(spark):
-    assert score(spark, "python php symfony laravel wordpress", ["python"], ["php", "symfony", "laravel", "wordpress"], ScoreRule(absent_skill_penalty_cap=0.5))["score"] == 50
-    assert score(spark, "python php", ["python"], ["php"], ScoreRule(absent_skill_penalty=0.1))["score"] == 90
-    assert score(spark, "python a b c", ["python"], ["a", "b", "c"])["score"] == 0
-    with pytest.raises(ValueError):
-        ScoreRule(absent_skill_penalty=-1)
+    ruled = ["perl", "ada", "abap"]
+    assert score(spark, "rust perl ada abap", ["rust"], ruled, ScoreRule(absent_skill_penalty_cap=0.25))["score"] == 75
+    assert score(spark, "rust perl", ["rust"], ruled, ScoreRule(absent_skill_penalty=0.2))["score"] == 80
+    assert score(spark, "rust perl ada abap", ["rust"], ruled)["score"] == 0
+    for bad in ({"absent_skill_penalty": -0.1}, {"absent_skill_penalty_cap": 2}):
+        with pytest.raises(ValueError):
+            ScoreRule(**bad)
+
+
+def test_scorers():
+    assert {"keyword", "keyword_match"} <= set(scorer_names()) and isinstance(make_scorer({}), KeywordScorer)
+    assert make_scorer({"backend": "keyword_match", "absent_skill_penalty": 0.1}).rule.absent_skill_penalty == 0.1
+    for bad in ({"backend": "oracle"}, {"typo": 1}, {"absent_skill_penalty": -1}):
+        with pytest.raises(ScorerConfigError):
+            make_scorer(bad)
     with pytest.raises(ValueError):
-        ScoreRule(absent_skill_penalty_cap=1.5)
+        register_scorer("keyword")(KeywordScorer)
 
 
 def test_fallback_and_fits(spark):
-    assert score(spark, "", ["python"], raw="python")["score"] == 100
-    assert score(spark, "x", ["python"], raw="python")["score"] == 0
-    got = score(spark, "python", ["Python", "+++"], locations=("France",), location="Paris, France", work_mode="remote", mode="hybrid")
+    assert score(spark, "", ["rust"], raw="rust")["score"] == 100
+    assert score(spark, "x", ["rust"], raw="rust")["score"] == 0
+    got = score(spark, "rust", ["Rust", "+++"], locations=("Norway",), location="Bergen, Norway", work_mode="remote", mode="hybrid")
     assert (got["location_match"], got["work_mode_match"], got["score"], got["unmatched_profile_skills"]) == (True, False, 50, ["+++"])
     assert got["summary"].endswith("location fits; work mode differs")
 
 
 def test_synonyms(spark):
-    chain = Synonyms([["w", "x"], ["y", "x"], ["y", "z"]])
-    assert chain.forms("W") == {"w", "x", "y", "z"}
-    rule = ScoreRule(synonyms=[["w1", "x1"], ["y1", "x1"], ["y1", "z1"]])
-    assert score(spark, "only z1 here", ["w1"], rule=rule)["score"] == 100
+    joined = Synonyms([["k8s", "Kubernetes"], ["helm"], ["kube", "container fleet"], ["kubernetes", "kube"]])
+    assert joined.forms("K8S") == {"k8s", "kubernetes", "kube", "container fleet"} and joined.forms("go") == {"go"}
+    rule = ScoreRule(synonyms=[["k8s", "kubernetes"], ["kube", "container fleet"], ["kubernetes", "kube"]])
+    assert score(spark, "runs a container fleet", ["k8s"], rule=rule)["score"] == 100
+    assert score(spark, "runs containers, fleet", ["k8s"], rule=rule)["score"] == 0
     pairs = spark.createDataFrame([("w", "x"), ("y", "x"), ("y", "z"), ("a", "b")], "left string, right string")
     assert {tuple(r) for r in synonym_classes(pairs).collect()} == {("w", "w"), ("x", "w"), ("y", "w"), ("z", "w"), ("a", "a"), ("b", "a")}
 
 
+def test_classes_of_order_lines(spark, tmp_path):
+    """The query over a whole table of pairs, against merging sets one pair at a time."""
+    rng = random.Random(3)
+    pairs = [(rng.randint(1, 60), rng.randint(1, 40)) for _ in range(55)] + [(100 + k, 100 + k // 2) for k in range(30)]
+    spark.createDataFrame(pairs, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    groups = []
+    for a, b in pairs:
+        own = {f"c{a}", f"s{b}"}
+        groups, own = [g for g in groups if not g & own], own.union(*[g for g in groups if g & own])
+        groups.append(own)
+    got = {r["term"]: r["class"] for r in QUERIES["synonym_classes_joined"](spark, str(tmp_path)).collect()}
+    assert got == {t: min(g) for g in groups for t in g}
+
+
 def test_synonyms_of_a_long_chain(spark):
     # The class 0 comes from the left to the valley of 1; by 50 rounds of neighbours it has not reached its middle.
     name = lambda k: f"t{k:04d}"
