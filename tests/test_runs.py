@@ -1,22 +1,27 @@
 """Sources, whole runs, exports, remote services and the command line."""
 
 import csv
+import hashlib
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from test_store import make
 
+from millrace.operators.filters import Scope
 from millrace.operators.scoring import Profile
 from millrace.plans.cli import main
 from millrace.plans.config import EXAMPLE, ConfigError, load_config, parse_config
-from millrace.plans.export import ExportError, export
-from millrace.plans.remote import BudgetExhausted, MeteredScorer, RemoteError, RemoteTable, ScoringError, classify, export_remote, python_verdict, schema_problems, verdict
+from millrace.plans.export import ExportError, Exporter, ExportResult, export, export_formats, register_exporter
+from millrace.plans.remote import REMOTE_TYPES, BudgetExhausted, MeteredScorer, RemoteError, RemoteTable, ScoringError, classify, export_remote, python_verdict, schema_problems, verdict
 from millrace.plans.run import Run, RunError
-from millrace.plans.store import PostingStore
+from millrace.plans.store import open_store
 from millrace.sources.base import Fetcher, HttpPolicy, SourceConfigError, SourceUnavailableError, register_source, source_class, source_names
 from millrace.sources.json_board import JsonBoard
 from millrace.sources.rss_feed import RssFeed
+from millrace.streaming.ingest import ingest, stored
 
 BOARD = {
     "jobs": [
@@ -101,56 +106,99 @@ def test_registry():
 
 
 def config(tmp_path, **more):
-    rows = [{"url": f"https://x/{k}", "title": f"Python {k}", "description": "python and the rest"} for k in range(3)]
+    rows = [{"url": f"https://h/{k}", "title": f"Python {k}", "description": "python and the rest"} for k in range(3)]
     base = {"profile": {"role": "r", "skills": ["python", "spark"]}, "search": {"languages": []}, "sources": {"replay": {"postings": rows}, "gone": {}},
             "storage": {"path": str(tmp_path / "store")}, "exporters": {"csv": {"output_path": str(tmp_path / "out/a.csv")}}}
     return parse_config(base | more)
 
 
+def phase(report, name):
+    return {k: (n, said) for k, n, said in report.of(name)}
+
+
 def test_run(spark, tmp_path):
     run = Run(spark, config(tmp_path))
     dry = Run(spark, config(tmp_path), run.store, dry_run=True).run()
-    assert (dry.fetch[0].kept, dry.fetch[0].stored, run.store.count(), dry.export[0].would_export) == (3, 0, 0, 0)
+    assert phase(dry, "fetch")["replay"][0] == {"yielded": 3, "skipped": 0, "kept": 3, "filtered_out": 0, "stored": 0, "duplicates": 0}
+    assert (run.store.count(), phase(dry, "export")["csv"][0]["would_export"]) == (0, 0)
     report = run.run()
-    assert (report.fetch[0].stored, report.fetch[1].failed, report.score.scored, report.export[0].exported, report.ok) == (3, True, 3, 3, False)
-    again = run.run()
-    assert (again.fetch[0].stored, again.fetch[0].duplicates, again.score.scored) == (0, 3, 0)
+    assert phase(report, "fetch")["replay"][0]["stored"] == 3 and report.failed() == [("fetch", "gone")] and not report.ok
+    assert phase(report, "score")["keyword"][0] == {"total": 3, "scored": 3, "failed": 0, "stopped_early": 0, "unreadable": 0}
+    assert phase(report, "export")["csv"] == ({"unreadable": 0, "exported": 3}, [])
+    assert report.table(spark).filter("counter = 'yielded'").first()["value"] == 3
+    again = run.run(skip=["export"])
+    assert (phase(again, "fetch")["replay"][0]["duplicates"], phase(again, "score")["keyword"][0]["scored"], phase(again, "export")) == (3, 0, {})
+    assert phase(run.score(limit=2, rescore=True), "score")["keyword"][0]["total"] == 2
     with open(tmp_path / "out/a.csv") as f:
         assert [r["score"] for r in csv.DictReader(f)] == ["50"] * 3
-    assert run.export(["json"])[0].error and run.export(["pdf"])[0].error
+    assert [phase(run.export([f]), "export")[f][1] != [] for f in ("json", "pdf", "csv")] == [True, True, False]
+    assert phase(run.export(["csv"], output=str(tmp_path / "other.csv")), "export")["csv"][0]["exported"] == 3 and (tmp_path / "other.csv").exists()
+    with pytest.raises(RunError):
+        run.sources(["nope"])
     with pytest.raises(RunError):
-        run.planned(["nope"])
-    assert run.fetch(["replay"], limit=2)[0].yielded == 2
+        Run(spark, config(tmp_path, scoring={"backend": "guess"}), run.store).score()
+    assert phase(run.fetch(["replay"], limit=2), "fetch")["replay"][0]["yielded"] == 2
 
 
 def test_title_filter_in_run(spark, tmp_path):
     own = config(tmp_path, search={"title_keywords_include": ["PYTHON"], "title_keywords_exclude": ["1"], "languages": []})
-    out = Run(spark, own).fetch(["replay"])[0]
-    assert (out.yielded, out.kept, out.filtered_out, out.stored) == (3, 2, 1, 2)
+    out = phase(Run(spark, own).fetch(["replay"]), "fetch")["replay"][0]
+    assert (out["yielded"], out["kept"], out["filtered_out"], out["stored"]) == (3, 2, 1, 2)
 
 
 def test_failing_source(spark, tmp_path):
-    own = config(tmp_path, sources={"replay": {"postings": [{"url": "https://x/1", "title": "t"}], "fail": True}})
-    out = Run(spark, own).fetch()[0]
-    assert (out.yielded, len(out.errors), out.failed) == (1, 1, False)
+    report = Run(spark, config(tmp_path, sources={"replay": {"postings": [{"url": "https://h/1", "title": "t"}], "fail": True}})).fetch()
+    n, said = phase(report, "fetch")["replay"]
+    assert (n["yielded"], len(said), report.ok) == (1, 1, True)
+
+
+def test_metered_run(spark, tmp_path):
+    replies = iter([(200, REPLY), (401, ""), (200, REPLY)])
+    own = config(tmp_path, scoring={"backend": "metered", "max_requests_per_run": 2}, sources={"replay": config(tmp_path).sources["replay"]})
+    run = Run(spark, own, given={"scoring": {"ask": lambda p, t: next(replies)}})
+    run.fetch()
+    n, _ = phase(run.score(), "score")["metered"]
+    assert (n["scored"], n["failed"], n["stopped_early"], run.store.count(Scope(scored=True))) == (1, 1, 1, 1)
+    assert run.store.list(Scope(scored=True)).first()["matched_skills"] == ["a"]
+    with pytest.raises(RunError):
+        Run(spark, own, run.store).score()
+
+
+@register_exporter("lines")
+class Lines(Exporter):
+    options, needed = ("output_path", "limit"), ("output_path",)
+
+    def export(self, postings):
+        return ExportResult(postings.count(), "counted")
+
+
+def test_exporters_are_registered(spark):
+    rows = make(spark, [("https://h/1", "t", {})])
+    assert {"csv", "json", "lines", "markdown", "remote"} <= set(export_formats())
+    assert export(rows, "lines", {"output_path": "x", "limit": 1, "enabled": True}) == ExportResult(1, "counted")
+    for bad in ({"output_path": "x", "typo": 1}, {}):
+        with pytest.raises(ExportError):
+            export(rows, "lines", bad)
+    with pytest.raises(ValueError):
+        register_exporter("csv")(type("Again", (Lines,), {}))
 
 
 def test_exports(spark, tmp_path):
     rows = make(spark, [
-        ("https://x/low", "Low", {"score": 20}), ("https://x/lead(b)", "High [Remote]\nx", {"score": 90, "work_mode": "remote", "location": "EU [x]", "eligible_locations": ["EU", "Germany"]}),
-        ("https://x/none", "=HYPERLINK(1)", {}), ("https://x/mid", "Mïd", {"score": 55, "matched_skills": ["a", "b"]}),
+        ("https://h/low", "Low", {"score": 20}), ("https://h/part(2)", "High [Remote]\nx", {"score": 90, "work_mode": "remote", "location": "EU [x]", "eligible_locations": ["EU", "Germany"]}),
+        ("https://h/none", "@cmd", {}), ("https://h/mid", "Mïd", {"score": 55, "matched_skills": ["a", "b"]}),
     ])
     paths = {f: tmp_path / "new" / f for f in ("csv", "json", "markdown")}
     for fmt, path in paths.items():
         assert export(rows, fmt, {"output_path": str(path)}).exported == 4
     cells = list(csv.DictReader(paths["csv"].open(newline="")))
-    assert [c["title"] for c in cells] == ["High [Remote]\nx", "Mïd", "Low", "'=HYPERLINK(1)"]
+    assert [c["title"] for c in cells] == ["High [Remote]\nx", "Mïd", "Low", "'@cmd"]
     assert (cells[0]["eligible_locations"], cells[3]["score"], cells[1]["matched_skills"]) == ("EU; Germany", "", "a; b")
     found = json.loads(paths["json"].read_text())
-    assert (found["count"], found["postings"][3]["title"], found["postings"][3]["score"], list(found["postings"][0])[0]) == (4, "=HYPERLINK(1)", None, "score")
+    assert (found["count"], found["postings"][3]["title"], found["postings"][3]["score"], list(found["postings"][0])[0]) == (4, "@cmd", None, "score")
     assert "Mïd" in paths["json"].read_text()
     lines = paths["markdown"].read_text().splitlines()
-    assert lines[4] == r"- **90** — [High \[Remote\] x — C](<https://x/lead(b)>) · remote · EU \[x\] · eligible: EU, Germany"
+    assert lines[4] == r"- **90** — [High \[Remote\] x — C](<https://h/part(2)>) · remote · EU \[x\] · eligible: EU, Germany"
     assert lines[-1].startswith("- **n/a** — ")
     empty = rows.limit(0)
     for fmt in paths:
@@ -158,6 +206,9 @@ def test_exports(spark, tmp_path):
     assert json.loads((tmp_path / "json").read_text()) == {"count": 0, "postings": []}
     assert "_No postings to export._" in (tmp_path / "markdown").read_text()
     assert len((tmp_path / "csv").read_text().splitlines()) == 1
+    export(rows, "csv", {"output_path": str(tmp_path / "folder"), "parts": True})
+    folder = "".join(p.read_text() for p in sorted((tmp_path / "folder").glob("part-*")))
+    assert "\n".join([",".join(cells[0]), folder]) == paths["csv"].read_text()
     for bad in ({}, {"output_path": "x", "typo": 1}, {"output_path": str(tmp_path)}):
         with pytest.raises(ExportError):
             export(empty, "csv", bad)
@@ -186,52 +237,85 @@ def test_metered_scorer(spark):
     with pytest.raises(BudgetExhausted):
         scorer.score("p", Profile())
     assert len(asked) == 6
-    rows = make(spark, [("https://x/1", "t", {"description_clean": "0123456789abc"})])
+    rows = make(spark, [("https://h/1", "t", {"description_clean": "0123456789abc"})])
     assert scorer.prompts(rows).first()["prompt"].endswith("012345678…")
 
 
 class FakeTable:
-    def __init__(self, properties=None, fail_after=None):
-        self.rows, self.calls, self.fail_after = {}, 0, fail_after
-        self.properties = properties if properties is not None else {"Name": "title", "URL": "url", "Status": "select", "Company": "rich_text", "Score": "number", "Source": "select"}
+    """A remote table in a folder, as tasks have no memory in common."""
+
+    def __init__(self, folder, properties=None, fail_after=None):
+        self.folder, self.fail_after = folder, fail_after
+        folder.mkdir(parents=True, exist_ok=True)
+        self.properties = properties if properties is not None else dict(REMOTE_TYPES)
+
+    def rows(self):
+        return {r["URL"]["url"]: r for r in (json.loads(p.read_text()) for p in self.folder.glob("*.json"))}
 
     def __call__(self, method, path, body):
-        self.calls += 1
-        if self.fail_after and self.calls > self.fail_after:
-            return 429, {}
         if method == "GET":
             return 200, {"properties": self.properties}
         if path.endswith("/query"):
-            return 200, {"results": [{"id": body["url"]}] if body["url"] in self.rows else []}
-        self.rows[body["properties"]["URL"]] = body["properties"]
+            return 200, {"results": [{"id": body["url"]}] if body["url"] in self.rows() else []}
+        if self.fail_after is not None and len(self.rows()) >= self.fail_after:
+            return 429, {}
+        url = body["properties"]["URL"]["url"]
+        (self.folder / f"{hashlib.sha1(url.encode()).hexdigest()}.json").write_text(json.dumps(body["properties"]))
         return 200, {}
 
 
-def test_remote_table(spark):
-    rows = make(spark, [("https://x/1", "t", {"score": 5}), ("https://x/2", "u", {})])
-    fake = FakeTable()
+def test_remote_table(spark, tmp_path):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import a test
+    rows = make(spark, [("https://h/1", "t", {"score": 5}), ("https://h/2", "u", {})])
+    fake = FakeTable(tmp_path / "a")
     table = RemoteTable(fake, "t", requests_per_second=0)
-    assert export_remote(rows, table) == (2, 0)
+    assert export_remote(rows, table, tasks=2) == (2, 0)
     assert export_remote(rows, table) == (0, 2)
-    assert fake.rows["https://x/1"]["Score"] == 5
+    assert fake.rows()["https://h/1"] == {
+        "Name": {"title": [{"text": {"content": "t"}}]}, "URL": {"url": "https://h/1"}, "Status": {"select": {"name": "new"}}, "Company": {"rich_text": [{"text": {"content": "C"}}]},
+        "Score": {"number": 5}, "Source": {"select": {"name": "s"}},
+    }
+    assert fake.rows()["https://h/2"]["Score"] == {"number": None}
     with pytest.raises(RemoteError, match="Score"):
-        RemoteTable(FakeTable({"Name": "title"}), "t", 0).upsert([])
+        RemoteTable(FakeTable(tmp_path / "b", {"Name": "title"}), "t", 0).upsert([])
     with pytest.raises(RemoteError, match="1 created"):
-        export_remote(rows, RemoteTable(FakeTable(fail_after=3), "t", 0))
+        export_remote(rows, RemoteTable(FakeTable(tmp_path / "c", fail_after=1), "t", 0))
     waits = []
-    RemoteTable(FakeTable(), "t", 2.5, sleep=waits.append, clock=lambda: 0.0).upsert([("u", '{"URL": "u"}')])
+    RemoteTable(FakeTable(tmp_path / "d"), "t", 2.5, sleep=waits.append, clock=lambda: 0.0).upsert([("u", '{"URL": {"url": "u"}}')])
     assert waits == [0.4, 0.4]
+    assert export(rows, "remote", {"table": "t", "transport": FakeTable(tmp_path / "e"), "requests_per_second": 0}).detail == "2 created, 0 updated"
+    with pytest.raises(ExportError):
+        export(rows, "remote", {"table": "t"})
     actual = spark.createDataFrame([("Name", "title"), ("URL", "text")], "property string, type string")
     assert {r["property"] for r in schema_problems(actual).collect()} == {"URL", "Status", "Company", "Score", "Source"}
-    snapshot = spark.createDataFrame([("https://x/1", "p1")], "url string, page_id string")
+    snapshot = spark.createDataFrame([("https://h/1", "p1")], "url string, page_id string")
     assert {r["title"]: r["action"] for r in classify(rows, snapshot).collect()} == {"t": "updated", "u": "created"}
 
 
+def test_a_batch_that_is_run_again_inserts_nothing_twice(spark, tmp_path):
+    kind = "url string, id string, sequence int"
+    top = {k: str(tmp_path / k) for k in ("in", "out", "checkpoint")}
+
+    def feed(*rows):
+        spark.createDataFrame([(f"u{a}", f"i{b}", n) for n, (a, b) in enumerate(rows)], kind).coalesce(1).write.mode("append").parquet(top["in"])
+        ingest(spark.readStream.schema(kind).parquet(top["in"]), top["out"], top["checkpoint"]).awaitTermination()
+
+    held = lambda: sorted((r["url"], r["id"]) for r in stored(spark, top["out"], spark.read.schema(kind).parquet(top["in"]).schema).collect())
+    feed((1, 1), (2, 2), (1, 3))
+    feed((2, 9), (3, 3), (4, 1))
+    assert held() == [("u1", "i1"), ("u2", "i2"), ("u3", "i3")]
+    # As if the driver had died after the second batch was written and before its end was noted.
+    (tmp_path / "checkpoint" / "commits" / "1").unlink()
+    (tmp_path / "checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
+    feed((5, 5))
+    assert held() == [("u1", "i1"), ("u2", "i2"), ("u3", "i3"), ("u5", "i5")]
+
+
 def test_config(tmp_path):
     at = tmp_path / "c.yaml"
     at.write_text(EXAMPLE)
     assert load_config(at).profile.skills == ("Python", "Spark", "SQL")
-    for raw, said in (({"profil": {}}, "did you mean 'profile'"), ({"profile": {"role": "r", "skill": []}}, "did you mean 'skills'"), ([], "mapping"), ({"profile": {}}, "role"), ({"profile": {"role": "r", "work_mode": "x"}}, "work_mode"), ({"profile": {"role": "r"}, "storage": {"backend": "x"}}, "backend")):
+    for raw, said in (({"profil": {}}, "did you mean 'profile'"), ({"profile": {"role": "r", "skill": []}}, "did you mean 'skills'"), ([], "mapping"), ({"profile": {}}, "role"), ({"profile": {"role": "r", "work_mode": "x"}}, "work_mode")):
         with pytest.raises(ConfigError, match=said):
             parse_config(raw)
     with pytest.raises(ConfigError):
@@ -241,21 +325,22 @@ def test_config(tmp_path):
 def test_cli(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     assert main(["init"]) == 0 and main(["init"]) == 1 and main(["init", "--force"]) == 0
-    postings = [{"url": f"https://x/{k}", "title": f"[Python] {k}", "description": "python"} for k in range(2)]
+    postings = [{"url": f"https://h/{k}", "title": f"[Python] {k}", "description": "python"} for k in range(2)]
     (tmp_path / "config.yaml").write_text(json.dumps({"profile": {"role": "r", "skills": ["python"]}, "search": {"languages": ["en"]}, "sources": {"replay": {"postings": postings}}, "storage": {"path": str(tmp_path / "s")}, "exporters": {"markdown": {"output_path": str(tmp_path / "o.md")}}}))
     call = lambda *a: (main(list(a), spark), capsys.readouterr())
     assert call("score")[1].out == "nothing to score\n"
     assert call("fetch")[0] == 0
-    assert call("score")[0] == 0
+    code, said = call("score", "--limit", "5")
+    assert code == 0 and said.out.startswith("2 to score\n")
     code, said = call("list", "--json")
     rows = json.loads(said.out)
     assert (code, len(rows), rows[0]["score"], rows[0]["title"]) == (0, 2, 100, "[Python] 0")
     assert call("status", rows[0]["id"][:8], "applied")[0] == 0
-    assert "applied" in call("show", "https://x/0")[1].out
+    assert "applied" in call("show", "https://h/0")[1].out
     assert call("show", "ffffffffffff")[0] == 1
     assert call("show", "ab")[0] == 1
     assert call("list", "--unscored", "--min-score", "1")[0] == 2
-    assert call("status", rows[0]["id"], "ghosted")[0] == 2
+    assert call("status", rows[0]["id"], "on the moon")[0] == 2
     assert call("export", "markdown")[0] == 0 and (tmp_path / "o.md").read_text().count("\n- ") == 2
     assert call("run")[0] == 0
     assert "[Python] 0" in call("list")[1].out
@@ -263,4 +348,4 @@ def test_cli(spark, tmp_path, capsys, monkeypatch):
 
 def test_store_is_reused(spark, tmp_path):
     own = config(tmp_path)
-    assert Run(spark, own).store.path == PostingStore(spark, own.store_path).path
+    assert Run(spark, own).store.path == open_store(spark, own.storage).path
