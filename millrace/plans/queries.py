@@ -15,13 +15,15 @@ from millrace.functions.places import eligible_locations, location_match, region
 from millrace.functions.text import bind, company_and_title, defuse_formula, humanize_slug, markdown_destination, markdown_text, normalize, truncate
 from millrace.functions.urls import TRACKING_NAMES, normalize_url, posting_id
 from millrace.functions.workmode import NEGATORS, infer_work_mode
-from millrace.operators.filters import Scope, by_id_prefix, by_url, order, page, title_filter, with_places
+from millrace.operators.filters import Scope, applied_at, by_id_prefix, by_url, order, page, title_filter, with_places
 from millrace.operators.runs import backfill_ids, error_tallies, failed, fetch_counters, first_of_key, insert_if_absent, limit_kept, within_budget
 from millrace.operators.scoring import Profile, ScoreRule, keyword_score
 from millrace.operators.synonyms import synonym_classes
 from millrace.plans.cli import detail, list_cells, score_style
+from millrace.plans.config import parse_config
 from millrace.plans.export import EXPORT_COLUMNS, csv_cells, json_record, markdown_bullet
 from millrace.plans.remote import REMOTE_TYPES, classify, properties, schema_problems, verdict
+from millrace.plans.run import Run
 from millrace.plans.store import PostingStore
 from millrace.plans.views import postings, table, with_status
 from millrace.scratch import scratch
@@ -179,6 +181,17 @@ def absent_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("url", points.alias("points"), "score", (points - F.col("score")).alias("points_removed"))
 
 
+@_query(f"WITH {_P}, {_PLAIN} SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE score END AS score FROM s")
+def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain text is scored, or the raw one where it is null or empty; a quarter has neither, nor a title."""
+    k = F.col("doc_id") % 4
+    view = postings(spark, sf_dir).withColumns({
+        "description_clean": F.when(k == 0, F.col("description_raw")).when(k == 2, ""), "description_raw": F.when(k == 0, "").when(k == 1, "").otherwise(F.col("description_raw")),
+        "title": F.when(k != 1, F.col("title")).otherwise(""),
+    })
+    return keyword_score(view, PROFILE, RULE).select("doc_id", "score")
+
+
 # -- text --------------------------------------------------------------------------------------------------------------
 
 
@@ -332,6 +345,25 @@ def urls_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", normalize_url(F.col("url")).alias("url"))
 
 
+_ESCAPED = {
+    "?q=a+b%20c&x=%7E*": "?q=a+b+c&x=~%2A", "?k=%zz&Ref=1": "?k=%25zz", "?b=%C3%A9&a=é": "?a=%C3%A9&b=%C3%A9", "?%75tm_source=y&z=%3D%26": "?z=%3D%26", "?p=1&p=0&empty=&fbclid=f#part": "?p=0&p=1", "#only": "",
+}
+
+
+@_query(
+    """WITH u AS (SELECT page_id, regexp_extract(trim(url), '^([A-Za-z]+)://([^/?#]*)([^?#]*)', ['scheme', 'host', 'path']) AS u FROM pages)
+       SELECT page_id, CASE lower(u.scheme) WHEN 'http' THEN 'https' ELSE lower(u.scheme) END || '://' || lower(u.host) || CASE rtrim(u.path, '/') WHEN '' THEN '/' ELSE rtrim(u.path, '/') END
+              || ["""
+    + ", ".join(f"'{v}'" for v in _ESCAPED.values())
+    + f"][1 + page_id % {len(_ESCAPED)}] AS url FROM u"
+)
+def normalize_escaped_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of pages with queries that have escapes, signs, repeated, empty and tracking parameters."""
+    place = F.regexp_extract(F.trim("url"), r"^([A-Za-z]+://[^/?#]*[^?#]*)", 1)
+    query = F.get(F.array(*map(F.lit, _ESCAPED)), (F.col("page_id") % len(_ESCAPED)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", normalize_url(F.concat(place, query)).alias("url"))
+
+
 @_query(f"WITH {_URL} SELECT page_id, substring(sha256(url), 1, 12) AS id FROM k", "posting_id")
 def ids_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", posting_id(normalize_url(F.col("url"))).alias("id"))
@@ -458,6 +490,19 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, f"{top}/out", stream.schema).select("url", "round")
 
 
+@_query(
+    f"""WITH {_P}, o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN fetched_at END AS had FROM p),
+        n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN coalesce(had, TIMESTAMP '2027-01-01') WHEN 1 THEN had WHEN 2 THEN NULL WHEN 3 THEN TIMESTAMP '2025-05-05' ELSE had END AS ts FROM o)
+        SELECT doc_id, {_ISO.format('ts')} AS applied_at FROM n"""
+)
+def applied_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a change of status makes of the date of application: set once, kept, cleared, given."""
+    had = postings(spark, sf_dir).withColumn("applied_at", F.when(F.col("doc_id") % 2 == 0, F.col("fetched_at")))
+    now = F.to_timestamp(F.lit("2027-01-01 00:00:00"))
+    each = [applied_at("applied", now), applied_at("closed", now), applied_at("new", now, clear=True), applied_at("applied", now, F.to_timestamp(F.lit("2025-05-05 00:00:00"))), applied_at("rejected", now)]
+    return had.select("doc_id", schema.iso_time(F.get(F.array(*each), (F.col("doc_id") % 5).cast("int"))).alias("applied_at"))
+
+
 _VIEW = f"""WITH {_P}, {_PLAIN}, {_language("title || chr(10) || text").replace("FROM p)", "FROM s)")},
     v AS (SELECT l.* EXCLUDE (score), score AS full_score, CASE WHEN doc_id % 4 > 0 THEN score END AS score, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'shortlisted' WHEN quality = 0 THEN 'closed' ELSE 'new' END AS status
           FROM l LEFT JOIN labels USING (doc_id))"""
@@ -695,6 +740,53 @@ def json_board_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("error_kind IS NULL").select("url", "unit", F.trim("title").alias("title"), "location", schema.iso_time(F.col("published_at")).alias("published_at"), "description_clean")
 
 
+def _boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as boards of up to twenty jobs (unit, body), those without a title, too."""
+    view = postings(spark, sf_dir)
+    job = F.struct(F.col("doc_id").alias("n"), F.concat(F.lit("https://corpus.example.org/board/"), F.col("doc_id").cast("string")).alias("absolute_url"), "title", F.struct("location").alias("location"), F.col("description_raw").alias("content"))
+    unit = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string"))
+    return view.groupBy(unit.alias("unit")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(job)).alias("jobs"))).alias("body"))
+
+
+@_query(
+    f"""WITH {_P}, n AS (SELECT source || '-' || doc_id // 20 AS unit, doc_id, row_number() OVER (PARTITION BY source, doc_id // 20 ORDER BY doc_id) AS place FROM p)
+        SELECT 'json_board' AS source, unit, 'https://corpus.example.org/board/' || doc_id AS raw_url FROM n WHERE place <= 3
+        UNION ALL SELECT 'rss_feed', unit, 'https://corpus.example.org/feed/' || doc_id FROM n WHERE place <= 2"""
+)
+def capped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three jobs of each board and the first two items of each feed, put together by name."""
+    board = json_board.jobs(_boards(spark, sf_dir).withColumn("board", F.from_json("body", json_board.BOARD)), 3)
+    item = F.struct(
+        F.col("doc_id").alias("n"), F.array(F.lit("A: b")).alias("title"), F.array(F.concat(F.lit("https://corpus.example.org/feed/"), F.col("doc_id").cast("string"))).alias("link"),
+        *[F.array().cast("array<string>").alias(f) for f in ("pubDate", "description", "region")],
+    )
+    unit = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string"))
+    feeds = table(spark, sf_dir, "documents").groupBy(unit.alias("unit")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    feeds = feeds.select("unit", F.struct(F.struct(F.transform("items", lambda x: x.dropFields("n")).alias("item")).alias("channel")).alias("feed"))
+    found = finish(json_board.normalize_jobs(board), "json_board").unionByName(finish(rss_feed.normalize_items(rss_feed.items(feeds, 2)), "rss_feed"))
+    return found.select("source", "unit", "raw_url")
+
+
+@_query(
+    f"""WITH {_P}, k AS (SELECT *, regexp_matches(title, '\\S') AS good, regexp_matches(title, '\\S') AND contains(lower(title), 'er') AND NOT contains(lower(title), 'tion') AS kept FROM p),
+        c AS (SELECT count(*) FILTER (WHERE good) AS yielded, count(*) FILTER (WHERE NOT good) AS skipped, count(*) FILTER (WHERE kept) AS kept FROM k)
+        SELECT phase, name, counter, CAST(value AS BIGINT) AS value FROM (
+            SELECT unnest(['fetch', 'fetch', 'fetch', 'fetch', 'fetch', 'fetch', 'score', 'score', 'score', 'score', 'score', 'export', 'export']) AS phase,
+                   unnest(['json_board', 'json_board', 'json_board', 'json_board', 'json_board', 'json_board', 'keyword', 'keyword', 'keyword', 'keyword', 'keyword', 'json', 'json']) AS name,
+                   unnest(['yielded', 'skipped', 'kept', 'filtered_out', 'stored', 'duplicates', 'total', 'scored', 'failed', 'stopped_early', 'unreadable', 'exported', 'unreadable']) AS counter,
+                   unnest([yielded, skipped, kept, yielded - kept, kept, 0, kept, kept, 0, 0, 0, kept, 0]) AS value FROM c)"""
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a whole run over boards in files: fetch, filter by title, store, score, export."""
+    top = scratch(spark, "run")
+    _boards(spark, sf_dir).select("unit", F.col("body").alias("value")).repartition("unit").write.partitionBy("unit").text(f"{top}/boards")
+    config = parse_config({
+        "profile": {"role": "r", "skills": list(PROFILE.skills)}, "search": {"title_keywords_include": ["ER"], "title_keywords_exclude": ["tion"], "languages": []}, "sources": {"json_board": {"path": f"{top}/boards/*"}},
+        "storage": {"path": f"{top}/store"}, "exporters": {"json": {"output_path": f"{top}/out.json"}},
+    })
+    return Run(spark, config).run().table(spark)
+
+
 @_query(
     """SELECT 'https://corpus.example.org/feed/' || doc_id AS url, CASE WHEN doc_id % 10 = 0 THEN 'ValueError' END AS error_kind,
               CASE WHEN doc_id % 10 > 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 10 > 0 THEN source END AS company, 'remote' AS work_mode FROM documents"""
