@@ -8,7 +8,8 @@ branch, and branches are pruned when the waste so far leaves no chance of fewer
 best-fit decreasing provides at first. A filling is used as often as the histogram allows, and by later branches of its
 node less often. Where that leaves more sequences than the sum of lengths asks for, the relaxed problem (patterns by
 fractions, generated columns) gives a better bound, its patterns are used their whole number of times, and what is left is
-searched; and dives that break ties by chance give better incumbents. The limits are NODES, PIVOTS and RESTARTS.
+searched; and dives that break ties by chance give better incumbents. The limits are NODES, those of PIVOTS and
+those of RESTARTS: they bound the driver's work whatever the table, and where they end the search the incumbent stays.
 
 The pieces get their sequences as Spark rows: within a length, salted by document, each piece has a rank (an exclusive
 sum over the counts of the salts plus a row number within one salt), and ranges of ranks belong to slots of patterns. So
@@ -38,10 +39,10 @@ from millrace.llm.tree_bpe import encode_documents
 CAPACITY, END_ID, SALTS, SALT_ROWS = 1024, 2, 64, 500_000
 #: The search is cut off after so many nodes and keeps the incumbent; the first dive is always completed and has none of them.
 NODES = 300
-#: Pivots of the relaxed problem; what is reached by then is used.
-PIVOTS = 1500
-#: Dives by chance, RESTARTS and more where they have fewer than RESTART_PIECES pieces in all; the pieces at their ends that are searched.
-RESTARTS, RESTART_PIECES, TAIL = 60, 100_000, 30
+#: Pivots of the relaxed problem at most; a pivot counts for as many rows as there are lengths.
+PIVOTS, PIVOT_ROWS = 1500, 300_000
+#: Dives by chance at most; each looks at so many lengths for each of its fillings. The pieces at their ends that are searched.
+RESTARTS, RESTART_LENGTHS, TAIL = 600, 4_000_000, 30
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -171,7 +172,7 @@ def _relaxed(counts: list[int], capacity: int, known: list[Pattern]) -> tuple[li
     need = np.array(counts, float)[sizes]
     inverse, x, at = np.diag(1 / fits), (need + np.linspace(1, 2, len(sizes)) * 1e-5) / fits, {int(s): k for k, s in enumerate(sizes)}
     first, bound = [Counter(dict(lengths)) for lengths, _ in known], 0.0
-    for _ in range(PIVOTS):
+    for _ in range(min(PIVOTS, PIVOT_ROWS // len(sizes))):
         price = inverse.sum(0)
         entering = next((c for c in iter(lambda: first.pop() if first else None, None) if sum(n * price[at[s]] for s, n in c.items()) > 1 + 1e-9), None)
         if entering is None:
@@ -233,13 +234,16 @@ def _restarts(histogram: dict[int, int], capacity: int, fewest: int, bound: int,
     """Dives of the search that take, for the largest piece left, one of the fullest fillings by chance, down to the last
     TAIL pieces, which are searched. A dive ends as soon as its waste rules out fewer than ``fewest`` sequences."""
     total, best = sum(s * n for s, n in histogram.items()), None
-    for seed in range(max(RESTARTS, RESTART_PIECES // max(1, sum(histogram.values())))):
+    looked = 0
+    for seed in range(RESTARTS):
+        if looked > RESTART_LENGTHS:
+            break
         rng, counts, path, used, waste = random.Random(seed), [0] * (capacity + 1), [], 0, 0
         for size, n in histogram.items():
             counts[size] = n
         sizes, left = sorted(histogram), sum(histogram.values())
         while left > TAIL and (fewest - 1) * capacity >= total + waste:
-            large = sizes[-1]
+            large, looked = sizes[-1], looked + len(sizes)
             counts[large] -= 1
             filling = _fullest(counts, [s for s in sizes if counts[s]], capacity - large, rng)
             counts[large] += 1

@@ -110,7 +110,7 @@ class TreeBpe:
 
     def leaf(self, text: str) -> bytes:
         """Of a text that is encoded at once; without long pieces, special strings or rare characters it needs no cutting."""
-        if max(map(len, text.split()), default=0) <= LEAF and _LATIN.match(text) and not _BLANK.search(text) and not any(s in text for s in self.special):
+        if not any(map(text.__contains__, self.special)) and (text.isascii() or _LATIN.match(text)) and (len(text) <= LEAF or max(map(len, text.split()), default=0) <= LEAF and not _BLANK.search(text)):
             return np.array(self.base.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(self._ids, _CUT.split(text)))
 
