@@ -24,6 +24,7 @@ _BREAK = r"[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 _ENTITY = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]{1,31};|&(?:SHORT)|[^&]+|&"
 #: Entities that need no semicolon, the longest first, as the shortest of two that fit is not meant.
 _SHORT = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+COMMON = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "middot")
 #: What numbers stand for that are no characters of their own: the standard's table for 128 to 159, from the code page itself.
 _WINDOWS = {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(128, 160)}
 
@@ -47,7 +48,9 @@ def unescape(text: Column) -> Column:
     pattern = _ENTITY.replace("SHORT", "|".join(_SHORT))
 
     def one(t: Column) -> Column:
-        names = F.create_map(*[F.lit(x) for k, v in html.entities.html5.items() for x in ("&" + k, v)])
+        # A map is searched from its start, so the common names come first.
+        named = sorted(html.entities.html5, key=lambda k: (k.rstrip(";") not in COMMON, k))
+        names = F.create_map(*[F.lit(x) for k in named for x in ("&" + k, html.entities.html5[k])])
         return F.when(~F.startswith(t, F.lit("&")), t).when(F.startswith(t, F.lit("&#")) & (F.length(t) > 2), _numbered(t)).otherwise(F.coalesce(F.try_element_at(names, t), _headed(t)))
 
     def _headed(t: Column) -> Column:

@@ -93,8 +93,9 @@ def with_places(df: DataFrame, by: list[Column], name: str = "place") -> DataFra
     each, tell where a range begins. No task has more than a range.
     """
     number, part, before = fresh(df.columns, "number", "part", "before")
-    # The id has the range in its upper bits and the row within it in the lower 33.
-    ordered = stage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(number, F.monotonically_increasing_id()), "ordered")
+    # Written first, as the ranges are found by a pass of its own over the rows. The id that is given to the rows of a range
+    # has the range in its upper bits and the row within it in the lower 33.
+    ordered = stage(stage(df, "rows").repartitionByRange(*by).sortWithinPartitions(*by).withColumn(number, F.monotonically_increasing_id()), "ordered")
     parts = ordered.withColumn(part, F.shiftright(number, 33))
     # One row for each range.
     sizes = parts.groupBy(part).agg(F.count(F.lit(1)).alias("rows")).withColumn(before, F.coalesce(F.sum("rows").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
