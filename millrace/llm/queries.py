@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bin_completion, block_naming, crf_langid, gif_media, line_runs, rank_sync_counts, secret_ledger, simhash_vptree, tree_bpe, warc
+from millrace.llm import (
+    bin_completion,
+    block_naming,
+    crf_langid,
+    gif_media,
+    line_runs,
+    minhash_lists,
+    rank_sync_counts,
+    secret_ledger,
+    simhash_vptree,
+    spelling_tiles,
+    tree_bpe,
+    turn_repair,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +74,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_lists.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_tiles.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_warc, op3_packing, op4_line_dedup, op5_secrets, op6_gif, op7_exact_dedup, op8_token_counts, op9_bpe, op10_language)
+    for f in (op1_simhash, op2_warc, op3_packing, op4_line_dedup, op5_secrets, op6_gif, op7_exact_dedup, op8_token_counts, op9_bpe, op10_language, op11_minhash, op12_spelling, op13_repair)
 }
 
 ORACLE_SQL = {
