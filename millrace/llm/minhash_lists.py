@@ -4,7 +4,7 @@ A document's set is its distinct 2-word shingles. Documents with equal sets are
 smallest hashes of its set (the whole set, where it is no larger). Two sets at a similarity of 0.8 or more share at least
 ``needed`` values of their sketches: for sets of up to 2 K shingles this is certain, above that it fails for less than one
 link in 10^12 (``needed``). So of each sketch the ``needed - 1`` values that the corpus has most often need no list, and every link is
-met in the list of some other value. How often the corpus has a value is counted in ``CELLS`` cells, whatever its size.
+met in the list of some other value; with ``SHARED`` - 1 lists more, in SHARED lists. How often the corpus has a value is counted in ``CELLS`` cells, whatever its size.
 
 The lists are not turned into all pairs. In each round a list has one pivot, and its members are held against the pivot
 only; sketches of the union estimate a pair's similarity, whole texts decide it, links join components, and a list whose
@@ -34,6 +34,8 @@ LEAST = 80
 K, CELLS = 128, 1 << 20
 #: Of the values that the sketch of a union has, links have at least half in common but for one in 10^12.
 HALF = K // 2
+#: Values that a pair must have in common before its sketches are looked at, and that each sketch has more lists for.
+SHARED = 3
 #: Members of a list whose pairs are made by a join; rows of a block of longer lists.
 SHORT, BLOCK = 64, 1000
 #: Rounds of pivots go on while the lists hold more pairs than this for each of their members.
@@ -128,6 +130,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _often(pairs: DataFrame) -> DataFrame:
+    """The pairs that are met in SHARED lists."""
+    return pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+
+
 def _with(pairs: DataFrame, side: str, values: DataFrame) -> DataFrame:
     """``pairs`` with ``values`` (node, ...) of their ``side``, of which one node may have most."""
     keyed = values.withColumnRenamed("node", side)
@@ -151,7 +158,7 @@ class Lists:
                     if n < 4:  # a different set within 0.8 has at least 4 shingles, and so has this one
                         continue
                     v = sketch.values.to_numpy()
-                    first = v[np.lexsort((v, counts[v % CELLS]))][: len(v) - needed(n) + 1]
+                    first = v[np.lexsort((v, counts[v % CELLS]))][: len(v) - needed(n) + SHARED]
                     node.append(np.full(len(first), k, np.int64))
                     value.append(first)
                 if node:
@@ -199,7 +206,8 @@ class Lists:
         order = F.xxhash64("node", F.lit(turn))
         pivots = stage(rows.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("p"), F.count(F.lit(1)).alias("members")), "pivots")
         met = join_groups(rows.drop("members"), pivots, ["value"], "members", rows.count()).filter("label <> p.label")
-        return met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
+        # Links that meet in fewer pivots are left to the end, where all lists of a pair count.
+        return _often(met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")))
 
     def rest(self, rows: DataFrame) -> DataFrame:
         """All pairs of different components in the lists that can be links by the number of values shared."""
@@ -207,14 +215,14 @@ class Lists:
         other = short.select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
         pairs = short.select("value", F.col("node").alias("a"), "label").join(other, "value").filter("a > b and label <> lb").select("a", "b")
         if long.isEmpty():
-            return pairs.distinct()
+            return _often(pairs)
         blocks = F.ceil(2 * F.col("members") / self.block).cast("int")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dealt = long.withColumn("blocks", F.when(F.col("members") > self.block, blocks).otherwise(1)).withColumn("own", own)
         dealt = dealt.select("value", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         told = dealt.join(self.nodes.select("node", "n", "sketch"), "node")
         cells = told.groupBy("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        return pairs.unionByName(cells.applyInPandas(_share, "a long, b long")).distinct()
+        return _often(pairs.unionByName(cells.applyInPandas(_share, "a long, b long")))
 
     def links(self) -> None:
         rows, before = self.labelled(), None
