@@ -209,20 +209,43 @@ class Lists:
         # Links that meet in fewer pivots are left to the end, where all lists of a pair count.
         return _often(met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")))
 
-    def rest(self, rows: DataFrame) -> DataFrame:
-        """All pairs of different components in the lists that can be links by the number of values shared."""
+    def pools(self, long: DataFrame) -> DataFrame:
+        """What long lists have their pairs compared in, written: one, g, node, label, held (the nodes of one and g).
+
+        The lists of a passage or of a template have mostly the same members, so lists with members in common are one pool,
+        whose nodes meet once. A chain of lists that share few members is no pool: where the squares of its lists are less
+        than its own, they stay lists.
+        """
+        first = stage(long.groupBy("value").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("size")), "first")
+        edges = join_groups(long.drop("members"), first, ["value"], "size", long.count()).select(F.col("node").alias("a"), F.col("p").alias("b"), "value", "label", "size")
+        edges = stage(edges, "pooled")
+        roots = components(edges.select("a", "b"))
+        rows = edges.withColumnRenamed("a", "node").join(roots, "node", "left").withColumn("pool", F.coalesce("root", "node"))
+        rows = stage(rows.select("value", "node", "label", "size", "pool"), "pooled")
+        cost = rows.groupBy("pool").agg(F.sum(F.col("size").cast("double")).alias("lists"), F.count(F.lit(1)).alias("times"))
+        nodes = rows.select("pool", "node").distinct().groupBy("pool").agg(F.count(F.lit(1)).alias("nodes"))
+        cost = stage(cost.join(nodes, "pool"), "pools")
+        chosen = join_groups(rows, cost, ["pool"], "times", rows.count())
+        one = F.col("nodes").cast("double") * F.col("nodes") <= F.col("lists")
+        chosen = chosen.select(one.alias("one"), F.when(one, F.col("pool")).otherwise(F.col("value")).alias("g"), "node", "label").distinct()
+        chosen = stage(chosen, "dealt")
+        sizes = stage(chosen.groupBy("one", "g").agg(F.count(F.lit(1)).alias("held")), "sizes")
+        return stage(join_groups(chosen, sizes, ["one", "g"], "held", chosen.count()), "pools")
+
+    def rest(self, rows: DataFrame, best: bool) -> DataFrame:
+        """All pairs of different components in the lists that can be links by the values shared; ``best``: of long lists
+        only the best pair of each node in each pair of blocks, which joins most of what can be joined."""
         short, long = rows.filter(F.col("members") <= self.short), rows.filter(F.col("members") > self.short)
         other = short.select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = short.select("value", F.col("node").alias("a"), "label").join(other, "value").filter("a > b and label <> lb").select("a", "b")
+        pairs = _often(short.select("value", F.col("node").alias("a"), "label").join(other, "value").filter("a > b and label <> lb").select("a", "b"))
         if long.isEmpty():
-            return _often(pairs)
-        blocks = F.ceil(2 * F.col("members") / self.block).cast("int")
+            return pairs
+        # A pair that has a long list in common is met there, whatever its other lists.
+        dealt = self.pools(long).withColumn("blocks", F.when(F.col("held") > self.block, F.ceil(2 * F.col("held") / self.block)).otherwise(1).cast("int"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = long.withColumn("blocks", F.when(F.col("members") > self.block, blocks).otherwise(1)).withColumn("own", own)
-        dealt = dealt.select("value", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        told = dealt.join(self.nodes.select("node", "n", "sketch"), "node")
-        cells = told.groupBy("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        return _often(pairs.unionByName(cells.applyInPandas(_share, "a long, b long")))
+        told = dealt.join(self.nodes.select("node", "n", "sketch"), "node").select("one", "g", "node", "label", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cells = told.groupBy("one", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        return pairs.unionByName(cells.applyInPandas(_best if best else _share, "a long, b long")).distinct()
 
     def links(self) -> None:
         rows, before = self.labelled(), None
@@ -234,12 +257,14 @@ class Lists:
             before = left
             if self.confirm(self.by_pivot(rows, turn)):
                 rows = self.labelled()
-        if not rows.isEmpty():
-            self.confirm(self.rest(rows))
+        for best in (True, False):
+            if not rows.isEmpty() and self.confirm(self.rest(rows, best)) and best:
+                rows = self.labelled()
 
 
-def _share(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in a pair of blocks (own: which of the two) that share as many values as links do."""
+def _possible(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (places) of different components in a pair of blocks (own: which of the two) that share as many values as
+    links do, and what they share."""
     own, label, node, n = (cell[c].to_numpy() for c in ("own", "label", "node", "n"))
     row = np.repeat(np.arange(len(cell)), [len(s) for s in cell["sketch"]])
     value, of = np.unique(np.concatenate(list(cell["sketch"])), return_inverse=True)
@@ -257,7 +282,22 @@ def _share(cell: pd.DataFrame) -> pd.DataFrame:
     need = np.where(large <= K, least, np.maximum(HALF, K - (large - least)))
     i, j = np.nonzero((shared >= need) & (label[:, None] != label[None, :]) & (node[:, None] > node[None, :]))
     across = (own[i] != own[j]) | (own.min() == own.max())
-    return pd.DataFrame({"a": node[i[across]], "b": node[j[across]]})
+    i, j = i[across], j[across]
+    return i, j, shared[i, j]
+
+
+def _share(cell: pd.DataFrame) -> pd.DataFrame:
+    i, j, _ = _possible(cell)
+    node = cell["node"].to_numpy()
+    return pd.DataFrame({"a": node[i], "b": node[j]})
+
+
+def _best(cell: pd.DataFrame) -> pd.DataFrame:
+    """Of the possible pairs of each node the one that shares most."""
+    i, j, shared = _possible(cell)
+    node, order = cell["node"].to_numpy(), np.argsort(-shared, kind="stable")
+    keep = np.unique(np.r_[order[np.unique(i[order], return_index=True)[1]], order[np.unique(j[order], return_index=True)[1]]])
+    return pd.DataFrame({"a": node[i[keep]], "b": node[j[keep]]})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
