@@ -97,9 +97,13 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))) if columns else df
 
 
+#: All that str.isspace holds of.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:

@@ -369,12 +369,15 @@ def ids_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", posting_id(normalize_url(F.col("url"))).alias("id"))
 
 
-_HTML = r"""WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<![^>]*>|</?[a-z][^>]*>|[^<]+|<') AS t FROM pages),
-    j AS (SELECT page_id, array_to_string(list_transform(t, lambda x: CASE WHEN starts_with(x, '<!') THEN ''
-             WHEN regexp_matches(x, '(?is)^<(script|style)\b') THEN regexp_replace(regexp_replace(x, '(?is)^<[^>]*>', ''), '(?is)</(script|style)\s*>$', '')
-             WHEN regexp_matches(x, '(?is)^</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr)([\s/>].*)?$') THEN chr(10)
-             WHEN regexp_matches(x, '(?is)^</?[a-z]') THEN ''
-             ELSE replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') END), '') AS j FROM t)
+#: Pieces from one "<" to the next; a piece is a tag up to its first ">", or the content of a script or style that is open.
+_HTML = r"""WITH u AS (SELECT page_id, generate_subscripts(a, 1) AS pos, unnest(a) AS x FROM (SELECT page_id, string_split(html, '<') AS a FROM pages)),
+    m AS (SELECT *, lower(regexp_extract(x, '^/?([A-Za-z0-9]*)', 1)) AS name,
+             max(CASE WHEN pos > 1 AND lower(x[1:6]) IN ('script', 'style>', 'style ') THEN pos END) OVER w AS opened, max(CASE WHEN lower(x[1:7]) IN ('/script', '/style>') THEN pos END) OVER w AS closed
+          FROM u WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+    p AS (SELECT page_id, pos, opened IS NOT NULL AND coalesce(closed, 0) < opened AS raw, opened = pos AS begins,
+             CASE WHEN name IN ('p', 'div', 'br', 'li', 'ul', 'ol', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'tr') THEN chr(10) ELSE '' END AS brk, x, substring(x, strpos(x, '>') + 1) AS rest FROM m),
+    j AS (SELECT page_id, string_agg(CASE WHEN raw AND begins THEN rest WHEN raw THEN '<' || x ELSE CASE WHEN pos = 1 THEN '' ELSE brk END ||
+             replace(replace(replace(replace(CASE WHEN pos = 1 THEN x ELSE rest END, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') END, '' ORDER BY pos) AS j FROM p GROUP BY page_id)
     SELECT page_id, array_to_string(list_filter(list_transform(string_split(j, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS text FROM j"""
 
 
@@ -383,6 +386,17 @@ def text_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
+@_query(_HTML, "strip_html_hard")
+def text_of_hard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with signs in quoted values, declarations and comments of all sorts and empty end tags put in: the text is
+    that of the plain pages."""
+    html = F.col("html")
+    for plain, hard in {"<li>": "<li title='1>0' a=\"</p>\">", "<p>": "<?x <p?><p data-x='<!--' >", "<br>": "<br a=b/c /><!-- <p>&amp; --- -- >", "<article>": "<![CDATA[ > ]]><article/>"}.items():
+        html = F.replace(html, F.lit(plain), F.lit(hard))
+    html = F.replace(html, F.lit("</a>"), F.lit('</><!x y="z"></a href>'))
+    return table(spark, sf_dir, "pages").select("page_id", strip_html(html).alias("text"))
+
+
 @_query(_HTML, "strip_html_exact")
 def exact_text_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", strip_html_exact(F.col("html")).alias("text"))

@@ -151,6 +151,85 @@ def test_html(spark):
         assert isinstance(python_strip_html(broken), str)
 
 
+PARTS = [
+    "<p>", "</p>", "<p title='a>b'>", '<a href="x>y">', "<br/>", "<br />", "</div>", "<script>", "</script>", "<script src=x/>", "<script/>", "</ script >", "<SCRIPT a='>'>", "<style>", "</style>", "<!--", "-->",
+    "-- >", "--!>", "<?php ", "?>", "<!doctype html>", "<!x", "</>", "</ p>", "</p x='>'>", "<", "< ", ">", "a", "b&amp;c", "&lt", "&copy;", "&#65;", "&#x80;", "&nosuch;", "&ampx", "\n", " ", "\xa0", "é", "'", '"', "=", "<a b=",
+    "<a b='", '<a b="', '<a b=="c>', "<a b= 'c>", "/>", "<![CDATA[", "]]>", "<![if x]>", "<![endif]>", "]>", "<h1/", "<tr\n>", "<li\x0b>", "<lix>", "</tr/>", "\u2028", "\x1c", "-", "--", "if(a<b){}", "</", "<!", "<?",
+    "<p", "<b a/b='c'/d>", "<b /=x>", "<div>", "<div class=box>", "<DIV Class='a box b'>", '<div class="x>y box">', "<div class='no' class=box>", "<div class=box class=no>", "<div class='bo&#120;'>", "</ div >", "</DIV x>",
+    "<div class=box/>", "<div\nclass\n=\nbox\n>", "<div class=boxes>",
+]
+
+
+def markup(seed, many):
+    import random
+
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 14))) for _ in range(many)]
+
+
+def test_html_is_what_a_parser_gives(spark):
+    texts, want = [], []
+    for t in markup(11, 3000):
+        try:  # the parser stops at marked sections of unknown names
+            want.append(python_strip_html(t))
+            texts.append(t)
+        except AssertionError:
+            pass
+    assert len(texts) > 2500
+    assert apply(spark, texts, strip_html(F.col("a"))) == want
+
+
+def test_containers_are_what_a_parser_gives(spark):
+    from html.parser import HTMLParser
+
+    class Within(HTMLParser):
+        depth, out = 0, ()
+
+        def keep(self, text):
+            if self.depth:
+                self.out += (text,)
+
+        def handle_starttag(self, tag, attrs):
+            self.keep(self.get_starttag_text())
+            if tag == "div" and (self.depth or "box" in (dict(attrs).get("class") or "").split()):
+                self.depth += 1
+
+        def handle_startendtag(self, tag, attrs):
+            self.keep(self.get_starttag_text())
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "div" and self.depth > 0
+            self.keep(f"</{tag}>")
+
+        handle_data = keep
+
+    texts, want = [], []
+    for t in markup(12, 3000):
+        parser = Within()
+        try:
+            parser.feed(t)
+            parser.close()
+        except AssertionError:
+            continue
+        texts.append(t)
+        want.append("".join(parser.out) or None)
+    assert sum(w is not None for w in want) > 500
+    assert apply(spark, texts, container_html(F.col("a"), "box")) == want
+
+
+def test_html_takes_time_in_proportion(spark):
+    """What has no end is not looked for again and again; 10 MB of the first case in seconds."""
+    import time
+
+    texts = ["<!-- a " * 200_000, "<script>" * 200_000, "</a " * 200_000, "<a " * 200_000, '<a b=" ' * 200_000, "<![CDATA[" * 200_000, "a" + " " * 300_000 + "b", "<div>" * 200_000, "<" * 200_000, "<!-- a <![CDATA[ <script " * 50_000, "<!-- a " * 1_400_000]
+    began = time.perf_counter()
+    got = apply(spark, texts, F.length(strip_html(F.col("a"))))
+    assert got[0] == len(texts[0]) - 1 and got[1] == 0 and got[7] == 0 and got[-1] == len(texts[-1]) - 1
+    nested = ["<div class=box>" + "<div>" * 50_000 + "</div>" * 50_000, "<div class=box>a</div>" * 50_000]
+    assert apply(spark, nested, F.length(container_html(F.col("a"), "box"))) == [550_000, 50_000]
+    assert time.perf_counter() - began < 90
+
+
 def test_container(spark):
     pages = {
         "<div>top</div><div id='q' class=\"x box\">1<div>2</div><hr/>3</div><div>end</div>": "1<div>2</div><hr/>3",
