@@ -9,9 +9,9 @@ met in the list of some other value; with ``SHARED`` - 1 lists more, in SHARED l
 The lists are not turned into all pairs. In each round a list has one pivot, and its members are held against the pivot
 only; sketches of the union estimate a pair's similarity, whole texts decide it, links join components, and a list whose
 members are in one component is done. When few pairs of different components are left in the lists, or rounds bring
-nothing more, all of these pairs are gone through: those of short lists by a join, those of long ones block by block, each
-pair of blocks a task that returns only pairs that share enough of their sketches. No pair is left out, so the components
-are those of all links.
+nothing more, all of these pairs are gone through (``Lists.rest``): groups whose lists have the same members again and
+again meet once, block by block, each pair of blocks a task that returns a forest of their links. No pair is left out, so
+the components are those of all links.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -37,7 +38,9 @@ HALF = K // 2
 #: Values that a pair must have in common before its sketches are looked at, and that each sketch has more lists for.
 SHARED = 3
 #: Members of a list whose pairs are made by a join; rows of a block of longer lists.
-SHORT, BLOCK = 64, 1000
+SHORT, BLOCK, BLOCK_BYTES = 64, 1000, 1 << 25
+#: A pool meets as a whole if its nodes squared are at most so many times its pairs.
+DENSE = 8
 #: Rounds of pivots go on while the lists hold more pairs than this for each of their members.
 FEW, ROUNDS = 4, 8
 #: Words whose hashes a task keeps.
@@ -79,13 +82,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in parts(b):
             n, digest, sketch = [], [], []
+            sizes = pc.binary_length(part.column("text")).cast(pa.int64())
             for text in part.column("text").to_pylist():
                 w = words(text)
                 found = _hashed(w, known)
                 n.append(len(set(zip(w, w[1:], strict=False))) if len(w) > 1 else len(w))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sketch.append(found[:K].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["id", "th", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), sizes, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["id", "th", "bytes", "n", "digest", "sketch"])
 
 
 def needed(n: int) -> int:
@@ -174,17 +178,22 @@ class Lists:
         """The rows of ``members`` in ``lists`` (value, members), written, with their list's columns."""
         return stage(join_groups(members, lists, ["value"], "members", members.count()), "members")
 
+    def texts(self, asked: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in ``asked`` (node, once each), written: of one row of each node."""
+        rows = self.nodes.join(asked, "node").select("node", "rep.*")
+        texts = self.docs.select(F.col("id").alias("i"), F.col("th").alias("t"), "text").join(rows, F.col("i").eqNullSafe(F.col("id")) & (F.col("t") == F.col("th")))
+        return stage(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+
     def confirm(self, pairs: DataFrame) -> bool:
         """Add to the edges those of ``pairs`` (a, b) that are links; whether there are any."""
         pairs = stage(pairs, "pairs")
         sketch = lambda s: self.nodes.select("node", F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
         likely = stage(_with(stage(_with(pairs, "a", sketch("a")), "with_a"), "b", sketch("b")).mapInArrow(_estimate, "a long, b long"), "likely")
-        asked = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        rows = self.nodes.join(asked, "node").select("node", "rep.*")
-        texts = self.docs.select(F.col("id").alias("i"), F.col("th").alias("t"), "text").join(rows, F.col("i").eqNullSafe(F.col("id")) & (F.col("t") == F.col("th")))
-        texts = stage(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+        texts = self.texts(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct())
         text = lambda s: texts.select("node", F.col("text").alias(f"t{s}"))
-        links = stage(_with(_with(likely, "b", text("b")), "a", text("a")).mapInArrow(_verify, "a long, b long"), "links")
+        return self.join(stage(_with(_with(likely, "b", text("b")), "a", text("a")).mapInArrow(_verify, "a long, b long"), "links"))
+
+    def join(self, links: DataFrame) -> bool:
         if links.isEmpty():
             return False
         self.edges = links if self.edges is None else self.edges.unionByName(links)
@@ -209,43 +218,43 @@ class Lists:
         # Links that meet in fewer pivots are left to the end, where all lists of a pair count.
         return _often(met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")))
 
-    def pools(self, long: DataFrame) -> DataFrame:
-        """What long lists have their pairs compared in, written: one, g, node, label, held (the nodes of one and g).
+    def rest(self, rows: DataFrame) -> None:
+        """Go through all pairs of different components in the lists.
 
-        The lists of a passage or of a template have mostly the same members, so lists with members in common are one pool,
-        whose nodes meet once. A chain of lists that share few members is no pool: where the squares of its lists are less
-        than its own, they stay lists.
+        Pairs that short lists have often enough, and the members of each long list, are edges; what they connect is a pool,
+        mostly a template, a passage or a group of near copies, whose lists have the same members again and again. The nodes
+        of a pool meet once, with their whole texts, block by block. A pool that has few pairs for its nodes is no such
+        group: its pairs are held against each other one by one, and its long lists are taken each for itself.
         """
-        first = stage(long.groupBy("value").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("size")), "first")
-        edges = join_groups(long.drop("members"), first, ["value"], "size", long.count()).select(F.col("node").alias("a"), F.col("p").alias("b"), "value", "label", "size")
-        edges = stage(edges, "pooled")
-        roots = components(edges.select("a", "b"))
-        rows = edges.withColumnRenamed("a", "node").join(roots, "node", "left").withColumn("pool", F.coalesce("root", "node"))
-        rows = stage(rows.select("value", "node", "label", "size", "pool"), "pooled")
-        cost = rows.groupBy("pool").agg(F.sum(F.col("size").cast("double")).alias("lists"), F.count(F.lit(1)).alias("times"))
-        nodes = rows.select("pool", "node").distinct().groupBy("pool").agg(F.count(F.lit(1)).alias("nodes"))
-        cost = stage(cost.join(nodes, "pool"), "pools")
-        chosen = join_groups(rows, cost, ["pool"], "times", rows.count())
-        one = F.col("nodes").cast("double") * F.col("nodes") <= F.col("lists")
-        chosen = chosen.select(one.alias("one"), F.when(one, F.col("pool")).otherwise(F.col("value")).alias("g"), "node", "label").distinct()
-        chosen = stage(chosen, "dealt")
-        sizes = stage(chosen.groupBy("one", "g").agg(F.count(F.lit(1)).alias("held")), "sizes")
-        return stage(join_groups(chosen, sizes, ["one", "g"], "held", chosen.count()), "pools")
-
-    def rest(self, rows: DataFrame, best: bool) -> DataFrame:
-        """All pairs of different components in the lists that can be links by the values shared; ``best``: of long lists
-        only the best pair of each node in each pair of blocks, which joins most of what can be joined."""
         short, long = rows.filter(F.col("members") <= self.short), rows.filter(F.col("members") > self.short)
         other = short.select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = _often(short.select("value", F.col("node").alias("a"), "label").join(other, "value").filter("a > b and label <> lb").select("a", "b"))
-        if long.isEmpty():
-            return pairs
-        # A pair that has a long list in common is met there, whatever its other lists.
-        dealt = self.pools(long).withColumn("blocks", F.when(F.col("held") > self.block, F.ceil(2 * F.col("held") / self.block)).otherwise(1).cast("int"))
+        pairs = stage(_often(short.select("value", F.col("node").alias("a"), "label").join(other, "value").filter("a > b and label <> lb").select("a", "b")), "short")
+        first = stage(long.groupBy("value").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("size")), "first")
+        long = stage(join_groups(long.select("value", "node"), first, ["value"], "size", long.count()), "long")
+        roots = stage(components(pairs.unionByName(long.select(F.col("node").alias("a"), F.col("p").alias("b")))), "pools")
+        pairs, long = _with(pairs, "a", roots), long.join(roots, "node")
+        held = pairs.groupBy("root").agg(F.count(F.lit(1)).cast("double").alias("c")).unionByName(long.groupBy("root").agg(F.sum(F.col("size").cast("double")).alias("c")))
+        cost = held.groupBy("root").agg(F.sum("c").alias("c")).join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")), "root")
+        cost = stage(cost.select("root", "nodes", (F.col("nodes").cast("double") * F.col("nodes") <= DENSE * F.col("c")).alias("one")), "cost")
+        total = roots.count()
+        chosen = lambda df, n: join_groups(df, cost, ["root"], "nodes", n)
+        met = chosen(roots, total).filter("one").select("one", F.col("root").alias("g"), "node")
+        met = met.unionByName(chosen(long, total).filter("not one").select("one", F.col("value").alias("g"), "node"))
+        sizes = self.nodes.select("node", "n", "bytes")
+        met = stage((met if self.edges is None else met.join(self.roots.withColumnRenamed("root", "label"), "node", "left")).join(sizes, "node"), "met")
+        label = F.col("node") if self.edges is None else F.coalesce("label", "node")
+        groups = stage(met.groupBy("one", "g").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("all")), "groups")
+        blocks = F.greatest(F.ceil(2 * F.col("held") / self.block), F.ceil(2 * F.col("all") / BLOCK_BYTES))
+        dealt = join_groups(met.withColumn("label", label), groups, ["one", "g"], "held", met.count())
+        dealt = dealt.withColumn("blocks", F.when((F.col("held") > self.block) | (F.col("all") > BLOCK_BYTES), blocks).otherwise(1).cast("int"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        told = dealt.join(self.nodes.select("node", "n", "sketch"), "node").select("one", "g", "node", "label", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        told = dealt.join(self.texts(met.select("node").distinct()), "node").select("one", "g", "node", "label", "n", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         cells = told.groupBy("one", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        return pairs.unionByName(cells.applyInPandas(_best if best else _share, "a long, b long")).distinct()
+        found = stage(cells.applyInPandas(_linked, "a long, b long"), "found")
+        single = stage(chosen(pairs, total).filter("not one").select("a", "b"), "single")
+        self.join(found)
+        if not single.isEmpty():
+            self.confirm(single)
 
     def links(self) -> None:
         rows, before = self.labelled(), None
@@ -257,47 +266,60 @@ class Lists:
             before = left
             if self.confirm(self.by_pivot(rows, turn)):
                 rows = self.labelled()
-        for best in (True, False):
-            if not rows.isEmpty() and self.confirm(self.rest(rows, best)) and best:
-                rows = self.labelled()
+        if not rows.isEmpty():
+            self.rest(rows)
 
 
-def _possible(cell: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (places) of different components in a pair of blocks (own: which of the two) that share as many values as
-    links do, and what they share."""
-    own, label, node, n = (cell[c].to_numpy() for c in ("own", "label", "node", "n"))
-    row = np.repeat(np.arange(len(cell)), [len(s) for s in cell["sketch"]])
-    value, of = np.unique(np.concatenate(list(cell["sketch"])), return_inverse=True)
+def _possible(sets: list[np.ndarray], n: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i > j that differ and whose sketches share as many values as those of links do; those that share most first."""
+    row = np.repeat(np.arange(len(sets)), [min(K, len(s)) for s in sets])
+    value, of = np.unique(np.concatenate([s[:K] for s in sets]), return_inverse=True)
     often = np.bincount(of, minlength=len(value)) > 1
     row, of = row[often[of]], (np.cumsum(often) - 1)[of[often[of]]]
-    shared = np.zeros((len(cell), len(cell)), np.float32)
+    shared = np.zeros((len(sets), len(sets)), np.float32)
     for begin in range(0, int(often.sum()), 4096):  # columns of the incidence at once
         part = (of >= begin) & (of < begin + 4096)
-        held = np.zeros((len(cell), 4096), np.float32)
+        held = np.zeros((len(sets), 4096), np.float32)
         held[row[part], of[part] - begin] = 1
         shared += held @ held.T
     both, large = n[:, None] + n[None, :], np.maximum(n[:, None], n[None, :])
     # The intersection of a link has this many elements at least; the larger set's others may be missing.
     least = -(-LEAST * both // (100 + LEAST))
     need = np.where(large <= K, least, np.maximum(HALF, K - (large - least)))
-    i, j = np.nonzero((shared >= need) & (label[:, None] != label[None, :]) & (node[:, None] > node[None, :]))
-    across = (own[i] != own[j]) | (own.min() == own.max())
-    i, j = i[across], j[across]
-    return i, j, shared[i, j]
+    i, j = np.nonzero(np.tril((shared >= need) & differ & (large * LEAST <= 100 * np.minimum(n[:, None], n[None, :])), -1))
+    order = np.argsort(-shared[i, j] / np.minimum(K, large[i, j]), kind="stable")
+    return i[order], j[order]
 
 
-def _share(cell: pd.DataFrame) -> pd.DataFrame:
-    i, j, _ = _possible(cell)
-    node = cell["node"].to_numpy()
-    return pd.DataFrame({"a": node[i], "b": node[j]})
-
-
-def _best(cell: pd.DataFrame) -> pd.DataFrame:
-    """Of the possible pairs of each node the one that shares most."""
-    i, j, shared = _possible(cell)
-    node, order = cell["node"].to_numpy(), np.argsort(-shared, kind="stable")
-    keep = np.unique(np.r_[order[np.unique(i[order], return_index=True)[1]], order[np.unique(j[order], return_index=True)[1]]])
-    return pd.DataFrame({"a": node[i[keep]], "b": node[j[keep]]})
+def _linked(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the rows of a pair of blocks (own: which of the two) as all of their links would: a pair is looked at
+    if it is of different components, and only while nothing has joined them."""
+    own, label, node, n = (cell[c].to_numpy() for c in ("own", "label", "node", "n"))
+    known, split = _Hashes(), [words(t) for t in cell["text"]]
+    sets = [_hashed(w, known) for w in split]
+    across = (own[:, None] != own[None, :]) | (own.min() == own.max())
+    root = {x: x for x in label.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*map(np.ndarray.tolist, _possible(sets, n, across & (label[:, None] != label[None, :]))), strict=True):
+        a, b = find(label[i]), find(label[j])
+        if a == b:
+            continue
+        shared = len(sets[i]) + len(sets[j]) - len(np.union1d(sets[i], sets[j]))
+        whole = len(sets[i]) == n[i] and len(sets[j]) == n[j]
+        if whole and 100 * shared < LEAST * (n[i] + n[j] - shared):
+            continue
+        # Hashes can only say more than is shared: what they find, and sets with hashes that fell together, is looked up.
+        left, right = (set(zip(w, w[1:], strict=False)) if len(w) > 1 else set(w) for w in (split[i], split[j]))
+        if 100 * len(left & right) >= LEAST * len(left | right):
+            root[a] = b
+            out.append((max(node[i], node[j]), min(node[i], node[j])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
@@ -311,9 +333,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     source = docs.select(F.col(id_col).cast("long").alias("id"), th.alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = stage(source.mapInArrow(_sketches, "id long, th long, n long, digest binary, sketch array<long>"), "sets")
+    own = stage(source.mapInArrow(_sketches, "id long, th long, bytes long, n long, digest binary, sketch array<long>"), "sets")
     some = own.filter("n > 0")
-    first = some.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th")).alias("rep"), F.min_by(F.struct("n", "sketch"), F.struct("id", "th")).alias("x"))
+    first = some.groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th")).alias("rep"), F.min_by(F.struct("n", "bytes", "sketch"), F.struct("id", "th")).alias("x"))
     nodes = stage(first.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "copies", "rep", "x.*"), "nodes")
     lists = Lists(source, nodes, short, block)
     lists.links()
