@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,18 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_counted(df: DataFrame, path: str, **metrics: Column) -> dict[str, Any]:
+    """Write ``df`` as Parquet and return aggregates of its rows that are collected with the write, in the same pass."""
+    seen = Observation(uuid.uuid4().hex)
+    named = [v.alias(k) for k, v in metrics.items()]
+    df.observe(seen, *named).write.parquet(path)
+    return seen.get
+
+
+def stage_counted(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """As ``stage``, with aggregates of the rows from the same pass."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    found = write_counted(df, path, **metrics)
+    return spark.read.schema(df.schema).parquet(path), found

@@ -10,7 +10,8 @@ from millrace.functions.urls import normalize_url, posting_id
 from millrace.operators import filters
 from millrace.operators.filters import Scope, applied_at, order, resolve, resolve_languages, with_places
 from millrace.operators.runs import backfill_ids, limit_kept, within_budget
-from millrace.plans.store import PostingStore, Store, StoreError, StoreUnreachable, open_store, register_store, store_names
+from millrace.plans import store as stores
+from millrace.plans.store import PostingStore, Store, StoreConflict, StoreError, StoreUnreachable, open_store, register_store, store_names
 
 NOW = dt.datetime(2026, 1, 2, 3, 4, 5)
 
@@ -130,6 +131,67 @@ def test_two_writers(spark, store):
     assert store.count() == 1
 
 
+def test_a_change_between_reading_and_writing(spark, store, monkeypatch):
+    """The second writer has read rows that are no longer the latest: it fails, or is made again from those that are."""
+    store.save(make(spark, [("https://h/1", "t", {}), ("https://h/2", "u", {})]))
+    score = make(spark, [("https://h/1", "x", {"score": 40, "summary": "s"})])
+    for tries in (1, 3):
+        first, other = PostingStore(spark, store.path, tries), PostingStore(spark, store.path)
+        add, status = first._add, ["applied", "closed"][tries > 1]
+
+        def late(*args, **kwargs):
+            if not late.done:  # another change comes first, once
+                late.done = other.update_status("https://h/1", status)
+            return add(*args, **kwargs)
+
+        late.done = False
+        monkeypatch.setattr(first, "_add", late)
+        if tries == 1:
+            with pytest.raises(StoreConflict):
+                first.update_scores(score)
+            assert store.get("https://h/1").first()["score"] is None
+        else:
+            assert first.update_scores(score) == 1
+            assert store.get("https://h/1").first()["score"] == 40
+        assert store.get("https://h/1").first()["status"] == status
+    # An insert that was overtaken inserts nothing twice.
+    rows = make(spark, [("https://h/3", "v", {}), ("https://h/4", "w", {})])
+    first = PostingStore(spark, store.path)
+    add, done = first._add, []
+    monkeypatch.setattr(first, "_add", lambda *a, **k: (done or done.append(store.save(rows.limit(1))), add(*a, **k))[1])
+    assert first.save(rows) == 1 and store.count() == 4
+
+
+def test_an_insert_reads_batches_that_may_hold_its_keys(spark, store):
+    for k in range(6):
+        store.save(make(spark, [(f"https://h/{k}/{n}", "t", {}) for n in range(40)]))
+    store.update_status("https://h/2/7", "applied")
+    names = store._batches()
+    wanted = make(spark, [("https://h/2/7", "t", {}), ("https://h/2/8", "t", {}), ("https://new/1", "t", {}), ("https://h/4/1", "t", {})])
+    read = store.may_hold(wanted, names)
+    assert {names[2], names[4]} <= set(read) and len(read) <= 3  # a filter may err, rarely
+    files = store._rows(names=read).select("url", "id").inputFiles()
+    assert {f.split("/")[-2] for f in files} == set(read)
+    assert len(store.may_hold(make(spark, [(f"https://other/{n}", "t", {}) for n in range(30)]), names)) <= 2
+    assert store.save(wanted) == 1 and store.count() == 241
+    store._fs.delete(store._at("format=4", names[0], "_keys"), True)
+    assert names[0] in store.may_hold(wanted, names)  # a batch without a filter is read
+
+
+def test_no_posting_is_shuffled(spark, store, monkeypatch):
+    store.save(make(spark, [(f"https://h/{k}", "t", {}) for k in range(20)]))
+    store.update_scores(make(spark, [(f"https://h/{k}", "t", {"score": k}) for k in range(5)]))
+    store.update_scores(make(spark, [(f"https://h/{k}", "t", {"score": 9}) for k in range(2)]))
+    plan = store.rows()._jdf.queryExecution().executedPlan().toString()
+    # Only urls and batches are exchanged.
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert sorted(r["score"] for r in store.rows().collect() if r["score"] is not None) == [2, 3, 4, 9, 9]
+    monkeypatch.setattr(stores, "EDITS", 8)
+    store.update_scores(make(spark, [("https://h/19", "t", {"score": 1}), ("https://h/18", "t", {"score": 1})]))
+    assert [n.split("-")[1] for n in store._batches()] == ["all"]  # above the bound, so compacted
+    assert sorted(r["score"] for r in store.rows().collect() if r["score"] is not None) == [1, 1, 2, 3, 4, 9, 9]
+
+
 def test_compaction(spark, store):
     store.save(make(spark, [(f"https://h/{k}", "t", {}) for k in range(4)]))
     for k in range(3):
