@@ -386,10 +386,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, salt_r
     # At most capacity rows, whatever the number of documents.
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     keys, sequences, offsets = _slots(bin_completion(histogram, capacity))
-    many = F.lit(salts)
-    for length, n in sorted(histogram.items()):
-        if n > salts * salt_rows:
-            many = F.when(F.col("length") == length, -(-n // salt_rows)).otherwise(many)
+    # The salts of each length, as one literal: any number of lengths may be busy.
+    numbers = ",".join(str(max(salts, -(-histogram.get(k, 0) // salt_rows))) for k in range(1, capacity + 1))
+    many = F.get(F.split(F.lit(numbers), ","), F.col("length").cast("int") - 1).cast("int")
     salted = pieces.withColumn(salt_at, F.pmod(F.xxhash64(number), many).cast("int"))
     # At most capacity * salts rows, and one for each salt_rows pieces.
     table = salted.groupBy("length", F.col(salt_at).alias("salt")).count().orderBy("length", "salt").collect()

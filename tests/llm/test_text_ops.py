@@ -458,3 +458,11 @@ def test_language(spark):
     assert other.columns == ["doc_id", "body", "lang", "a`b.c", "id", "text", "lang_pred", "score"]
     assert [tuple(r)[3:6] for r in other.limit(3).collect()] == [(1, 2, "kept")] * 3
     assert {r["doc_id"]: r["lang_pred"] for r in other.collect()} == {k: r["lang_pred"] for k, r in got.items()}
+
+
+def test_pack_with_every_length_busy(spark, monkeypatch):
+    """More pieces than one salt takes of each of 1,024 lengths, with a trivial packing in place of the search."""
+    monkeypatch.setattr(bin_completion, "bin_completion", lambda histogram, capacity: [(((s, 1),), n) for s, n in histogram.items()])
+    pieces = spark.range(3 * 1024).select((F.col("id") % 1024 + 1).alias("length"))
+    got = bin_completion.pack(pieces, salts=1, salt_rows=2).collect()
+    assert len({r["sequence_id"] for r in got}) == len(got) == 3072 and {r["offset"] for r in got} == {0}
