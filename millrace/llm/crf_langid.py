@@ -10,8 +10,8 @@ A text is one chain, however long. It is worked on in blocks of ``BLOCK`` words:
 tells what a message from before the block is after it, so messages pass from block to block first, and then all words of
 all blocks follow at once. That is the forward-backward of the whole chain, without approximation.
 
-The model is fitted on the driver on a bounded sample of rows: of each of the ``LANGUAGES`` most frequent labels at most
-``PER_LANGUAGE`` labelled documents, drawn by a hash of their id, each as a whole.
+The model is fitted on the driver on a bounded sample of rows: of each label at most ``PER_LANGUAGE`` labelled documents, and
+fewer of each (one at least) where all would be more than ``ROWS``, drawn by a hash of their id, each as a whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from millrace.llm.support import columns, parts
 
-LANGUAGES, PER_LANGUAGE, BLOCK = 100, 100, 32
+ROWS, PER_LANGUAGE, BLOCK = 10_000, 100, 32
 #: Of one step of the fit: about BATCH words, in whole texts.
 SLOTS, LEXICON, EPOCHS, BATCH, RATE, PENALTY = 1 << 17, 200, 3, 2048, 0.3, 1e-5
 #: Words and characters whose emissions a task keeps.
@@ -329,22 +329,23 @@ def is_held_out(id_column):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageField:
-    """Fit on a bounded sample of the labelled documents of ``docs`` that are not held out: of the LANGUAGES most frequent
-    labels at most PER_LANGUAGE rows each, whole texts."""
+    """Fit on a bounded sample of the labelled documents of ``docs`` that are not held out: of each label at most PER_LANGUAGE
+    rows, and no more than its share of ROWS but for one, whole texts. Every label is learned."""
     own = columns([id_col, text_col, lang_col])
     rows = docs.select(own[0].alias("id"), own[1].alias("text"), own[2].alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~is_held_out(F.col("id")))
-    # At most LANGUAGES rows.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    # One row a label.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not counts:
         return LanguageField([], {}, np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * PER_LANGUAGE / n))])
-    # About twice as many are drawn as are taken; the rank is filtered, so each task sends at most PER_LANGUAGE of a label on.
+    each = max(1, min(PER_LANGUAGE, ROWS // len(counts)))
+    # A few times as many are drawn as are taken; the rank is filtered, so each task sends at most ``each`` of a label on.
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * max(each, 20) / n))])
     drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 62)) < share[F.col("lang")] * float(1 << 62))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text")))
-    taken = drawn.withColumn("place", place).filter(F.col("place") <= PER_LANGUAGE)
+    taken = drawn.withColumn("place", place).filter(F.col("place") <= each)
     out: dict[str, list[list[str]]] = {k: [] for k in counts}
-    # At most LANGUAGES * PER_LANGUAGE rows.
+    # At most ROWS rows, or one a label.
     for r in sorted(taken.select("lang", "place", "text").collect()):
         out[r["lang"]].append(r["text"].split())
     return fit(out)
