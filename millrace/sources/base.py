@@ -20,6 +20,8 @@ from millrace import schema
 from millrace.functions.language import detect_language
 from millrace.functions.urls import normalize_url, posting_id
 from millrace.operators.scoring import content
+from millrace.scratch import stage
+from millrace.sources.http import fetch_pages, http_get
 
 
 class SourceError(RuntimeError):
@@ -117,17 +119,25 @@ class Source(ABC):
         self.errors = []
         return finish(self.normalize(self.raw(spark)), self.name)
 
-    def pages(self, urls: dict[str, str]) -> dict[str, str]:
-        """The body of each unit's page; a unit without one goes to ``errors``."""
-        if self.fetcher is None:
-            raise SourceConfigError(f"source {self.name} has no transport")
-        out = {}
-        for unit, url in urls.items():
-            try:
-                out[unit] = self.fetcher.get(url)
-            except SourceError as e:
-                self.errors.append(f"{unit}: {e}")
-        return out
+    def pages(self, spark: SparkSession, urls: dict[str, str]) -> DataFrame:
+        """(unit, body) of each unit's page; a unit without one goes to ``errors``. Tasks fetch them, each host at the policy's
+        pace; a fetcher that was passed in, which may hold anything, is asked here, unit by unit."""
+        if self.fetcher is not None:
+            out = {}
+            for unit, url in urls.items():
+                try:
+                    out[unit] = self.fetcher.get(url)
+                except SourceError as e:
+                    self.errors.append(f"{unit}: {e}")
+            return spark.createDataFrame(list(out.items()), "unit string, body string")
+        found = self.fetched(spark.createDataFrame(list(urls.items()), "unit string, url string"))
+        self.errors += broken_units(found.filter("error IS NOT NULL").select("unit", "error"), F.col("error"))
+        return found.filter("error IS NULL").select("unit", "body")
+
+    def fetched(self, urls: DataFrame) -> DataFrame:
+        """fetch_pages by this source's policy, written: each url is asked once."""
+        policy = self.policy
+        return stage(fetch_pages(urls, lambda: Fetcher(http_get, policy)), "fetched")
 
 
 def finish(items: DataFrame, source: str) -> DataFrame:
@@ -152,11 +162,12 @@ def finish(items: DataFrame, source: str) -> DataFrame:
 NAMED = 20
 
 
-def broken_units(units: DataFrame, said: str) -> list[str]:
-    """An error for each of the first NAMED of ``units`` (unit), and one for all others together."""
+def broken_units(units: DataFrame, said: str | Column) -> list[str]:
+    """An error for each of the first NAMED of ``units`` (unit, and what ``said`` is made of), and one for all others."""
     many = units.count()
-    named = [f"{r['unit']}: {said}" for r in units.orderBy("unit").limit(NAMED).collect()] if many else []
-    return named + ([f"{many - NAMED} more units: {said}"] if many > NAMED else [])
+    text = F.lit(said) if isinstance(said, str) else said
+    named = [f"{r['unit']}: {r['said']}" for r in units.select("unit", text.alias("said")).orderBy("unit", "said").limit(NAMED).collect()] if many else []
+    return named + ([f"{many - NAMED} more units" + (f": {said}" if isinstance(said, str) else "")] if many > NAMED else [])
 
 
 def errors_of(checks: list[tuple[Column, str, str | Column]]) -> tuple[Column, Column]:

@@ -1,7 +1,6 @@
 """Boards that answer with JSON: {"jobs": [{absolute_url, title, updated_at, location: {name}, content}, ...]}.
 
-Boards are read from files (``path``, a folder that Spark reads with one file ``<company>.json`` a board) or, with a
-transport, by request. ``content`` is HTML that is escaped once more.
+Boards are read from files (``path``, a folder that Spark reads with one file ``<company>.json`` a board) or by request. ``content`` is HTML that is escaped once more.
 """
 
 from __future__ import annotations
@@ -36,8 +35,7 @@ class JsonBoard(Source):
             files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1).alias("unit"), F.col("value").alias("body"))
             wanted = self.block.get("companies")
             return files.filter(F.col("unit").isin(*wanted)) if wanted else files
-        pages = self.pages({c: self.block["url"].format(company=c) for c in self.block["companies"]})
-        return spark.createDataFrame(list(pages.items()), "unit string, body string")
+        return self.pages(spark, {c: self.block["url"].format(company=c) for c in self.block["companies"]})
 
     def raw(self, spark: SparkSession) -> DataFrame:
         boards = self.bodies(spark).withColumn("board", F.from_json("body", BOARD))

@@ -1,7 +1,8 @@
 """Feeds in RSS: items with title (``Company: Title``), link, pubDate, description, region.
 
-Feeds are read from files (``path``, a folder with one file ``<feed>.xml`` a feed) or, with a transport, by request. A
-table of detail pages (link, html) may replace the summaries of a feed by the whole description.
+Feeds are read from files (``path``, a folder with one file ``<feed>.xml`` a feed) or by request. A table of detail pages
+(link, html), or the pages that the links lead to (``fetch_full_description``), may replace the summaries of a feed by the
+whole description; where there is none, the summary stays.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def feed_url(feed: Column, main: str, category: str) -> Column:
 
 @register_source("rss_feed")
 class RssFeed(Source):
-    options = ("feeds", "max_postings_per_feed", "path", "url", "category_url", "details", "container")
+    options = ("feeds", "max_postings_per_feed", "path", "url", "category_url", "details", "container", "fetch_full_description")
 
     def __init__(self, block, fetcher=None):
         super().__init__(block, fetcher)
@@ -41,8 +42,7 @@ class RssFeed(Source):
             files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.xml)?$", 1).alias("unit"), F.col("value").alias("body"))
             return files.filter(F.col("unit").isin(*self.block["feeds"])) if self.block.get("feeds") else files
         main, category = self.block["url"], self.block.get("category_url", "")
-        pages = self.pages({f: main if f == MAIN_FEED else category % f for f in self.feeds})
-        return spark.createDataFrame(list(pages.items()), "unit string, body string")
+        return self.pages(spark, {f: main if f == MAIN_FEED else category % f for f in self.feeds})
 
     def raw(self, spark: SparkSession) -> DataFrame:
         feeds = self.bodies(spark).withColumn("feed", F.from_xml("body", FEED))
@@ -51,6 +51,9 @@ class RssFeed(Source):
 
     def normalize(self, raw: DataFrame) -> DataFrame:
         details = self.block.get("details")
+        if details is None and self.block.get("fetch_full_description"):
+            links = raw.filter("link <> ''").select(F.col("link").alias("unit"), F.col("link").alias("url")).distinct()
+            details = self.fetched(links).filter("error IS NULL").select(F.col("url").alias("link"), F.col("body").alias("html"))
         if details is None:
             return normalize_items(raw)
         pages = details.select(F.col("link").alias("link"), container_html(F.col("html"), self.block.get("container", "listing-container")).alias("detail"))

@@ -19,6 +19,7 @@ from millrace.plans.remote import REMOTE_TYPES, BudgetExhausted, MeteredScorer,
 from millrace.plans.run import Run, RunError
 from millrace.plans.store import open_store
 from millrace.sources.base import Fetcher, HttpPolicy, SourceConfigError, SourceUnavailableError, register_source, source_class, source_names
+from millrace.sources.http import fetch_pages, http_get
 from millrace.sources.json_board import JsonBoard
 from millrace.sources.rss_feed import RssFeed
 from millrace.streaming.ingest import ingest, stored
@@ -98,6 +99,73 @@ def test_requested_board(spark):
     assert len(source.errors) == 1
 
 
+@pytest.fixture
+def site():
+    """A server on this machine; its answers by path, and when which path was asked on which host."""
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked, answers = [], {}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append((self.headers["Host"].split(":")[0], self.path, time.monotonic()))
+            found = answers.get(self.path, (404, ""))
+            status, body = found.pop(0) if isinstance(found, list) else found
+            self.send_response(status)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield server.server_port, answers, asked
+    server.shutdown()
+
+
+def test_tasks_fetch_by_host(spark, site):
+    port, answers, asked = site
+    board = '{"jobs": [{"absolute_url": "https://h/%s", "title": "Tester", "content": "&lt;p&gt;caf\u00e9&lt;/p&gt;"}]}'
+    names = [f"c{k}" for k in range(6)]
+    answers.update({f"/{c}": (200, board % c) for c in names})
+    answers["/c1"], answers["/c3"] = [(503, ""), (200, board % "c1")], (404, "")
+    block = {"companies": names, "url": f"http://127.0.0.1:{port}/{{company}}", "min_request_interval": 0.1, "backoff_base": 0.01, "max_retries": 2}
+    source = JsonBoard(block)
+    rows = source.fetch(spark).collect()
+    assert sorted(r["unit"] for r in rows) == ["c0", "c1", "c2", "c4", "c5"] and {r["description_clean"] for r in rows} == {"café"}
+    assert len(source.errors) == 1 and source.errors[0].startswith("c3: ") and "404" in source.errors[0]
+    # Each once, but for the retry; in its pace.
+    assert sorted(p for _, p, _ in asked) == ["/c0", "/c1", "/c1", "/c2", "/c3", "/c4", "/c5"]
+    times = [t for _, _, t in asked]
+    assert max(times) - min(times) > 0.4  # six in steps of 0.1, less what the first connection takes
+
+
+def test_hosts_have_a_pace_each(spark, site):
+    port, answers, asked = site
+    answers.update({f"/{k}": (200, str(k)) for k in range(4)})
+    urls = [(str(k), f"http://{host}:{port}/{k}") for host in ("127.0.0.1", "localhost") for k in range(4)] + [("none", None), ("odd", "ftp://h/1"), ("gone", f"http://127.0.0.1:{port}/9")]
+    policy = HttpPolicy(min_request_interval=0.2, max_retries=0)
+    got = fetch_pages(spark.createDataFrame(urls, "unit string, url string"), lambda: Fetcher(http_get, policy)).collect()
+    assert len(got) == 11 and sorted(r["unit"] for r in got if r["error"]) == ["gone", "none", "odd"]
+    assert all(r["body"] == r["unit"] for r in got if not r["error"])
+    for host in ("127.0.0.1", "localhost"):
+        times = [t for h, _, t in asked if h == host]
+        assert max(times) - min(times) > 0.5
+
+
+def test_detail_pages_are_fetched(spark, site):
+    port, answers, _ = site
+    item = "<item><title>A: {0}</title><link>http://127.0.0.1:%d/{0}</link><description>summary</description></item>" % port
+    answers["/feed"] = (200, f"<rss><channel>{item.format('one')}{item.format('two')}</channel></rss>")
+    answers["/one"] = (200, "<div>x</div><div class='a listing-container'><p title='1>0'>whole</p><div>text</div></div>")
+    rows = RssFeed({"url": f"http://127.0.0.1:{port}/feed", "fetch_full_description": True, "max_retries": 0}).fetch(spark).collect()
+    assert {r["title"]: r["description_clean"] for r in rows} == {"one": "whole\ntext", "two": "summary"}
+
+
 def test_registry():
     assert source_class("replay") and source_class("none") is None
     assert source_names() == sorted(source_names())
