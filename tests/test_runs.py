@@ -22,6 +22,7 @@ from millrace.sources.base import Fetcher, HttpPolicy, SourceConfigError, Source
 from millrace.sources.http import fetch_pages, http_get
 from millrace.sources.json_board import JsonBoard
 from millrace.sources.rss_feed import RssFeed
+from millrace.streaming.closing import Closing
 from millrace.streaming.ingest import ingest, stored
 
 BOARD = {
@@ -379,6 +380,23 @@ def test_a_batch_that_is_run_again_inserts_nothing_twice(spark, tmp_path):
     assert held() == [("u1", "i1"), ("u2", "i2"), ("u3", "i3"), ("u5", "i5")]
 
 
+def test_a_stream_is_closed_between_batches(spark, tmp_path):
+    kind = "url string, id string, sequence int"
+    for k in range(5):
+        spark.createDataFrame([(f"u{k}{n}", f"i{k}{n}", n) for n in range(3)] + [("u00", "i00", 9)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    first = Closing(lambda counters: counters["inserted"] >= 4)
+    ingest(stream(), str(tmp_path / "out"), str(tmp_path / "checkpoint"), closing=first)
+    counters = first.wait()
+    # Two batches are done, whole; the third has not begun.
+    assert first.batches == [0, 1] and counters == {"read": 8, "inserted": stored(spark, str(tmp_path / "out"), spark.read.parquet(str(tmp_path / "out")).schema).count()}
+    assert not (tmp_path / "out" / "batch=2").exists()
+    second = Closing()
+    ingest(stream(), str(tmp_path / "out"), str(tmp_path / "checkpoint"), closing=second)
+    assert second.wait()["read"] == 12 and second.batches == [2, 3, 4]
+    assert spark.read.parquet(str(tmp_path / "out")).select("url").distinct().count() == spark.read.parquet(str(tmp_path / "out")).count() == 15
+
+
 def test_config(tmp_path):
     at = tmp_path / "c.yaml"
     at.write_text(EXAMPLE)
