@@ -39,8 +39,10 @@ HALF = K // 2
 SHARED = 3
 #: Members of a list whose pairs are made by a join; rows of a block of longer lists.
 SHORT, BLOCK, BLOCK_BYTES = 64, 1000, 1 << 25
-#: A pool meets as a whole if its nodes squared are at most so many times its pairs.
+#: A group meets as a whole if its nodes squared are at most so many times the pairs of its lists.
 DENSE = 8
+#: Keys that are sent to where large rows are; more are brought together with them.
+SENT = 500_000
 #: Rounds of pivots go on while the lists hold more pairs than this for each of their members.
 FEW, ROUNDS = 4, 8
 #: Words whose hashes a task keeps.
@@ -178,18 +180,27 @@ class Lists:
         """The rows of ``members`` in ``lists`` (value, members), written, with their list's columns."""
         return stage(join_groups(members, lists, ["value"], "members", members.count()), "members")
 
+    @staticmethod
+    def _only(rows: DataFrame, on: list[str], asked: DataFrame) -> DataFrame:
+        """``rows`` whose ``on`` is in ``asked`` (written), with its other columns. Rows are large, so up to SENT keys go to
+        where the rows are."""
+        return rows.join(F.broadcast(asked) if asked.count() <= SENT else asked, on)
+
     def texts(self, asked: DataFrame) -> DataFrame:
         """(node, text) of the nodes in ``asked`` (node, once each), written: of one row of each node."""
-        rows = self.nodes.join(asked, "node").select("node", "rep.*")
-        texts = self.docs.select(F.col("id").alias("i"), F.col("th").alias("t"), "text").join(rows, F.col("i").eqNullSafe(F.col("id")) & (F.col("t") == F.col("th")))
-        return stage(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+        reps = self._only(self.nodes.select("node", "rep"), ["node"], stage(asked, "asked"))
+        reps = stage(reps.select("node", F.col("rep.id").isNull().alias("none"), F.coalesce("rep.id", F.lit(0)).alias("id"), F.col("rep.th").alias("th")), "reps")
+        docs = self.docs.select(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "th", "text")
+        return stage(self._only(docs, ["none", "id", "th"], reps).select("node", "text").dropDuplicates(["node"]), "texts")
 
     def confirm(self, pairs: DataFrame) -> bool:
         """Add to the edges those of ``pairs`` (a, b) that are links; whether there are any."""
         pairs = stage(pairs, "pairs")
-        sketch = lambda s: self.nodes.select("node", F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        likely = stage(_with(stage(_with(pairs, "a", sketch("a")), "with_a"), "b", sketch("b")).mapInArrow(_estimate, "a long, b long"), "likely")
-        texts = self.texts(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct())
+        both = lambda df: stage(df.select(F.col("a").alias("node")).unionByName(df.select(F.col("b").alias("node"))).distinct(), "both")
+        known = stage(self._only(self.nodes.select("node", "n", "sketch"), ["node"], both(pairs)), "sketches")
+        sketch = lambda s: known.select("node", F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+        likely = stage(_with(_with(pairs, "a", sketch("a")), "b", sketch("b")).mapInArrow(_estimate, "a long, b long"), "likely")
+        texts = self.texts(both(likely))
         text = lambda s: texts.select("node", F.col("text").alias(f"t{s}"))
         return self.join(stage(_with(_with(likely, "b", text("b")), "a", text("a")).mapInArrow(_verify, "a long, b long"), "links"))
 
@@ -218,43 +229,53 @@ class Lists:
         # Links that meet in fewer pivots are left to the end, where all lists of a pair count.
         return _often(met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")))
 
-    def rest(self, rows: DataFrame) -> None:
-        """Go through all pairs of different components in the lists.
+    def groups(self, rows: DataFrame) -> DataFrame:
+        """(node, root) of the nodes of groups whose lists have the same members again and again, written.
 
-        Pairs that short lists have often enough, and the members of each long list, are edges; what they connect is a pool,
-        mostly a template, a passage or a group of near copies, whose lists have the same members again and again. The nodes
-        of a pool meet once, with their whole texts, block by block. A pool that has few pairs for its nodes is no such
-        group: its pairs are held against each other one by one, and its long lists are taken each for itself.
+        They are what pivots that a member has often enough, and the pivots of long lists, connect: mostly the copies of a
+        template or the documents with one passage. A group all of whose pairs are many more than its lists have (a chain) is
+        none.
         """
-        short, long = rows.filter(F.col("members") <= self.short), rows.filter(F.col("members") > self.short)
-        other = short.select("value", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = stage(_often(short.select("value", F.col("node").alias("a"), "label").join(other, "value").filter("a > b and label <> lb").select("a", "b")), "short")
-        first = stage(long.groupBy("value").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("size")), "first")
-        long = stage(join_groups(long.select("value", "node"), first, ["value"], "size", long.count()), "long")
-        roots = stage(components(pairs.unionByName(long.select(F.col("node").alias("a"), F.col("p").alias("b")))), "pools")
-        pairs, long = _with(pairs, "a", roots), long.join(roots, "node")
-        held = pairs.groupBy("root").agg(F.count(F.lit(1)).cast("double").alias("c")).unionByName(long.groupBy("root").agg(F.sum(F.col("size").cast("double")).alias("c")))
-        cost = held.groupBy("root").agg(F.sum("c").alias("c")).join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")), "root")
-        cost = stage(cost.select("root", "nodes", (F.col("nodes").cast("double") * F.col("nodes") <= DENSE * F.col("c")).alias("one")), "cost")
-        total = roots.count()
-        chosen = lambda df, n: join_groups(df, cost, ["root"], "nodes", n)
-        met = chosen(roots, total).filter("one").select("one", F.col("root").alias("g"), "node")
-        met = met.unionByName(chosen(long, total).filter("not one").select("one", F.col("value").alias("g"), "node"))
-        sizes = self.nodes.select("node", "n", "bytes")
-        met = stage((met if self.edges is None else met.join(self.roots.withColumnRenamed("root", "label"), "node", "left")).join(sizes, "node"), "met")
+        long = rows.filter(F.col("members") > self.short)
+        first = stage(long.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")), "first")
+        stars = join_groups(long.select("value", "node"), first, ["value"], "size", long.count()).select(F.col("node").alias("a"), "b")
+        roots = stage(components(stage(self.by_pivot(rows, ROUNDS).unionByName(stars), "stars")), "roots")
+        held = stage(rows.select("value", "node").join(roots, "node"), "held")
+        lists = held.groupBy("root", "value").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("root").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        nodes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
+        cost = stage(nodes.join(lists, "root").filter(F.col("nodes").cast("double") * F.col("nodes") <= DENSE * F.col("pairs")), "cost")
+        return stage(join_groups(roots, cost, ["root"], "nodes", roots.count()).select("node", "root"), "groups")
+
+    def meet(self, met: DataFrame) -> bool:
+        """Join what is linked of the nodes (node, aside) of each ``g``, all pairs but those with one ``aside``, block by block
+        with their whole texts."""
+        met = met.join(self.nodes.select("node", "n", "bytes"), "node")
         label = F.col("node") if self.edges is None else F.coalesce("label", "node")
-        groups = stage(met.groupBy("one", "g").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("all")), "groups")
+        met = stage(met if self.edges is None else met.join(self.roots.withColumnRenamed("root", "label"), "node", "left"), "met").withColumn("label", label)
+        groups = stage(met.groupBy("g").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("all")), "sizes")
         blocks = F.greatest(F.ceil(2 * F.col("held") / self.block), F.ceil(2 * F.col("all") / BLOCK_BYTES))
-        dealt = join_groups(met.withColumn("label", label), groups, ["one", "g"], "held", met.count())
+        dealt = join_groups(met, groups, ["g"], "held", met.count())
         dealt = dealt.withColumn("blocks", F.when((F.col("held") > self.block) | (F.col("all") > BLOCK_BYTES), blocks).otherwise(1).cast("int"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        told = dealt.join(self.texts(met.select("node").distinct()), "node").select("one", "g", "node", "label", "n", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        cells = told.groupBy("one", "g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        found = stage(cells.applyInPandas(_linked, "a long, b long"), "found")
-        single = stage(chosen(pairs, total).filter("not one").select("a", "b"), "single")
-        self.join(found)
-        if not single.isEmpty():
-            self.confirm(single)
+        told = dealt.join(self.texts(met.select("node").distinct()), "node").select("g", "node", "aside", "label", "n", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cells = told.groupBy("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        return self.join(stage(cells.applyInPandas(_linked, "a long, b long"), "found"))
+
+    def rest(self, rows: DataFrame) -> None:
+        """Go through all pairs of different components in the lists: first those within groups, each of which meets once;
+        then what short lists have often enough, pair by pair, and each long list, without the pairs of one group."""
+        groups = self.groups(rows)
+        if not groups.isEmpty() and self.meet(groups.select(F.col("root").alias("g"), "node", F.col("node").alias("aside"))):
+            rows = self.labelled()
+        rows = rows.join(groups.withColumnRenamed("root", "aside"), "node", "left").withColumn("aside", F.coalesce("aside", "node"))
+        rows = stage(rows.select("value", "node", "label", "members", "aside"), "asides")
+        short, long = rows.filter(F.col("members") <= self.short), rows.filter(F.col("members") > self.short)
+        other = short.select("value", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("aside").alias("ab"))
+        pairs = short.select("value", F.col("node").alias("a"), "label", "aside").join(other, "value").filter("a > b and label <> lb and aside <> ab")
+        self.confirm(_often(pairs.select("a", "b")))
+        mixed = stage(long.groupBy("value").agg(F.count(F.lit(1)).alias("all"), F.min("aside").alias("lo"), F.max("aside").alias("hi")).filter("lo < hi").select("value", "all"), "mixed")
+        if not mixed.isEmpty():
+            self.meet(join_groups(long.select("value", "node", "aside"), mixed, ["value"], "all", long.count()).select(F.col("value").alias("g"), "node", "aside"))
 
     def links(self) -> None:
         rows, before = self.labelled(), None
@@ -294,7 +315,7 @@ def _possible(sets: list[np.ndarray], n: np.ndarray, differ: np.ndarray) -> tupl
 def _linked(cell: pd.DataFrame) -> pd.DataFrame:
     """Links that join the rows of a pair of blocks (own: which of the two) as all of their links would: a pair is looked at
     if it is of different components, and only while nothing has joined them."""
-    own, label, node, n = (cell[c].to_numpy() for c in ("own", "label", "node", "n"))
+    own, label, node, n, aside = (cell[c].to_numpy() for c in ("own", "label", "node", "n", "aside"))
     known, split = _Hashes(), [words(t) for t in cell["text"]]
     sets = [_hashed(w, known) for w in split]
     across = (own[:, None] != own[None, :]) | (own.min() == own.max())
@@ -306,7 +327,7 @@ def _linked(cell: pd.DataFrame) -> pd.DataFrame:
         return x
 
     out = []
-    for i, j in zip(*map(np.ndarray.tolist, _possible(sets, n, across & (label[:, None] != label[None, :]))), strict=True):
+    for i, j in zip(*map(np.ndarray.tolist, _possible(sets, n, across & (label[:, None] != label[None, :]) & (aside[:, None] != aside[None, :]))), strict=True):
         a, b = find(label[i]), find(label[j])
         if a == b:
             continue
