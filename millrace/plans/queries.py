@@ -377,7 +377,8 @@ _HTML = r"""WITH u AS (SELECT page_id, generate_subscripts(a, 1) AS pos, unnest(
     p AS (SELECT page_id, pos, opened IS NOT NULL AND coalesce(closed, 0) < opened AS raw, opened = pos AS begins,
              CASE WHEN name IN ('p', 'div', 'br', 'li', 'ul', 'ol', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'tr') THEN chr(10) ELSE '' END AS brk, x, substring(x, strpos(x, '>') + 1) AS rest FROM m),
     j AS (SELECT page_id, string_agg(CASE WHEN raw AND begins THEN rest WHEN raw THEN '<' || x ELSE CASE WHEN pos = 1 THEN '' ELSE brk END ||
-             replace(replace(replace(replace(CASE WHEN pos = 1 THEN x ELSE rest END, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') END, '' ORDER BY pos) AS j FROM p GROUP BY page_id)
+             regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN pos = 1 THEN x ELSE rest END, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g') END,
+             '' ORDER BY pos) AS j FROM p GROUP BY page_id)
     SELECT page_id, array_to_string(list_filter(list_transform(string_split(j, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS text FROM j"""
 
 
@@ -801,21 +802,31 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Run(spark, config).run().table(spark)
 
 
+_TRIMMED = "array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10))"
+
+
 @_query(
-    """SELECT 'https://corpus.example.org/feed/' || doc_id AS url, CASE WHEN doc_id % 10 = 0 THEN 'ValueError' END AS error_kind,
-              CASE WHEN doc_id % 10 > 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 10 > 0 THEN source END AS company, 'remote' AS work_mode FROM documents"""
+    f"""SELECT 'https://corpus.example.org/feed/' || doc_id AS url, CASE WHEN doc_id % 10 = 0 THEN 'ValueError' END AS error_kind,
+              CASE WHEN doc_id % 10 > 0 THEN 'Title ' || doc_id END AS title, CASE WHEN doc_id % 10 > 0 THEN source END AS company, 'remote' AS work_mode,
+              {_TRIMMED.format("text")} AS description, strftime(TIMESTAMP '2026-01-01 00:00:00' + to_minutes(doc_id * 7), '%Y-%m-%dT%H:%M:%S+00:00') AS published_at FROM documents"""
 )
 def rss_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as items of feeds, every tenth without a company in its title."""
+    """Documents as items of feeds, with their text as HTML, which the feed escapes once more, and dates in three zones; every
+    tenth without a company in its title."""
     k = F.col("doc_id").cast("string")
     title = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Title "), k)).otherwise(F.concat("source", F.lit(": Title "), k))
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") * 420)
+    zone = F.col("doc_id") % 3
+    local = lambda hours, name: F.concat(F.date_format(at + F.expr(f"INTERVAL {hours} HOURS"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(name))
+    date = F.when(zone == 0, local(0, " GMT")).when(zone == 1, local(-5, " EST")).otherwise(local(2, " +0200"))
     xml = F.concat(
-        F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://corpus.example.org/feed/"), k,
-        F.lit("</link><pubDate>Wed, 15 Jul 2026 10:00:00 +0000</pubDate><description>x</description></item></channel></rss>"),
+        F.lit("<rss><channel><item><title>"), escaped(title), F.lit("</title><link>https://corpus.example.org/feed/"), k, F.lit("</link><pubDate>"), date,
+        F.lit("</pubDate><description>"), escaped(F.concat(F.lit("<p class='a>b'>"), escaped(F.col("text")), F.lit("</p>"))), F.lit("</description></item></channel></rss>"),
     )
     feeds = table(spark, sf_dir, "documents").select(F.col("source").alias("unit"), F.from_xml(xml, rss_feed.FEED).alias("feed"))
     found = finish(rss_feed.normalize_items(rss_feed.items(feeds)), "rss_feed")
-    return found.select("url", "error_kind", "title", "company", "work_mode")
+    return found.select("url", "error_kind", "title", "company", "work_mode", F.col("description_clean").alias("description"), schema.iso_time(F.col("published_at")).alias("published_at"))
 
 
 @_query(f"SELECT user_id, arg_max({_STATUS_SQL}, (ts, event_id)) AS status, {_ISO.format('max(ts)')} AS changed_at FROM events GROUP BY user_id")
@@ -926,19 +937,24 @@ def wire_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.encode(typed).select("url", "matched_skills", "fetched_at", "location_match")
 
 
-@_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'page ' || doc_id ELSE 'summary' END AS text FROM documents")
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '\"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g')"
+
+
+@_query(
+    f"""WITH p AS (SELECT page_id, {_PLAIN.format("regexp_extract(html, '<title>([^<]*)', 1)")} AS title, {_PLAIN.format("regexp_extract(html, '<div class=.ad.>([^<]*)', 1)")} AS ad FROM pages)
+        SELECT page_id, {_TRIMMED.format("CASE WHEN page_id % 2 = 0 THEN ad ELSE title END")} AS text FROM p"""
+)
 def detail_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of feeds with the whole description of their detail page, where that has one."""
-    k = F.col("doc_id").cast("string")
-    link = F.concat(F.lit("https://feed.example/"), k)
-    docs = table(spark, sf_dir, "documents")
-    raw = docs.select(
-        F.lit("feed").alias("unit"), F.col("doc_id").alias("sequence"), F.concat(F.lit("A: "), k).alias("title"), link.alias("link"), F.lit(None).cast("string").alias("pubDate"),
-        F.lit("<p>summary</p>").alias("description"), F.lit("").alias("region"),
+    """Pages as items of feeds, their titles as summaries: with the text of a container of the page, where it has one (every
+    other page's has another class)."""
+    pages = table(spark, sf_dir, "pages").withColumn("link", F.concat(F.lit("https://feed.example/"), F.col("page_id").cast("string")))
+    raw = pages.select(
+        F.lit("feed").alias("unit"), F.col("page_id").alias("sequence"), F.concat(F.lit("A: "), "link").alias("title"), "link", F.lit(None).cast("string").alias("pubDate"),
+        F.concat(F.lit("<p>"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.lit("</p>")).alias("description"), F.lit("").alias("region"),
     )
-    html = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<div>menu</div><div class="x listing-container"><div>page '), k, F.lit("</div></div><div>foot</div>"))).otherwise("<p>other</p>")
-    details = docs.select(link.alias("link"), container_html(html, "listing-container").alias("detail"))
-    return rss_feed.normalize_items(raw, details).select(F.col("sequence").alias("doc_id"), F.col("description_clean").alias("text"))
+    html = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.replace("html", F.lit('class="ad"'), F.lit('class="bad"')))
+    details = pages.select("link", container_html(html, "ad").alias("detail"))
+    return rss_feed.normalize_items(raw, details).select(F.col("sequence").alias("page_id"), F.col("description_clean").alias("text"))
 
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
