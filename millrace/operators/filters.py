@@ -89,13 +89,14 @@ DEEP = 100_000
 def with_places(df: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
     """``df`` with each row's place in a total order, from 1, as a column; written in that order.
 
-    The rows are dealt by ranges of the order and numbered where they are written; then the sizes of the ranges, one row
-    each, tell where a range begins. No task has more than a range.
+    The rows are dealt by ranges of the order and numbered where they are written, once; then the sizes of the ranges, one
+    row each, tell where a range begins. No task has more than a range. The ranges are cut by a pass of its own over what the
+    order reads; if the rows it sees differ from those that are written (clocks, chance), the ranges are less even, and the
+    places are right all the same.
     """
     number, part, before = fresh(df.columns, "number", "part", "before")
-    # Written first, as the ranges are found by a pass of its own over the rows. The id that is given to the rows of a range
-    # has the range in its upper bits and the row within it in the lower 33.
-    ordered = stage(stage(df, "rows").repartitionByRange(*by).sortWithinPartitions(*by).withColumn(number, F.monotonically_increasing_id()), "ordered")
+    # The id that is given to the rows of a range has the range in its upper bits and the row within it in the lower 33.
+    ordered = stage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(number, F.monotonically_increasing_id()), "ordered")
     parts = ordered.withColumn(part, F.shiftright(number, 33))
     # One row for each range.
     sizes = parts.groupBy(part).agg(F.count(F.lit(1)).alias("rows")).withColumn(before, F.coalesce(F.sum("rows").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -275,6 +275,15 @@ def test_places(spark):
     assert with_places(rows.limit(0), [F.desc("k")]).count() == 0
 
 
+def test_places_are_one_write(spark, monkeypatch):
+    """Of rows that differ from pass to pass, too, each has a place of its own."""
+    written = []
+    monkeypatch.setattr(filters, "stage", lambda df, label, keep=filters.stage: (written.append(label), keep(df, label))[1])
+    got = with_places(spark.range(300).withColumn("k", F.rand()), [F.asc("k")]).collect()
+    assert written == ["ordered"] and sorted(r["place"] for r in got) == list(range(1, 301))
+    assert [r["k"] for r in sorted(got, key=lambda r: r["place"])] == sorted(r["k"] for r in got)
+
+
 def test_deep_pages(spark, store, monkeypatch):
     monkeypatch.setattr(filters, "DEEP", 3)
     store.save(make(spark, [(f"https://h/{k}", f"t{k}", {}) for k in range(9)]))
