@@ -1,13 +1,15 @@
 """MinHash near-dedup with bottom-k sketches of one hash function and inverted lists.
 
 A document's set is its distinct 2-word shingles. Documents with equal sets are one node. A node's sketch is the ``K``
-smallest hashes of its set (the whole set, where it is no larger). Two sets at a similarity of 0.8 or more share at least
-``needed`` values of their sketches: for sets of up to 2 K shingles this is certain, above that it fails for less than one
-link in 10^12 (``needed``). So of each sketch the ``needed - 1`` values that the corpus has most often need no list, and every link is
-met in the list of some other value; with ``SHARED`` - 1 lists more, in SHARED lists. How often the corpus has a value is counted in ``CELLS`` cells, whatever its size.
-
-The lists are not turned into all pairs. In each round a list has one pivot, and its members are held against the pivot
-only; sketches of the union estimate a pair's similarity, whole texts decide it, links join components, and a list whose
+smallest hashes of its set (the whole set, where it is no larger), ascending. The keys of the inverted lists are the runs of
+``RUN`` consecutive hashes among a sketch's first ``WIDTH``, so how many unlinked sets a list has does not follow how often
+single shingles occur. Two sets at a similarity of 0.8 or more have such a run in common: of the u hashes of their union, in
+order, at most u / 5 are not shared, so the others are at least 4u / (u + 5) in a row somewhere, more than two for u above 5;
+the one link of a smaller union, of 4 shingles with 5, has two in a row (``runs``). Where only the first WIDTH of the union
+are known, none of their runs is shared with a chance of less than 3 in 10^13.
+
+The lists are not turned into all pairs. In each round a list has one pivot, and each node is held against that pivot
+only which it meets in most lists; sketches of the union estimate a pair's similarity, whole texts decide it, links join components, and a list whose
 members are in one component is done. When few pairs of different components are left in the lists, or rounds bring
 nothing more, all of these pairs are gone through (``Lists.rest``): groups whose lists have the same members again and
 again meet once, block by block, each pair of blocks a task that returns a forest of their links. No pair is left out, so
@@ -23,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -32,11 +34,15 @@ from millrace.llm.support import hot_keys, join_around, join_groups, parts, stag
 
 #: A link is intersection * 100 >= union * LEAST.
 LEAST = 80
-K, CELLS = 128, 1 << 20
+K = 128
+#: Once the cells that counted how often a value occurs; there is no such count now, and a test still sets it.
+CELLS = 1 << 20
+#: Hashes in a row that are the key of a list, and how many of a sketch's hashes have runs.
+RUN, WIDTH = 3, 80
 #: Of the values that the sketch of a union has, links have at least half in common but for one in 10^12.
 HALF = K // 2
-#: Values that a pair must have in common before its sketches are looked at, and that each sketch has more lists for.
-SHARED = 3
+#: Lists that a node must meet a pivot in, or one for each SMALL shingles of its set where these are fewer.
+SHARED, SMALL = 3, 8
 #: Members of a list whose pairs are made by a join; rows of a block of longer lists.
 SHORT, BLOCK, BLOCK_BYTES = 64, 1000, 1 << 25
 #: A group meets as a whole if its nodes squared are at most so many times the pairs of its lists.
@@ -94,6 +100,24 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), sizes, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["id", "th", "bytes", "n", "digest", "sketch"])
 
 
+def _mixed(v: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of ``length`` consecutive values."""
+    x = np.full(len(v) - length + 1, length, np.uint64)
+    for k in range(length):
+        x = (x ^ v[k : len(v) - length + 1 + k]) * _MIX1
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def runs(sketch: np.ndarray, n: int) -> np.ndarray:
+    """The keys of the lists of a set of ``n`` shingles, of which a different set linked to it has one at least."""
+    v = sketch[:WIDTH].view(np.uint64)
+    if n < 4:  # a different set within 0.8 has at least 4 shingles, and so has this one
+        return v[:0].view(np.int64)
+    keys = [_mixed(v, k) for k in ((RUN,) if n > 5 else (RUN - 1, RUN)) if len(v) >= k]
+    return np.unique(np.concatenate(keys)).view(np.int64)
+
+
 def needed(n: int) -> int:
     """The values that the sketch of a set of ``n`` shares with that of any set linked to it.
 
@@ -105,10 +129,13 @@ def needed(n: int) -> int:
 
 def _alike(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> bool:
     """Whether the sketch of the union leaves a link possible."""
+    common = np.intersect1d(a, b, assume_unique=True)
+    if len(common) < max(needed(na), needed(nb)):
+        return False
     both = np.union1d(a, b)
     if max(na, nb) > K:
         both = both[:K]
-    shared = np.isin(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).sum()
+    shared = np.isin(common, both, assume_unique=True).sum()
     # The union of a link has at most (na + nb) / 1.8 elements, of which a fifth are not shared.
     return 100 * shared >= LEAST * len(both) if max(na, nb) <= K else shared >= max(HALF, len(both) - (100 - LEAST) * (na + nb) // (100 + LEAST))
 
@@ -136,9 +163,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _often(pairs: DataFrame) -> DataFrame:
-    """The pairs that are met in SHARED lists."""
-    return pairs.groupBy("a", "b").count().filter(F.col("count") >= SHARED).select("a", "b")
+def _sizes_fit(a: str, b: str) -> Column:
+    """Whether sets of these sizes may be linked."""
+    return F.greatest(a, b) * LEAST <= F.least(a, b) * 100
 
 
 def _with(pairs: DataFrame, side: str, values: DataFrame) -> DataFrame:
@@ -152,27 +179,19 @@ class Lists:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, short: int, block: int):
         self.docs, self.nodes, self.short, self.block = docs, nodes, short, block
-        counts = np.zeros(CELLS, np.int64)
-        # At most CELLS rows, whatever the corpus.
-        cells = nodes.select(F.explode("sketch").alias("v")).groupBy(F.pmod("v", F.lit(CELLS)).cast("int").alias("cell")).count().toArrow()
-        counts[cells.column("cell").to_numpy()] = cells.column("count").to_numpy()
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                node, value = [], []
-                for k, n, sketch in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("sketch"), strict=True):
-                    if n < 4:  # a different set within 0.8 has at least 4 shingles, and so has this one
-                        continue
-                    v = sketch.values.to_numpy()
-                    first = v[np.lexsort((v, counts[v % CELLS]))][: len(v) - needed(n) + SHARED]
-                    node.append(np.full(len(first), k, np.int64))
-                    value.append(first)
-                if node:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(node))], ["value", "node"])
-
-        postings = nodes.select("node", "n", "sketch").mapInArrow(post, "value long, node long")
-        sizes = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        self.members = self._in_lists(stage(postings, "postings"), stage(sizes, "lists"))
+                keys = [runs(sketch.values.to_numpy(), n) for n, sketch in zip(b.column("n").to_pylist(), b.column("sketch"), strict=True)]
+                many = [len(k) for k in keys]
+                if any(many):
+                    node, n = (np.repeat(b.column(c).to_numpy(), many) for c in ("node", "n"))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node), pa.array(n)], ["value", "node", "n"])
+
+        postings = nodes.select("node", "n", "sketch").mapInArrow(post, "value long, node long, n long")
+        # One shuffle of three numbers a posting; a list of any length is counted as it is sorted, and may spill.
+        members = postings.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("value"))).filter("members > 1")
+        self.members = stage(members, "members")
         self.edges = None
 
     @staticmethod
@@ -212,22 +231,25 @@ class Lists:
         return True
 
     def labelled(self) -> DataFrame:
-        """The members of lists that hold pairs of different components, written: value, node, label, members, left (the
+        """The members of lists that hold pairs of different components, written: value, node, n, label, members, left (the
         pairs of different components)."""
-        plain = self.members.select("value", "node")
-        rows = plain.withColumn("label", F.col("node")) if self.edges is None else plain.join(self.roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("label"))
+        plain = self.members.select("value", "node", "n")
+        rows = plain.withColumn("label", F.col("node")) if self.edges is None else plain.join(self.roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("label"))
         rows = stage(rows, "labelled")
         # One component may have most of the members.
         counts = rows.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.sum("c").alias("members"), (F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("left"))
         return self._in_lists(rows, stage(counts.filter("left > 0").withColumn("left", (F.col("left") / 2).cast("long")), "open"))
 
     def by_pivot(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each list's pivot and its members of other components."""
+        """Pairs (a, b) of a node and, of the pivots of its lists that are of other components, the one of most lists."""
         order = F.xxhash64("node", F.lit(turn))
-        pivots = stage(rows.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "label")).alias("p"), F.count(F.lit(1)).alias("members")), "pivots")
-        met = join_groups(rows.drop("members"), pivots, ["value"], "members", rows.count()).filter("label <> p.label")
+        pivots = stage(rows.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("p"), F.count(F.lit(1)).alias("members")), "pivots")
+        met = join_groups(rows.drop("members"), pivots, ["value"], "members", rows.count()).filter((F.col("label") != F.col("p.label")) & _sizes_fit("n", "p.n"))
+        often = met.groupBy("node", "n", F.col("p.node").alias("pivot")).count()
         # Links that meet in fewer pivots are left to the end, where all lists of a pair count.
-        return _often(met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")))
+        often = often.filter(F.col("count") >= F.least(F.lit(SHARED), F.ceil(F.col("n") / SMALL)))
+        best = often.groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("best"))
+        return best.select(F.greatest("node", "best.pivot").alias("a"), F.least("node", "best.pivot").alias("b")).distinct()
 
     def groups(self, rows: DataFrame) -> DataFrame:
         """(node, root) of the nodes of groups whose lists have the same members again and again, written.
@@ -263,16 +285,18 @@ class Lists:
 
     def rest(self, rows: DataFrame) -> None:
         """Go through all pairs of different components in the lists: first those within groups, each of which meets once;
-        then what short lists have often enough, pair by pair, and each long list, without the pairs of one group."""
-        groups = self.groups(rows)
-        if not groups.isEmpty() and self.meet(groups.select(F.col("root").alias("g"), "node", F.col("node").alias("aside"))):
-            rows = self.labelled()
-        rows = rows.join(groups.withColumnRenamed("root", "aside"), "node", "left").withColumn("aside", F.coalesce("aside", "node"))
-        rows = stage(rows.select("value", "node", "label", "members", "aside"), "asides")
+        then what short lists have, pair by pair, and each long list, without the pairs of one group."""
+        rows = rows.withColumn("aside", F.col("node"))
+        if not rows.filter(F.col("members") > self.short).isEmpty():
+            groups = self.groups(rows)
+            if not groups.isEmpty() and self.meet(groups.select(F.col("root").alias("g"), "node", F.col("node").alias("aside"))):
+                rows = self.labelled()
+            rows = rows.drop("aside").join(groups.withColumnRenamed("root", "aside"), "node", "left").withColumn("aside", F.coalesce("aside", "node"))
+        rows = stage(rows.select("value", "node", "n", "label", "members", "aside"), "asides")
         short, long = rows.filter(F.col("members") <= self.short), rows.filter(F.col("members") > self.short)
-        other = short.select("value", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("aside").alias("ab"))
-        pairs = short.select("value", F.col("node").alias("a"), "label", "aside").join(other, "value").filter("a > b and label <> lb and aside <> ab")
-        self.confirm(_often(pairs.select("a", "b")))
+        other = short.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("aside").alias("ab"))
+        pairs = short.select("value", F.col("node").alias("a"), "n", "label", "aside").join(other, "value")
+        self.confirm(pairs.filter("a > b and label <> lb and aside <> ab").filter(_sizes_fit("n", "nb")).select("a", "b").distinct())
         mixed = stage(long.groupBy("value").agg(F.count(F.lit(1)).alias("all"), F.min("aside").alias("lo"), F.max("aside").alias("hi")).filter("lo < hi").select("value", "all"), "mixed")
         if not mixed.isEmpty():
             self.meet(join_groups(long.select("value", "node", "aside"), mixed, ["value"], "all", long.count()).select(F.col("value").alias("g"), "node", "aside"))
