@@ -166,11 +166,20 @@ Call = Callable[[str, str, dict[str, Any] | None], tuple[int, dict[str, Any]]]
 def schema_problems(actual: DataFrame, table: str | None = None) -> DataFrame:
     """(property, expected, found) of what a remote table (property, type) lacks or has of another type; with ``table``, a
     column of ``actual``, of each of its tables."""
-    by = [table] if table else []
-    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.lit(t).alias("expected")) for p, t in REMOTE_TYPES.items()]))
-    tables = actual.select(*by).distinct() if by else actual.sparkSession.range(1)
-    expected = tables.select(*by, wanted.alias("x")).select(*by, "x.*")
-    return expected.join(actual, [*by, "property"], "left").filter(~F.col("type").eqNullSafe(F.col("expected"))).select(*by, "property", "expected", F.col("type").alias("found"))
+    by, wanted = [table] if table else [], list(REMOTE_TYPES)
+    kinds = F.create_map(*[F.lit(x) for pt in REMOTE_TYPES.items() for x in pt])
+    expected = F.when(F.col("property").isin(wanted), F.element_at(kinds, F.col("property")))
+    # A row whose table is null is of no table, and a null table has nothing.
+    known = F.col(table).isNotNull() if table else F.lit(True)
+    differs = actual.filter(known & expected.isNotNull() & ~F.col("type").eqNullSafe(expected)).select(*by, "property", expected.alias("expected"), F.col("type").alias("found"))
+    # A bit for each property that is there: one number a table is all that is shuffled.
+    bit = F.lit(None).cast("int")
+    for k, p in enumerate(wanted):
+        bit = F.when(known & (F.col("property") == p), 1 << k).otherwise(bit)
+    held = actual.groupBy(*by).agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("held"))
+    lacks = F.explode(F.array(*[F.when(F.col("held").bitwiseAND(1 << k) == 0, F.struct(F.lit(p).alias("property"), F.lit(t).alias("expected"))) for k, (p, t) in enumerate(REMOTE_TYPES.items())]))
+    missing = held.select(*by, lacks.alias("x")).filter("x IS NOT NULL").select(*by, "x.*", F.lit(None).cast("string").alias("found"))
+    return differs.unionByName(missing)
 
 
 def classify(postings: DataFrame, remote: DataFrame) -> DataFrame:
