@@ -28,12 +28,14 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace import schema
 from millrace.functions.urls import normalize_url, posting_id
 from millrace.operators.filters import Scope, by_id_prefix, by_url, matching, page
-from millrace.operators.runs import backfill_ids, first_of_key, insert_if_absent
-from millrace.scratch import write_counted
+from millrace.joins import fresh
+from millrace.operators.runs import backfill_ids, first_of_key
+from millrace.scratch import stage_counted, write_counted
 
 VERSION = 4
 
@@ -264,11 +266,30 @@ class PostingStore(Store):
         the first by fetched_at and raw_url. Returns how many."""
         batch = postings if sequence else postings.withColumn("sequence", F.struct("fetched_at", "raw_url", F.xxhash64("title", "description_raw")))
         order, draft = sequence or "sequence", self._draft()
-        # Read once: the keys are looked up before the rows are inserted.
-        first_of_key(first_of_key(batch, "url", order), "id", order).write.parquet(f"{self.path}/{draft}")
-        first = self.spark.read.schema(batch.schema).parquet(f"{self.path}/{draft}")
-        fresh = lambda seen: insert_if_absent(self._rows(names=self.may_hold(first, seen)), first, order)
-        many = self._changed(lambda seen: schema.encode(fresh(seen).select(*schema.COLUMNS)))
+        # Read once: the keys are looked up before the rows are inserted. Written as they come: only keys are shuffled.
+        (row,) = fresh(batch.columns, "row")
+        batch.withColumn(row, F.monotonically_increasing_id()).write.parquet(f"{self.path}/{draft}")
+        whole = self.spark.read.schema(StructType([*batch.schema, StructField(row, LongType())])).parquet(f"{self.path}/{draft}")
+        keys = whole.select("url", "id", F.struct(F.col(order).alias("sequence"), F.col(row).alias("row")).alias("order"))
+        first = first_of_key(first_of_key(keys, "url", "order"), "id", "order").select("url", "id", F.col("order.row").alias("row"))
+        first, found = stage_counted(first, "first", rows=F.count(F.lit(1)))
+        total = whole.count()
+
+        def fresh_rows(seen: list[str]) -> DataFrame:
+            left, names = first, self.may_hold(first, seen)
+            if names:
+                stored = self._rows(names=names)
+                left = first.join(stored.select("url"), "url", "left_anti").join(stored.select("id"), "id", "left_anti")
+            elif found["rows"] == total:
+                return whole
+            # Of most batches few rows are left out, or few are new; either are sent to where the rows are.
+            left, kept = (left, found) if left is first else stage_counted(left, "left", rows=F.count(F.lit(1)))
+            left = left.select(F.col("row").alias(row))
+            if total - kept["rows"] <= EDITS:
+                return whole.join(F.broadcast(whole.select(row).join(left, row, "left_anti")), row, "left_anti")
+            return whole.join(F.broadcast(left) if kept["rows"] <= EDITS else left, row, "left_semi")
+
+        many = self._changed(lambda seen: schema.encode(fresh_rows(seen).select(*schema.COLUMNS)))
         self._fs.delete(self._at(draft), True)
         return many
 
@@ -277,7 +298,14 @@ class PostingStore(Store):
         Only these are written; ``where`` may select a part of the stored ones that has them all."""
         full = changes.select("url", *columns).withColumns({c: F.lit(None).cast(schema.POSTING_SCHEMA[c].dataType) for c in schema.COLUMNS if c not in (*columns, "url")})
         new = schema.encode(full.withColumn("url", normalize_url(F.col("url")))).select("url", F.struct(*columns).alias("new"))
-        made = lambda seen: self._latest(seen, where).join(new, "url").select(*[F.col(f"new.{c}" if c in columns else c).alias(c) for c in schema.COLUMNS])
+        new, found = stage_counted(new, "changes", rows=F.count(F.lit(1)))
+
+        def changed(seen: list[str]) -> DataFrame:
+            """The stored rows that may change: those of up to EDITS urls are found where they are."""
+            rows = self._latest(seen, where)
+            return rows.join(F.broadcast(new.select("url")), "url", "left_semi") if found["rows"] <= EDITS else rows
+
+        made = lambda seen: changed(seen).join(new, "url").select(*[F.col(f"new.{c}" if c in columns else c).alias(c) for c in schema.COLUMNS])
         return self._changed(made, edit=True)
 
     def update_scores(self, scored: DataFrame) -> int:

@@ -1,6 +1,10 @@
 """That work grows with what it is about, not with whole rows."""
 
+from pyspark.sql import functions as F
+
+from millrace import schema
 from millrace.plans.remote import REMOTE_TYPES, schema_problems
+from millrace.plans.store import PostingStore
 
 
 def _plan(df):
@@ -15,3 +19,31 @@ def test_schema_problems_join_nothing(spark):
     want = [(2, "Name", "title", "url"), (2, "Name", "title", None)] + [(k, p, t, None) for k in (2, 3, None) for p, t in REMOTE_TYPES.items() if (k, p) != (2, "Name")]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
     assert schema_problems(spark.createDataFrame([], "property string, type string")).count() == len(REMOTE_TYPES)
+
+
+def test_a_store_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    """Only keys are; rows are written where they are."""
+    plans, add = [], PostingStore._add
+
+    def seen(self, wire, *args, **kw):
+        plans.append(_plan(wire))
+        return add(self, wire, *args, **kw)
+
+    monkeypatch.setattr(PostingStore, "_add", seen)
+
+    def rows(*keys):
+        df = spark.createDataFrame([(f"https://x.example/{u}", i, p) for u, i, p in keys], "url string, id string, place int")
+        df = df.withColumns({"title": F.concat(F.lit("t"), F.col("place")), "company": F.lit("c"), "source": F.lit("s"), "status": F.lit("new"), "work_mode": F.lit("unknown"), "fetched_at": F.lit("2026-01-01").cast("timestamp"), "description_raw": F.lit("x"), "raw_url": F.col("url")})
+        own = {c: F.array().cast("array<string>") if c in schema.LISTS else F.lit(None).cast(schema.POSTING_SCHEMA[c].dataType) for c in schema.COLUMNS if c not in df.columns}
+        return df.withColumns(own).withColumn("row", F.lit(1))
+
+    store = PostingStore(spark, str(tmp_path / "s"))
+    held = lambda: sorted((r["url"][-1], r["id"], r["title"]) for r in store.rows().collect())
+    assert store.save(rows(("a", "1", 1), ("b", "2", 2)), "place") == 2
+    # Of one url, and then of one id, the first; what is stored by url or by id stays.
+    assert store.save(rows(("c", "3", 5), ("c", "4", 4), ("d", "4", 6), ("a", "7", 7), ("e", "2", 8), ("f", "9", 9)), "place") == 2
+    assert held() == [("a", "1", "t1"), ("b", "2", "t2"), ("c", "4", "t4"), ("f", "9", "t9")]
+    assert store.save(rows(("a", "1", 1)), "place") == 0
+    assert store.update(rows(("a", "1", 3), ("z", "0", 4)).withColumn("status", F.lit("closed")), ["status"]) == 1
+    assert [r["status"] for r in store.rows().orderBy("url").collect()] == ["closed", "new", "new", "new"]
+    assert len(plans) == 4 and not [p for p in plans if "hashpartitioning" in p or "SortMergeJoin" in p]
