@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.components import components
 from millrace.functions.text import python_normalize
+from millrace.joins import join_groups
 from millrace.scratch import stage
 
 
@@ -35,8 +36,15 @@ class Synonyms:
 
 def synonym_classes(pairs: DataFrame) -> DataFrame:
     """(term, class) of a table of pairs (left, right): the class is the smallest term that pairs reach. Rounds of large-star
-    and small-star go on until nothing changes; every round is written into the shared folder. A null is no term."""
+    and small-star go on until nothing changes; every round is written into the shared folder. A null is no term.
+
+    Terms are numbered, so that the rounds compare and shuffle numbers instead of text."""
     known = stage(pairs.select("left", "right"), "pairs")
     terms = known.select(F.col("left").alias("term")).unionByName(known.select(F.col("right").alias("term"))).dropna().distinct()
-    roots = components(known.dropna().select(F.col("left").alias("a"), F.col("right").alias("b")))
-    return terms.join(roots, terms["term"] == roots["node"], "left").select("term", F.coalesce("root", "term").alias("class"))
+    terms = stage(terms.withColumn("node", F.monotonically_increasing_id()), "terms")
+    number = lambda side, as_: terms.select(F.col("term").alias(side), F.col("node").alias(as_))
+    edges = known.dropna().join(number("left", "a"), "left").join(number("right", "b"), "right").select("a", "b")
+    rooted = stage(terms.join(components(edges), "node", "left").select("term", F.coalesce("root", "node").alias("root")), "rooted")
+    # One component may have most of the terms: its smallest is found on the map side, and joined to where they are.
+    least = stage(rooted.groupBy("root").agg(F.min("term").alias("class"), F.count(F.lit(1)).alias("held")), "least")
+    return join_groups(rooted, least, ["root"], "held", rooted.count()).select("term", "class")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace import schema
+from millrace.operators import synonyms
 from millrace.plans.remote import REMOTE_TYPES, schema_problems
 from millrace.plans.store import PostingStore
 
@@ -47,3 +48,17 @@ def test_a_store_shuffles_no_postings(spark, tmp_path, monkeypatch):
     assert store.update(rows(("a", "1", 3), ("z", "0", 4)).withColumn("status", F.lit("closed")), ["status"]) == 1
     assert [r["status"] for r in store.rows().orderBy("url").collect()] == ["closed", "new", "new", "new"]
     assert len(plans) == 4 and not [p for p in plans if "hashpartitioning" in p or "SortMergeJoin" in p]
+
+
+def test_synonym_rounds_are_of_numbers(spark, monkeypatch):
+    seen, find = [], synonyms.components
+
+    def rounds(edges):
+        seen.extend(t for _, t in edges.dtypes)
+        return find(edges)
+
+    monkeypatch.setattr(synonyms, "components", rounds)
+    pairs = [("b", "c"), ("c", "b"), ("c", "a"), ("x", "x"), ("y", None), (None, "z"), (None, None), ("q", "p"), ("q", "p")]
+    found = synonyms.synonym_classes(spark.createDataFrame(pairs, "left string, right string"))
+    assert {r["term"]: r["class"] for r in found.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "y", "z": "z", "p": "p", "q": "p"}
+    assert seen == ["bigint", "bigint"] and found.count() == 8
