@@ -1,6 +1,7 @@
 """Boards that answer with JSON: {"jobs": [{absolute_url, title, updated_at, location: {name}, content}, ...]}.
 
-Boards are read from files (``path``, a folder that Spark reads with one file ``<company>.json`` a board) or by request. ``content`` is HTML that is escaped once more.
+Boards are read from files (``path``, a folder that Spark reads with one file ``<company>.json`` a board, or with
+``lines: true`` one board a line, which has its ``company``, as thousands of small files take longer to open than to read) or by request. ``content`` is HTML that is escaped once more.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ BOARD = "struct<jobs:array<struct<absolute_url:string,title:string,updated_at:st
 
 @register_source("json_board")
 class JsonBoard(Source):
-    options = ("companies", "max_postings_per_company", "path", "url")
+    options = ("companies", "max_postings_per_company", "path", "url", "lines")
 
     def __init__(self, block, fetcher=None):
         super().__init__(block, fetcher)
@@ -32,7 +33,9 @@ class JsonBoard(Source):
     def bodies(self, spark: SparkSession) -> DataFrame:
         """(unit, body)"""
         if path := self.block.get("path"):
-            files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1).alias("unit"), F.col("value").alias("body"))
+            lines, name = bool(self.block.get("lines")), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.json)?$", 1)
+            own = F.coalesce(F.from_json("value", "company string")["company"], name) if lines else name
+            files = spark.read.text(path, wholetext=not lines).select(own.alias("unit"), F.col("value").alias("body"))
             wanted = self.block.get("companies")
             return files.filter(F.col("unit").isin(*wanted)) if wanted else files
         return self.pages(spark, {c: self.block["url"].format(company=c) for c in self.block["companies"]})

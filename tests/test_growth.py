@@ -6,6 +6,7 @@ from millrace import schema
 from millrace.operators import synonyms
 from millrace.plans.remote import REMOTE_TYPES, schema_problems
 from millrace.plans.store import PostingStore
+from millrace.sources.json_board import JsonBoard
 
 
 def _plan(df):
@@ -62,3 +63,13 @@ def test_synonym_rounds_are_of_numbers(spark, monkeypatch):
     found = synonyms.synonym_classes(spark.createDataFrame(pairs, "left string, right string"))
     assert {r["term"]: r["class"] for r in found.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "y", "z": "z", "p": "p", "q": "p"}
     assert seen == ["bigint", "bigint"] and found.count() == 8
+
+
+def test_boards_in_lines(spark, tmp_path):
+    job = '{"absolute_url": "https://x.example/%s", "title": "t"}'
+    (tmp_path / "some.json").write_text("\n".join(['{"company": "one", "jobs": [%s, %s]}' % (job % 1, job % 2), '{"company": "two", "jobs": [%s]}' % (job % 3), "odd"]))
+    source = JsonBoard({"path": str(tmp_path), "lines": True})
+    found = source.fetch(spark).select("unit", "raw_url", "company").collect()
+    assert sorted((r["unit"], r["raw_url"][-1], r["company"]) for r in found) == [("one", "1", "One"), ("one", "2", "One"), ("two", "3", "Two")]
+    assert source.errors == ["some: the answer is not an object with a list of jobs"]
+    assert len(JsonBoard({"path": str(tmp_path), "lines": True, "companies": ["two"]}).fetch(spark).collect()) == 1
