@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.scratch import stage
+from millrace.scratch import few, stage
 
 #: A group of more than 1/HOT of all rows is joined by broadcast; there are fewer than HOT of them.
 HOT = 100
@@ -45,8 +45,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], weight: str,
 
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
     """The keys, fewer than HOT, that each have more than 1/HOT of ``rows``; written, for join_around."""
-    counts = rows.groupBy(*on).count()
-    return stage(counts.filter(F.col("count") * HOT > rows.count()).select(*on), "hot")
+    total = rows.count()
+    return stage(few(rows.groupBy(*on).count().filter(F.col("count") * HOT > total).select(*on), total), "hot")
 
 
 def join_around(rows: DataFrame, groups: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:

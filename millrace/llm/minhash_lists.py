@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from millrace.components import components
-from millrace.llm.support import hot_keys, join_around, join_groups, parts, stage
+from millrace.llm.support import few, hot_keys, join_around, join_groups, parts, stage, stage_counted
 
 #: A link is intersection * 100 >= union * LEAST.
 LEAST = 80
@@ -51,6 +51,8 @@ DENSE = 8
 SENT = 500_000
 #: Rounds of pivots go on while the lists hold more pairs than this for each of their members.
 FEW, ROUNDS = 4, 8
+#: Pairs of sketches, texts, and pairs of texts that a task is worth.
+SKETCHED, HELD, READ = 4000, 4000, 500
 #: Words whose hashes a task keeps.
 KEPT = 1 << 19
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -191,14 +193,10 @@ class Lists:
         postings = nodes.select("node", "n", "sketch").mapInArrow(post, "value long, node long, n long")
         # One shuffle of three numbers a posting; a list of any length is counted as it is sorted, and may spill.
         members = postings.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("value"))).filter("members > 1")
-        self.members = stage(members, "members")
+        self.members, found = stage_counted(members, "members", n=F.count(F.lit(1)))
+        self.total = found["n"] or 0
         self.edges = None
 
-    @staticmethod
-    def _in_lists(members: DataFrame, lists: DataFrame) -> DataFrame:
-        """The rows of ``members`` in ``lists`` (value, members), written, with their list's columns."""
-        return stage(join_groups(members, lists, ["value"], "members", members.count()), "members")
-
     @staticmethod
     def _only(rows: DataFrame, on: list[str], asked: DataFrame) -> DataFrame:
         """``rows`` whose ``on`` is in ``asked`` (written), with its other columns. Rows are large, so up to SENT keys go to
@@ -206,22 +204,27 @@ class Lists:
         return rows.join(F.broadcast(asked) if asked.count() <= SENT else asked, on)
 
     def texts(self, asked: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in ``asked`` (node, once each), written: of one row of each node."""
-        reps = self._only(self.nodes.select("node", "rep"), ["node"], stage(asked, "asked"))
+        """(node, text) of the nodes in ``asked`` (node, once each, written), written: of one row of each node."""
+        reps = self._only(self.nodes.select("node", "rep"), ["node"], asked)
         reps = stage(reps.select("node", F.col("rep.id").isNull().alias("none"), F.coalesce("rep.id", F.lit(0)).alias("id"), F.col("rep.th").alias("th")), "reps")
         docs = self.docs.select(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "th", "text")
-        return stage(self._only(docs, ["none", "id", "th"], reps).select("node", "text").dropDuplicates(["node"]), "texts")
+        return stage(few(self._only(docs, ["none", "id", "th"], reps).select("node", "text").dropDuplicates(["node"]), asked.count(), HELD), "texts")
 
     def confirm(self, pairs: DataFrame) -> bool:
         """Add to the edges those of ``pairs`` (a, b) that are links; whether there are any."""
-        pairs = stage(pairs, "pairs")
-        both = lambda df: stage(df.select(F.col("a").alias("node")).unionByName(df.select(F.col("b").alias("node"))).distinct(), "both")
-        known = stage(self._only(self.nodes.select("node", "n", "sketch"), ["node"], both(pairs)), "sketches")
+        pairs, found = stage_counted(pairs, "pairs", n=F.count(F.lit(1)))
+        if not found["n"]:
+            return False
+        both = lambda df, n: stage(few(df.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n), "both")
+        known = stage(self._only(self.nodes.select("node", "n", "sketch"), ["node"], both(pairs, found["n"])), "sketches")
         sketch = lambda s: known.select("node", F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        likely = stage(_with(_with(pairs, "a", sketch("a")), "b", sketch("b")).mapInArrow(_estimate, "a long, b long"), "likely")
-        texts = self.texts(both(likely))
+        likely = few(_with(_with(pairs, "a", sketch("a")), "b", sketch("b")), found["n"], SKETCHED).mapInArrow(_estimate, "a long, b long")
+        likely, found = stage_counted(likely, "likely", n=F.count(F.lit(1)))
+        if not found["n"]:
+            return False
+        texts = self.texts(both(likely, found["n"]))
         text = lambda s: texts.select("node", F.col("text").alias(f"t{s}"))
-        return self.join(stage(_with(_with(likely, "b", text("b")), "a", text("a")).mapInArrow(_verify, "a long, b long"), "links"))
+        return self.join(stage(few(_with(_with(likely, "b", text("b")), "a", text("a")), found["n"], READ).mapInArrow(_verify, "a long, b long"), "links"))
 
     def join(self, links: DataFrame) -> bool:
         if links.isEmpty():
@@ -238,18 +241,20 @@ class Lists:
         rows = stage(rows, "labelled")
         # One component may have most of the members.
         counts = rows.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.sum("c").alias("members"), (F.sum("c") ** 2 - F.sum(F.col("c") ** 2)).alias("left"))
-        return self._in_lists(rows, stage(counts.filter("left > 0").withColumn("left", (F.col("left") / 2).cast("long")), "open"))
+        lists = stage(few(counts.filter("left > 0").withColumn("left", (F.col("left") / 2).cast("long")), self.total), "open")
+        return stage(few(join_groups(rows, lists, ["value"], "members", self.total), self.total), "members")
 
     def by_pivot(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs (a, b) of a node and, of the pivots of its lists that are of other components, the one of most lists."""
         order = F.xxhash64("node", F.lit(turn))
-        pivots = stage(rows.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("p"), F.count(F.lit(1)).alias("members")), "pivots")
-        met = join_groups(rows.drop("members"), pivots, ["value"], "members", rows.count()).filter((F.col("label") != F.col("p.label")) & _sizes_fit("n", "p.n"))
+        total = rows.count()
+        pivots = stage(few(rows.groupBy("value").agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("p"), F.count(F.lit(1)).alias("members")), total), "pivots")
+        met = join_groups(rows.drop("members"), pivots, ["value"], "members", total).filter((F.col("label") != F.col("p.label")) & _sizes_fit("n", "p.n"))
         often = met.groupBy("node", "n", F.col("p.node").alias("pivot")).count()
         # Links that meet in fewer pivots are left to the end, where all lists of a pair count.
         often = often.filter(F.col("count") >= F.least(F.lit(SHARED), F.ceil(F.col("n") / SMALL)))
         best = often.groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("best"))
-        return best.select(F.greatest("node", "best.pivot").alias("a"), F.least("node", "best.pivot").alias("b")).distinct()
+        return few(best.select(F.greatest("node", "best.pivot").alias("a"), F.least("node", "best.pivot").alias("b")).distinct(), total)
 
     def groups(self, rows: DataFrame) -> DataFrame:
         """(node, root) of the nodes of groups whose lists have the same members again and again, written.
@@ -259,13 +264,15 @@ class Lists:
         none.
         """
         long = rows.filter(F.col("members") > self.short)
-        first = stage(long.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")), "first")
-        stars = join_groups(long.select("value", "node"), first, ["value"], "size", long.count()).select(F.col("node").alias("a"), "b")
-        roots = stage(components(stage(self.by_pivot(rows, ROUNDS).unionByName(stars), "stars")), "roots")
+        total = long.count()
+        first = stage(few(long.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("size")), total), "first")
+        stars = join_groups(long.select("value", "node"), first, ["value"], "size", total).select(F.col("node").alias("a"), "b")
+        roots = stage(components(self.by_pivot(rows, ROUNDS).unionByName(few(stars, total))), "roots")
         held = stage(rows.select("value", "node").join(roots, "node"), "held")
         lists = held.groupBy("root", "value").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("root").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
         nodes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"))
-        cost = stage(nodes.join(lists, "root").filter(F.col("nodes").cast("double") * F.col("nodes") <= DENSE * F.col("pairs")), "cost")
+        cost = nodes.join(lists, "root").filter(F.col("nodes").cast("double") * F.col("nodes") <= DENSE * F.col("pairs"))
+        cost = stage(few(cost, rows.count()), "cost")
         return stage(join_groups(roots, cost, ["root"], "nodes", roots.count()).select("node", "root"), "groups")
 
     def meet(self, met: DataFrame) -> bool:
@@ -274,12 +281,13 @@ class Lists:
         met = met.join(self.nodes.select("node", "n", "bytes"), "node")
         label = F.col("node") if self.edges is None else F.coalesce("label", "node")
         met = stage(met if self.edges is None else met.join(self.roots.withColumnRenamed("root", "label"), "node", "left"), "met").withColumn("label", label)
-        groups = stage(met.groupBy("g").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("all")), "sizes")
+        total = met.count()
+        groups = stage(few(met.groupBy("g").agg(F.count(F.lit(1)).alias("held"), F.sum("bytes").alias("all")), total), "sizes")
         blocks = F.greatest(F.ceil(2 * F.col("held") / self.block), F.ceil(2 * F.col("all") / BLOCK_BYTES))
-        dealt = join_groups(met, groups, ["g"], "held", met.count())
+        dealt = join_groups(met, groups, ["g"], "held", total)
         dealt = dealt.withColumn("blocks", F.when((F.col("held") > self.block) | (F.col("all") > BLOCK_BYTES), blocks).otherwise(1).cast("int"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        told = dealt.join(self.texts(met.select("node").distinct()), "node").select("g", "node", "aside", "label", "n", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        told = dealt.join(self.texts(stage(few(met.select("node").distinct(), total), "asked")), "node").select("g", "node", "aside", "label", "n", "text", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         cells = told.groupBy("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         return self.join(stage(cells.applyInPandas(_linked, "a long, b long"), "found"))
 
@@ -297,9 +305,11 @@ class Lists:
         other = short.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("aside").alias("ab"))
         pairs = short.select("value", F.col("node").alias("a"), "n", "label", "aside").join(other, "value")
         self.confirm(pairs.filter("a > b and label <> lb and aside <> ab").filter(_sizes_fit("n", "nb")).select("a", "b").distinct())
-        mixed = stage(long.groupBy("value").agg(F.count(F.lit(1)).alias("all"), F.min("aside").alias("lo"), F.max("aside").alias("hi")).filter("lo < hi").select("value", "all"), "mixed")
+        total = long.count()
+        mixed = long.groupBy("value").agg(F.count(F.lit(1)).alias("all"), F.min("aside").alias("lo"), F.max("aside").alias("hi")).filter("lo < hi").select("value", "all")
+        mixed = stage(few(mixed, total), "mixed")
         if not mixed.isEmpty():
-            self.meet(join_groups(long.select("value", "node", "aside"), mixed, ["value"], "all", long.count()).select(F.col("value").alias("g"), "node", "aside"))
+            self.meet(join_groups(long.select("value", "node", "aside"), mixed, ["value"], "all", total).select(F.col("value").alias("g"), "node", "aside"))
 
     def links(self) -> None:
         rows, before = self.labelled(), None

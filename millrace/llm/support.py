@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from millrace.joins import HOT, columns, fresh, hot_keys, join_around, join_groups
-from millrace.scratch import scratch, shared_dir, stage
+from millrace.scratch import few, scratch, shared_dir, stage, stage_counted
 
 #: The bytes that count as white space in the contracts: ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\f\r"
@@ -37,4 +37,4 @@ def parts(batch: pa.RecordBatch, column: str = "text", texts: int = TEXTS, size:
         yield batch.slice(begin)
 
 
-__all__ = ["HOT", "LOWER", "TEXTS", "TEXT_BYTES", "UPPER", "WHITE", "ascii_lower", "columns", "fresh", "hot_keys", "join_around", "join_groups", "parts", "scratch", "shared_dir", "stage"]
+__all__ = ["HOT", "LOWER", "TEXTS", "TEXT_BYTES", "UPPER", "WHITE", "ascii_lower", "columns", "few", "fresh", "hot_keys", "join_around", "join_groups", "parts", "scratch", "shared_dir", "stage", "stage_counted"]

@@ -8,6 +8,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+#: Rows of numbers that a task is worth.
+EACH = 50_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where that is unset and all tasks run on this machine (tests), a new
@@ -38,6 +41,14 @@ def stage(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int, each: int = EACH) -> DataFrame:
+    """``df`` in no more partitions than ``rows``, which it is made of, have lots of ``each``.
+
+    A shuffle has as many tasks and files for a thousand rows as for a billion, unless Spark is left to bring them together.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def write_counted(df: DataFrame, path: str, **metrics: Column) -> dict[str, Any]:
     """Write ``df`` as Parquet and return aggregates of its rows that are collected with the write, in the same pass."""
     seen = Observation(uuid.uuid4().hex)
